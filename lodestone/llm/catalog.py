@@ -1,8 +1,9 @@
 """Registered queries of this subpackage and their oracle SQL."""
 
-from lodestone.llm import exact_dedup, mixing
+from lodestone.llm import exact_dedup, mixing, token_output
 
 QUERIES = {
+    "op1_token_output": token_output.op1_token_output,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op10_source_mixing": mixing.op10_source_mixing,
 }
