@@ -24,6 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not where:
         where = tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", where)
+        sc.setCheckpointDir(where)
     return where.rstrip("/")
 
 
