@@ -1,15 +1,17 @@
 """Registered queries of this subpackage and their oracle SQL."""
 
-from lodestone.llm import exact_dedup, mixing, token_output, url_rules
+from lodestone.llm import exact_dedup, line_dedup, mixing, token_output, url_rules
 
 QUERIES = {
     "op1_token_output": token_output.op1_token_output,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op5_url_rules": url_rules.op5_url_rules,
     "op10_source_mixing": mixing.op10_source_mixing,
 }
 ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE,
+    "op3_line_dedup": line_dedup.ORACLE,
     "op5_url_rules": url_rules.ORACLE,
     "op10_source_mixing": mixing.ORACLE,
 }
