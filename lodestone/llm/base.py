@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A word, in Java's and in RE2's syntax.
@@ -75,3 +78,28 @@ def global_rank(df: DataFrame, order: list[Column], rank: str, name: str) -> Dat
     local = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     at = (local + starts[part]).cast("long") if first else F.lit(0).cast("long")
     return kept.withColumn(rank, at).drop("_at")
+
+
+def with_arrow(df: DataFrame, inputs: list[str], fields: str, make: Callable[[], Callable[..., list[pa.Array]]], rows: int = 1024) -> DataFrame:
+    """df with further columns that Python makes from Arrow columns, some rows at a time.
+
+    ``make`` runs once for each task and returns what turns the inputs' arrays into the new columns;
+    ``fields`` is their DDL. Columns of the same names are replaced.
+    """
+    new = T.StructType.fromDDL(fields)
+    kept = [f for f in df.schema.fields if f.name not in new.names]
+    schema = T.StructType(kept + new.fields)
+    names = [f.name for f in kept]
+    needed = [c for c in inputs if c not in names]
+    rows_in = df.select(*[f"`{c}`" for c in names], *[F.col(f"`{c}`").alias(f"_in_{c}") for c in needed])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        convert = make()
+        for whole in batches:
+            for k in range(0, whole.num_rows, rows):
+                batch = whole.slice(k, rows)
+                columns = [batch.column(f"_in_{c}" if c in needed else c) for c in inputs]
+                made = convert(*columns)
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *made], names=schema.names)
+
+    return rows_in.mapInArrow(run, schema)
