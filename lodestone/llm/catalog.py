@@ -1,11 +1,12 @@
 """Registered queries of this subpackage and their oracle SQL."""
 
-from lodestone.llm import exact_dedup, line_dedup, mixing, pieces, token_output, url_rules
+from lodestone.llm import exact_dedup, line_dedup, mixing, pieces, token_output, toxicity, url_rules
 
 QUERIES = {
     "op1_token_output": token_output.op1_token_output,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_url_rules": url_rules.op5_url_rules,
     "op6_sentencepiece": pieces.op6_sentencepiece,
     "op10_source_mixing": mixing.op10_source_mixing,
