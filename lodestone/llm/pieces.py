@@ -11,6 +11,7 @@ texts are cut there, and each distinct chunk is encoded once in a worker.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Callable
 
 import ahocorasick
@@ -48,9 +49,12 @@ class Pieces:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 table.append((piece, sp.get_score(i), i))
                 self.raw[i] = piece.replace(MARK, " ").encode()
-        self.build(table)
+        self.table = table
+        self.automaton = None
 
-    def build(self, table: list[tuple[str, float, int]]) -> None:
+    def build(self) -> None:
+        """Makes the automaton, which only encoding needs."""
+        table = self.table
         self.automaton = ahocorasick.Automaton()
         for piece, score, i in table:
             self.automaton.add_word(piece, (len(piece), score, i))
@@ -58,44 +62,38 @@ class Pieces:
         self.single = {p for p, _, _ in table if len(p) == 1}
         self.unknown = min((s for _, s, _ in table), default=0.0) - PENALTY
         self.cuts = not any(MARK in p.lstrip(MARK) for p, _, _ in table)
+        #: No piece crosses a place between two characters that aren't next to each other in any piece.
+        self.pairs = {p[k : k + 2] for p, _, _ in table for k in range(len(p) - 1)}
 
     def viterbi(self, text: str) -> list[int]:
         """Ids of the best path over a text in which blanks are marks."""
         n = len(text)
-        low = float("-inf")
-        best = [0.0] + [low] * n
-        back: list[tuple[int, int]] = [(0, 0)] * (n + 1)
+        best = [0.0] + [float("-inf")] * n
+        size_to, id_to = [0] * (n + 1), [0] * (n + 1)
         single, unknown = self.single, self.unknown
-        at = 0
-
-        def fall_back(to: int) -> None:
-            """Positions up to ``to`` whose character is no piece are reached by its bytes."""
-            nonlocal at
-            for p in range(at, to):
-                if text[p] not in single and best[p] + unknown > best[p + 1]:
-                    best[p + 1] = best[p] + unknown
-                    back[p + 1] = (p, -1)
-            at = to
-
+        bare = [p for p in range(n) if text[p] not in single]
+        bare.reverse()
         for last, (size, score, i) in self.automaton.iter(text):
-            end = last + 1
-            if at < last:
-                fall_back(last)
-            start = end - size
-            if (s := best[start] + score) > best[end]:
-                best[end] = s
-                back[end] = (start, i)
-        fall_back(n)
+            while bare and bare[-1] < last:  # a character without a piece is stepped over before its followers are met
+                p = bare.pop()
+                best[p + 1], size_to[p + 1], id_to[p + 1] = best[p] + unknown, 1, -1
+            s = best[last + 1 - size] + score
+            if s > best[last + 1]:
+                best[last + 1], size_to[last + 1], id_to[last + 1] = s, size, i
+        for p in reversed(bare):
+            if best[p] + unknown > best[p + 1]:
+                best[p + 1], size_to[p + 1], id_to[p + 1] = best[p] + unknown, 1, -1
         out: list[int] = []
         p = n
         while p:
-            start, i = back[p]
+            size, i = size_to[p], id_to[p]
             if i < 0:
-                out += [self.byte_ids[b] for b in reversed(text[start:p].encode())]
+                out += [self.byte_ids[b] for b in reversed(text[p - size : p].encode())]
             else:
                 out.append(i)
-            p = start
-        return out[::-1]
+            p -= size
+        out.reverse()
+        return out
 
     def encode_text(self, text: str) -> list[int]:
         """Ids of a whole text, uncut. A mark that is itself in the text is kept apart from blanks: it becomes bytes."""
@@ -114,18 +112,29 @@ class Pieces:
 
 
 class _Chunks(dict):
+    """Chunk -> row of the id table. What ends in a character that no piece joins to the one before it is put together from both."""
+
     def __init__(self, pieces: Pieces) -> None:
         self.pieces = pieces
+        self.tails: dict[str, list[int]] = {}
         self.clear()
 
     def clear(self) -> None:
         super().clear()
-        self.ids: list[int] = []
-        self.at: list[int] = [0]
+        self.ids, self.at = array("i"), array("q", [0])
 
     def __missing__(self, chunk: str) -> int:
+        pieces = self.pieces
+        if len(chunk) > 1 and chunk[-2:].replace(" ", MARK) not in pieces.pairs:
+            row = self[chunk[:-1]]
+            self.ids.extend(self.ids[self.at[row] : self.at[row + 1]])
+            tail = chunk[-1].replace(" ", MARK)
+            if tail not in self.tails:
+                self.tails[tail] = pieces.viterbi(tail)
+            self.ids.extend(self.tails[tail])
+        else:
+            self.ids.extend(pieces.viterbi(MARK + chunk.replace(" ", MARK)))
         self[chunk] = k = len(self.at) - 1
-        self.ids += self.pieces.viterbi(MARK + chunk.replace(" ", MARK))
         self.at.append(len(self.ids))
         return k
 
@@ -133,6 +142,7 @@ class _Chunks(dict):
 class Encoder:
     def __init__(self, path: str) -> None:
         self.pieces = Pieces(path)
+        self.pieces.build()
         self.chunks = _Chunks(self.pieces)
         self.ids, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
@@ -173,8 +183,8 @@ class Encoder:
             rows += own
             sizes.append(len(own))
         if len(chunks.at) > len(self.at):
-            self.ids = np.concatenate([self.ids, np.array(chunks.ids[len(self.ids) :], np.int32)])
-            self.at = np.concatenate([self.at, np.array(chunks.at[len(self.at) :], np.int64)])
+            self.ids = np.array(chunks.ids, np.int32)
+            self.at = np.array(chunks.at, np.int64)
         row = np.array(rows, np.int32)
         size = self.at[row + 1] - self.at[row]
         ends = np.concatenate([[0], np.cumsum(size)])
@@ -193,7 +203,9 @@ ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    return ENCODERS.get(path) or ENCODERS.setdefault(path, Encoder(path))
+    if path not in ENCODERS:
+        ENCODERS[path] = Encoder(path)
+    return ENCODERS[path]
 
 
 def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "piece_ids") -> DataFrame:
@@ -216,8 +228,12 @@ def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", ids_
 def decode_pieces(docs: DataFrame, model_path: str, ids_col: str = "piece_ids", text_col: str = "decoded") -> DataFrame:
     """Adds the text of the ids: the very text that was encoded; ids without text (controls) give none. Null stays null."""
 
+    return with_arrow(docs, [ids_col], f"`{text_col}` string", decoder(model_path))
+
+
+def decoder(model_path: str):
     def make() -> Callable[[pa.Array], list[pa.Array]]:
-        pieces = encoder(model_path).pieces
+        pieces = Pieces(model_path)
 
         def convert(ids: pa.Array) -> list[pa.Array]:
             ends = ids.offsets.to_numpy()
@@ -229,7 +245,7 @@ def decode_pieces(docs: DataFrame, model_path: str, ids_col: str = "piece_ids",
 
         return convert
 
-    return with_arrow(docs, [ids_col], f"`{text_col}` string", make)
+    return make
 
 
 def _crc() -> Callable[[pa.Array], list[pa.Array]]:
@@ -247,8 +263,12 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    both = decode_pieces(encode_pieces(docs, path), path)
-    out = with_arrow(both, ["piece_ids"], "ids_crc32 long", _crc)
+
+    def decoded_and_crc() -> Callable[[pa.Array], list[pa.Array]]:
+        decoded, crc = decoder(path)(), _crc()
+        return lambda ids: decoded(ids) + crc(ids)
+
+    out = with_arrow(encode_pieces(docs, path), ["piece_ids"], "decoded string, ids_crc32 long", decoded_and_crc)
     n = F.size("piece_ids").cast("long").alias("n_ids")
     same = F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip")
     return out.select("doc_id", n, "ids_crc32", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), same)
