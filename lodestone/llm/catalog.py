@@ -1,6 +1,6 @@
 """Registered queries of this subpackage and their oracle SQL."""
 
-from lodestone.llm import exact_dedup, line_dedup, mixing, pieces, token_output, toxicity, url_rules
+from lodestone.llm import context_mixing, exact_dedup, line_dedup, mixing, pieces, token_output, toxicity, url_rules
 
 QUERIES = {
     "op1_token_output": token_output.op1_token_output,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_url_rules": url_rules.op5_url_rules,
     "op6_sentencepiece": pieces.op6_sentencepiece,
+    "op7_lm_scoring": context_mixing.op7_lm_scoring,
     "op10_source_mixing": mixing.op10_source_mixing,
 }
 ORACLES = {
