@@ -1,4 +1,423 @@
 """Registered queries of the retrieval engine and their oracle SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.functions import text as X
+from lodestone.functions.stemming import porter_stem
+from lodestone.functions.terms import with_terms
+from lodestone.operators import index as ix
+from lodestone.operators import ranking as rk
+from lodestone.operators import reports
+from lodestone.operators.stop_words import STOP_WORDS
+from lodestone.plans import sql as S
+from lodestone.sources import corpus as src
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+SINGLE = "apache license version"
+CITIES = ("apache", "gnu", "mit", "china")
+RELATED = (("apache", "mit", 1), ("apache", "gnu", 2), ("apache", "rights", 3), ("license", "licensed", 1), ("license", "zzz", 2), ("license", "mit", 3), ("license", "general", 4))
+NUMBERS = ("10,123", "1010.56", "10,123,000,000", "5", "999", "999.5", "-55", "1.2.3", "55000", "1500000", "2,000,000,000")
+PRICES = ("$450,000", "450,000", "$450,000,000", "1,000,000", "1.7320", "abc", "$999999.5")
+DATES = (("May", "1994", "4"), ("JUNE", "1990", "16"), ("september", "2001", "09"), ("xyz", "1999", "1"))
+POPULATIONS = (8715494, 950000, 1000001, 12345678)
+
+
+def query(sql: str | None = None):
+    """Registers a function (spark, sf_dir) under its name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return src.from_tables(spark, sf_dir)
+
+
+def _occ(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ix.occurrences(_docs(spark, sf_dir))
+
+
+def _post(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ix.postings(_occ(spark, sf_dir))
+
+
+def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ix.term_dictionary(_post(spark, sf_dir), 0)
+
+
+def _topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return items.select(F.col("item_id").cast("string").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 5), " ").alias("title"), F.col("text").alias("description"))
+
+
+TOPICS = "topics AS (SELECT item_id::VARCHAR AS query_id, array_to_string(string_split(text, ' ')[1:5], ' ') AS title, text AS description FROM benchmark)"
+IDX = S.index()
+
+
+@query(f"SELECT doc_id, pos, token FROM (SELECT doc_id, unnest(ts) AS token, generate_subscripts(ts, 1) - 1 AS pos FROM (SELECT doc_id, {S.tokens('text')} AS ts FROM documents))")
+def tokenize(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(X.tokenize(F.col("text"))).alias("pos", "token"))
+
+
+@query(f"SELECT doc_id, pos, {S.clean('token')} AS token FROM ({ORACLES['tokenize']})")
+def clean_tokens(spark, sf_dir):
+    return tokenize(spark, sf_dir).withColumn("token", X.clean_token(F.col("token")))
+
+
+@query(f"WITH t AS ({ORACLES['clean_tokens']}) SELECT doc_id, pos, token FROM t WHERE lower(token) NOT IN ({S.STOP})")
+def stop_filter(spark, sf_dir):
+    return clean_tokens(spark, sf_dir).filter(~F.lower("token").isin(*sorted({*STOP_WORDS, *X.DROPPED})))
+
+
+@query(f"SELECT DISTINCT lower(token) AS term FROM ({ORACLES['clean_tokens']}) WHERE contains(token, '-') AND len(list_filter(string_split(lower(token), '-'), lambda p: p <> '' AND length(p) < 2)) = 0")
+def hyphen_filter(spark, sf_dir):
+    return clean_tokens(spark, sf_dir).select(F.lower("token").alias("term")).filter(F.col("term").contains("-") & X.hyphens_ok(F.col("term"))).distinct()
+
+
+@query(f"SELECT DISTINCT token FROM ({ORACLES['clean_tokens']}) WHERE NOT (length(token) >= 2 AND NOT regexp_matches(token, '{S.REJECT}'))")
+def reject_filter(spark, sf_dir):
+    t = F.col("token")
+    return clean_tokens(spark, sf_dir).select("token").filter(~((F.length(t) >= 2) & ~t.rlike(X.REJECT))).distinct()
+
+
+@query(f"WITH {IDX} SELECT doc_id, pos, term, is_upper FROM occ")
+def term_occurrences(spark, sf_dir):
+    return _occ(spark, sf_dir).select("doc_id", "pos", "term", "is_upper")
+
+
+@query(f"WITH {IDX} SELECT doc_id, term, tf FROM post")
+def term_doc_tf(spark, sf_dir):
+    return _post(spark, sf_dir).select("doc_id", "term", "tf")
+
+
+@query(f"WITH {IDX} SELECT * FROM terms")
+def term_dictionary(spark, sf_dir):
+    return _terms(spark, sf_dir).drop("display_term")
+
+
+@query(f"WITH {IDX} SELECT term, CASE WHEN is_entity THEN upper(replace(term, 'ß', 'ss')) ELSE term END AS display_term, total_tf FROM terms")
+def dictionary_view(spark, sf_dir):
+    return _terms(spark, sf_dir).select("term", "display_term", "total_tf").orderBy("term")
+
+
+@query(f"WITH {IDX} SELECT s.*, d.source AS parent_file FROM stats s JOIN documents d USING (doc_id)")
+def doc_stats(spark, sf_dir):
+    return ix.doc_stats(_post(spark, sf_dir), _docs(spark, sf_dir)).drop("headers", "city")
+
+
+@query(f"WITH {IDX} SELECT * FROM corpus")
+def corpus_stats(spark, sf_dir):
+    return ix.corpus_stats(ix.doc_stats(_post(spark, sf_dir), _docs(spark, sf_dir)))
+
+
+@query(f"WITH {IDX} SELECT doc_id, most_freq_term, max_tf FROM stats")
+def doc_most_freq_term(spark, sf_dir):
+    return ix.doc_stats(_post(spark, sf_dir), _docs(spark, sf_dir)).select("doc_id", "most_freq_term", "max_tf")
+
+
+@query(f"WITH {IDX} SELECT doc_id, n_unique FROM stats")
+def unique_terms_per_doc(spark, sf_dir):
+    return _post(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_unique"))
+
+
+@query(f"WITH {IDX} SELECT term, is_entity FROM terms")
+def entity_flag(spark, sf_dir):
+    return _terms(spark, sf_dir).select("term", "is_entity")
+
+
+@query(
+    f"WITH {IDX}, r AS (SELECT p.doc_id, upper(replace(p.term, 'ß', 'ss')) AS entity, p.tf, (row_number() OVER (PARTITION BY p.doc_id ORDER BY p.tf DESC, p.term))::INTEGER AS rank FROM post p JOIN terms t USING (term) WHERE t.is_entity) SELECT * FROM r WHERE rank <= 5"
+)
+def doc_entities_top5(spark, sf_dir):
+    post = _post(spark, sf_dir)
+    return ix.doc_entities(post, ix.term_dictionary(post, 0))
+
+
+HEADS = S.occurrences("head", S.PAGES_HEAD)
+
+
+@query(f"WITH {HEADS} SELECT DISTINCT term, doc_id, is_upper FROM head WHERE regexp_matches(term, '^\\p{{L}}')")
+def header_index(spark, sf_dir):
+    return ix.header_index(src.from_pages(spark, sf_dir))
+
+
+@query("SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL AND NOT regexp_matches(lang, '^[0-9.,]+$')")
+def language_list(spark, sf_dir):
+    return src.languages(_docs(spark, sf_dir))
+
+
+@query(f"WITH {IDX}, n AS (SELECT count(*) * 1000 AS n FROM documents) SELECT term, df, total_tf FROM terms, n WHERE NOT (df < n // 100000 + 1 AND total_tf <= 3)")
+def rare_term_filter(spark, sf_dir):
+    """As if the corpus had a thousand times its documents, so that the filter bites."""
+    terms = _terms(spark, sf_dir)
+    n = _docs(spark, sf_dir).agg(F.count("*") * 1000).scalar()
+    rare = (F.col("df") < F.floor(n / 100_000) + 1) & (F.col("total_tf") <= 3)
+    return terms.filter(~rare).select("term", "df", "total_tf")
+
+
+@query(f"WITH {IDX} SELECT term, total_tf FROM terms ORDER BY total_tf, term LIMIT 10")
+def least_freq_terms(spark, sf_dir):
+    return reports.extreme_terms(_terms(spark, sf_dir), most=False)
+
+
+@query(f"WITH {IDX} SELECT term, total_tf FROM terms ORDER BY total_tf DESC, term LIMIT 10")
+def most_freq_terms(spark, sf_dir):
+    return reports.extreme_terms(_terms(spark, sf_dir))
+
+
+@query(f"WITH {IDX} SELECT term, doc_id, tf FROM post ORDER BY tf DESC, term, doc_id LIMIT 1")
+def global_max_tf(spark, sf_dir):
+    return reports.greatest_tf(_post(spark, sf_dir))
+
+
+@query(f"WITH {IDX} SELECT 'terms' AS what, count(*) AS n FROM terms UNION ALL SELECT 'documents', count(*) FROM stats")
+def run_summary(spark, sf_dir):
+    post = _post(spark, sf_dir)
+    return reports.run_summary(ix.term_dictionary(post, 0), post.select("doc_id").distinct())
+
+
+def _scored(spark: SparkSession, sf_dir: str, topics: DataFrame) -> DataFrame:
+    post = _post(spark, sf_dir)
+    stats = post.groupBy("doc_id").agg(F.sum("tf").alias("doc_len"))
+    terms = rk.distinct_terms(rk.query_terms(topics, "title")).withColumns({"in_title": F.lit(True), "in_desc": F.lit(False)})
+    rows = rk.term_weights(rk.candidates(terms, post, stats), ix.corpus_stats(stats))
+    return rk.bm25(rows).select("query_id", "doc_id", F.round("s1", 6).alias("score"))
+
+
+def _bm25_sql(topics: str) -> str:
+    return f"""WITH {IDX}, {S.occurrences("qo", topics)},
+q AS (SELECT DISTINCT doc_id AS query_id, term, is_upper FROM qo),
+cand AS (SELECT q.*, p.doc_id, p.tf, s.doc_len FROM q JOIN post p USING (term) JOIN stats s ON s.doc_id = p.doc_id),
+{S.WEIGHTS},
+scores AS (SELECT query_id, doc_id, round(sum(2 * w), 6) AS score FROM weighed GROUP BY query_id, doc_id)"""
+
+
+SINGLE_SQL = _bm25_sql(f"SELECT 'single query' AS doc_id, {S.quoted(SINGLE)} AS text")
+BATCH_SQL = _bm25_sql("SELECT item_id::VARCHAR AS doc_id, array_to_string(string_split(text, ' ')[1:5], ' ') AS text FROM benchmark")
+RANKED_SQL = "r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id DESC))::INTEGER AS rank, doc_id, score FROM scores) SELECT * FROM r WHERE rank <= 50"
+
+
+@query(f"{SINGLE_SQL} SELECT doc_id, score FROM scores ORDER BY score DESC, doc_id DESC LIMIT 50")
+def bm25_single_query(spark, sf_dir):
+    topics = spark.createDataFrame([("single query", SINGLE)], "query_id string, title string")
+    return _scored(spark, sf_dir, topics).select("doc_id", "score").orderBy(F.desc("score"), F.desc("doc_id")).limit(50)
+
+
+@query(f"{BATCH_SQL} SELECT * FROM scores")
+def bm25_topics_batch(spark, sf_dir):
+    return _scored(spark, sf_dir, _topics(spark, sf_dir))
+
+
+@query(f"{BATCH_SQL}, {RANKED_SQL}")
+def topk_per_query(spark, sf_dir):
+    return rk.ranked(_scored(spark, sf_dir, _topics(spark, sf_dir)))
+
+
+@query(f"WITH r AS ({BATCH_SQL}, {RANKED_SQL}) SELECT concat_ws(' ', query_id, '0', doc_id, '1', 'float-sim', 'mt') AS line FROM r")
+def trec_output(spark, sf_dir):
+    return reports.to_trec(topk_per_query(spark, sf_dir))
+
+
+@query(f"WITH r AS ({BATCH_SQL}, {RANKED_SQL}) SELECT rank::VARCHAR || '. ' || doc_id::VARCHAR AS line FROM r UNION ALL SELECT DISTINCT '----QUERY ID: ' || query_id || '----' FROM r")
+def result_listing(spark, sf_dir):
+    return reports.to_listing(topk_per_query(spark, sf_dir))
+
+
+def _in(words) -> str:
+    return ", ".join(S.quoted(w) for w in words)
+
+
+CITY_SQL = f"SELECT upper(p.term) AS city, p.doc_id, p.tf FROM post p JOIN terms t USING (term) WHERE t.is_entity AND p.term IN ({_in(CITIES)}) AND p.term <> 'china'"
+
+
+def _city_docs(spark: SparkSession, post: DataFrame) -> DataFrame:
+    cities = spark.createDataFrame([(c,) for c in CITIES], "city string")
+    return ix.city_docs(post, ix.term_dictionary(post, 0), cities)
+
+
+@query(f"WITH {IDX} {CITY_SQL}")
+def city_index(spark, sf_dir):
+    return _city_docs(spark, _post(spark, sf_dir))
+
+
+@query(f"WITH {IDX}, c AS ({CITY_SQL}) SELECT p.doc_id, p.term, p.tf FROM post p WHERE p.term = 'license' AND p.doc_id IN (SELECT doc_id FROM c WHERE city IN ('APACHE', 'MIT'))")
+def city_semi_filter(spark, sf_dir):
+    post = _post(spark, sf_dir)
+    allowed = _city_docs(spark, post).filter(F.col("city").isin("APACHE", "MIT")).select("doc_id").distinct()
+    return post.filter("term = 'license'").join(allowed, "doc_id", "left_semi").select("doc_id", "term", "tf")
+
+
+TOPIC_TERMS = f"""{TOPICS}, {S.occurrences("to_", "SELECT query_id AS doc_id, title AS text FROM topics")}, {S.occurrences("de_", "SELECT query_id AS doc_id, description AS text FROM topics")},
+tt AS (SELECT doc_id AS query_id, pos, term, is_upper FROM to_), dd AS (SELECT doc_id AS query_id, pos, term, is_upper FROM de_),
+rest AS (
+  SELECT query_id, pos, term, is_upper FROM (SELECT *, row_number() OVER (PARTITION BY query_id, term, is_upper ORDER BY pos) AS k FROM dd) x
+  WHERE NOT (term = 'document' AND k = 1) AND NOT EXISTS (SELECT 1 FROM tt WHERE tt.query_id = x.query_id AND tt.term = x.term AND tt.is_upper = x.is_upper)),
+gate AS (
+  SELECT q.query_id FROM topics q WHERE (SELECT count(*) FROM dd WHERE dd.query_id = q.query_id) >= 2 * (SELECT count(*) FROM tt WHERE tt.query_id = q.query_id)
+  AND (EXISTS (SELECT 1 FROM dd WHERE dd.query_id = q.query_id) OR EXISTS (SELECT 1 FROM tt WHERE tt.query_id = q.query_id)))"""
+EXPANSION = """last AS (SELECT query_id, df, last(term ORDER BY pos) AS term, last(is_upper ORDER BY pos) AS is_upper FROM (SELECT r.*, coalesce(t.df, -1) AS df FROM rest r LEFT JOIN terms t USING (term)) GROUP BY query_id, df),
+expn AS (SELECT query_id, term, is_upper, df FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY df) AS k, count(*) OVER (PARTITION BY query_id) AS n FROM last) WHERE n % 2 = 0 OR k <> (n + 1) / 2)"""
+
+
+@query(f"WITH {TOPIC_TERMS} SELECT query_id, pos, term, is_upper FROM rest")
+def desc_minus_title(spark, sf_dir):
+    topics = _topics(spark, sf_dir)
+    return rk.minus_title(rk.query_terms(topics, "description"), rk.query_terms(topics, "title"))
+
+
+@query(f"WITH {TOPIC_TERMS} SELECT query_id FROM gate")
+def expansion_gate(spark, sf_dir):
+    topics = _topics(spark, sf_dir)
+    return rk.wants_expansion(rk.query_terms(topics, "title"), rk.query_terms(topics, "description"))
+
+
+@query(f"WITH {IDX}, {TOPIC_TERMS}, {EXPANSION} SELECT query_id, term, is_upper, df FROM expn")
+def desc_expansion(spark, sf_dir):
+    topics = _topics(spark, sf_dir)
+    rest = rk.minus_title(rk.query_terms(topics, "description"), rk.query_terms(topics, "title"))
+    return rk.expansion(rest, _terms(spark, sf_dir))
+
+
+RELATED_SQL = "syn(origin, related, rank) AS (VALUES " + ", ".join(f"({S.quoted(a)}, {S.quoted(b)}, {k})" for a, b, k in RELATED) + ")"
+
+
+@query(
+    f"""WITH {IDX}, {S.occurrences("qo", f"SELECT 'q' AS doc_id, {S.quoted(SINGLE)} AS text")}, {RELATED_SQL},
+f AS (SELECT q.doc_id AS query_id, q.term AS origin, min(q.pos) AS begin_at, s.related AS term, s.rank FROM qo q JOIN syn s ON s.origin = q.term WHERE s.related IN (SELECT term FROM terms) GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id, term ORDER BY begin_at, rank) AS n FROM f),
+k AS (SELECT query_id, term, false AS is_upper, origin, (row_number() OVER (PARTITION BY query_id, origin ORDER BY rank, term))::INTEGER AS rank FROM o WHERE n = 1)
+SELECT * FROM k WHERE rank <= 2"""
+)
+def synonym_expansion(spark, sf_dir):
+    topics = spark.createDataFrame([("q", SINGLE)], "query_id string, title string")
+    synonyms = spark.createDataFrame(list(RELATED), "term string, related string, rank int")
+    return rk.synonym_terms(rk.query_terms(topics, "title"), synonyms, _terms(spark, sf_dir))
+
+
+HEADLINES = """size AS (SELECT doc_id, count(*) AS size FROM heads GROUP BY doc_id),
+hit AS (SELECT query_id, doc_id, count(*) AS n1, sum(CASE WHEN regexp_matches(term, '[^ -][ -]+[^ -]') THEN 2 ELSE 0 END) AS b1 FROM qq JOIN (SELECT DISTINCT term, doc_id FROM heads) USING (term) GROUP BY query_id, doc_id),
+more AS (SELECT query_id, doc_id, sum(CASE WHEN regexp_matches(term, '[^ -][ -]+[^ -]') THEN 2 ELSE 0 END) AS b2 FROM dq JOIN (SELECT DISTINCT term, doc_id FROM heads) USING (term) GROUP BY query_id, doc_id),
+hh AS (SELECT query_id, doc_id, coalesce(n1, 0)::DOUBLE / size * CASE WHEN coalesce(b1, 0) <> 0 THEN b1 ELSE 1 END * CASE WHEN coalesce(b2, 0) <> 0 THEN b2 ELSE 1 END AS h
+  FROM hit FULL JOIN more USING (query_id, doc_id) JOIN size USING (doc_id))"""
+PAGE_HEADS = f"{HEADS}, heads AS (SELECT DISTINCT term, doc_id, is_upper FROM head WHERE regexp_matches(term, '^\\p{{L}}'))"
+
+
+@query(f"WITH {PAGE_HEADS}, {TOPIC_TERMS}, qq AS (SELECT DISTINCT query_id, term, is_upper FROM tt), dq AS (SELECT DISTINCT query_id, term, is_upper FROM dd), {HEADLINES} SELECT query_id, doc_id, round(h, 6) AS h FROM hh")
+def header_bonus(spark, sf_dir):
+    topics = _topics(spark, sf_dir)
+    title, desc = (rk.distinct_terms(rk.query_terms(topics, c)) for c in ("title", "description"))
+    return rk.headline_scores(title, desc, ix.header_index(src.from_pages(spark, sf_dir))).withColumn("h", F.round("h", 6))
+
+
+@query(
+    f"""WITH {S.index(S.PAGES_BODY)}, {PAGE_HEADS}, {TOPIC_TERMS}, {EXPANSION},
+dq AS (SELECT DISTINCT query_id, term, is_upper FROM (SELECT query_id, term, is_upper FROM dd WHERE query_id NOT IN (SELECT query_id FROM gate) UNION ALL SELECT query_id, term, is_upper FROM rest WHERE query_id IN (SELECT query_id FROM gate))),
+orig AS (SELECT DISTINCT query_id, term, is_upper FROM tt),
+qq AS (SELECT query_id, term, is_upper FROM orig UNION SELECT query_id, term, is_upper FROM expn WHERE query_id IN (SELECT query_id FROM gate)),
+{HEADLINES},
+cand AS (SELECT q.query_id, q.term, q.is_upper, p.doc_id, p.tf, s.doc_len,
+  EXISTS (SELECT 1 FROM orig o WHERE o.query_id = q.query_id AND o.term = q.term AND o.is_upper = q.is_upper) AS in_title,
+  EXISTS (SELECT 1 FROM dq o WHERE o.query_id = q.query_id AND o.term = q.term AND o.is_upper = q.is_upper) AS in_desc
+  FROM qq q JOIN post p USING (term) JOIN stats s ON s.doc_id = p.doc_id),
+{S.WEIGHTS},
+two AS (SELECT query_id, doc_id, sum(w * CASE WHEN in_title THEN 2 ELSE 1 END) AS s1, sum(CASE WHEN in_desc THEN w * CASE WHEN in_title THEN 2 ELSE 1 END ELSE 0 END) AS s2 FROM weighed GROUP BY query_id, doc_id)
+SELECT query_id, doc_id, round(1.281 * s1 + 0.05 * s2 + 8.55 * coalesce(h, 0), 6) AS score FROM two LEFT JOIN hh USING (query_id, doc_id)"""
+)
+def full_score(spark, sf_dir):
+    pages = src.from_pages(spark, sf_dir)
+    return rk.search(ix.build(pages), _topics(spark, sf_dir), limit=None).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query(
+    f"""SELECT v AS token, CASE WHEN x BETWEEN 0 AND 999 THEN x WHEN x BETWEEN 1000 AND 999999 THEN x / 1000 WHEN x BETWEEN 1000000 AND 999999999 THEN x / 1000000 WHEN x >= 1e9 THEN x / 1e9 END AS value,
+CASE WHEN x BETWEEN 0 AND 999 THEN '' WHEN x BETWEEN 1000 AND 999999 THEN 'K' WHEN x BETWEEN 1000000 AND 999999999 THEN 'M' WHEN x >= 1e9 THEN 'B' END AS unit
+FROM (SELECT v, coalesce(TRY_CAST(replace(v, ',', '') AS DOUBLE), 0) AS x FROM (VALUES {", ".join(f"({S.quoted(n)})" for n in NUMBERS)}) t(v))"""
+)
+def number_normalise(spark, sf_dir):
+    rows = spark.createDataFrame([(n,) for n in NUMBERS], "token string").withColumn("term", X.number_term(F.col("token")))
+    unit = F.regexp_extract("term", "([KMB]?)$", 1)
+    return rows.select("token", F.regexp_replace("term", "[KMB]$", "").cast("double").alias("value"), unit.alias("unit"))
+
+
+@query(
+    f"""SELECT v AS amount, CASE WHEN x BETWEEN 0 AND 999999 THEN p || ' Dollars' WHEN x >= 1000000 AND x / 1000000 = floor(x / 1000000) THEN (x / 1000000)::BIGINT || ' M Dollars' WHEN x >= 1000000 THEN (x / 1000000)::VARCHAR || ' M Dollars' END AS term
+FROM (SELECT v, replace(v, '$', '') AS p, TRY_CAST(replace(replace(v, '$', ''), ',', '') AS DOUBLE) AS x FROM (VALUES {", ".join(f"({S.quoted(n)})" for n in PRICES)}) t(v))"""
+)
+def price_normalise(spark, sf_dir):
+    return spark.createDataFrame([(n,) for n in PRICES], "amount string").withColumn("term", X.price_term(F.col("amount")))
+
+
+@query(
+    f"""SELECT m AS month, y AS year, d AS day, n || '-' || lpad(d, 2, '0') AS day_term, y || '-' || n AS year_term
+FROM (SELECT m, y, d, CASE substr(lower(m), 1, 3) {" ".join(f"WHEN '{x[:3]}' THEN '{k:02d}'" for k, x in enumerate(X.MONTHS, 1))} END AS n FROM (VALUES {", ".join(f"({S.quoted(a)}, {S.quoted(b)}, {S.quoted(c)})" for a, b, c in DATES)}) t(m, y, d))"""
+)
+def date_normalise(spark, sf_dir):
+    rows = spark.createDataFrame(list(DATES), "month string, year string, day string")
+    return rows.withColumn("day_term", X.day_term(F.col("month"), F.col("day"))).withColumn("year_term", X.year_term(F.col("month"), F.col("year")))
+
+
+@query(f"SELECT v::BIGINT AS people, CASE WHEN v > 1000000 THEN 'M' || round(v / 1e6, 2)::DOUBLE::VARCHAR ELSE v::VARCHAR END AS shown FROM (VALUES {', '.join(f'({n})' for n in POPULATIONS)}) t(v)")
+def population_format(spark, sf_dir):
+    return spark.createDataFrame([(n,) for n in POPULATIONS], "people long").withColumn("shown", X.population_text(F.col("people")))
+
+
+@query("SELECT '1' AS query_id, d.doc_id, d.source AS parent_file FROM labels l JOIN documents d USING (doc_id) WHERE l.quality = 1")
+def qrels_join(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.lit("1").alias("query_id"), "doc_id", F.col("quality").alias("relevance"))
+    return reports.judged_files(labels, _docs(spark, sf_dir))
+
+
+@query("SELECT doc_id, term, tf FROM (" + f"WITH {S.occurrences('occ', 'SELECT conv_id AS doc_id, text FROM conversations')} SELECT doc_id, term, count(*) AS tf FROM occ GROUP BY doc_id, term)")
+def conversation_postings(spark, sf_dir):
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("doc_id"), "text")
+    return ix.postings(ix.occurrences(turns)).select("doc_id", "term", "tf")
+
+
+@query()
+def full_parse(spark, sf_dir):
+    """All rules: doc_id, pos, term, is_upper."""
+    return ix.occurrences(_docs(spark, sf_dir), analyzer="full").select("doc_id", "pos", "term", "is_upper")
+
+
+@query()
+def capital_runs(spark, sf_dir):
+    """Phrases of capitalised words and how many documents have them."""
+    occ = ix.occurrences(_docs(spark, sf_dir), analyzer="full").filter("is_upper AND term LIKE '% %'")
+    return occ.groupBy("term").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("df"))
+
+
+@query()
+def quoted_phrases(spark, sf_dir):
+    docs = _docs(spark, sf_dir).filter(F.col("text").contains('"'))
+    made = with_terms(docs.select("doc_id", "text"), "text", STOP_WORDS)
+    return made.select("doc_id", F.explode("terms").alias("t")).filter("NOT t.is_upper AND t.term LIKE '% %'").select("doc_id", F.col("t.term").alias("term"))
+
+
+@query()
+def stems(spark, sf_dir):
+    """Each distinct term is stemmed once."""
+    return _terms(spark, sf_dir).select("term").withColumn("stem", porter_stem("term"))
+
+
+@query()
+def stemmed_index(spark, sf_dir):
+    post = _post(spark, sf_dir)
+    vocabulary = post.select("term").distinct().withColumn("stem", porter_stem("term"))
+    return post.join(vocabulary, "term").groupBy("stem").agg(F.count_distinct("doc_id").alias("df"), F.sum("tf").alias("total_tf"))
+
+
+@query()
+def full_search(spark, sf_dir):
+    """All rules, headlines, expansion, top 50 of each benchmark topic over the pages."""
+    index = ix.build(src.from_pages(spark, sf_dir), analyzer="full")
+    return rk.search(index, _topics(spark, sf_dir), analyzer="full").withColumn("score", F.round("score", 6))
+
