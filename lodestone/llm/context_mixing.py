@@ -38,7 +38,7 @@ STEPS = 33
 RATE = 0.15
 BLOCK = 1 << 16
 #: Words of text in a batch of documents, and distinct words in a shard of the model's training.
-BATCH_WORDS = 1_000_000
+BATCH_WORDS = 5_000_000
 SHARD_WORDS = 1_000_000
 CHUNK = 20_000
 
