@@ -1,12 +1,15 @@
 """MinHash near-dedup: a set similarity join by chosen paths.
 
 Documents with equal shingle sets are one class. Trees branch the classes: a node picks coordinates of
-the classes' minhash signatures and parts its members by their tokens there, two coordinates at each
-node, so that a pair of the wanted similarity stays together on some path of a tree with a chance of
-about 0.94 at any depth, and of 0.999 in one of TREES. Nodes of at most LEAF members are compared
-exhaustively by signature. Larger ones compare all members with a few pivots, which links a group of
-near copies in one step, and branch on unless all their members are already in one component.
-Every link is confirmed on the full shingle sets; components are unions of confirmed links.
+the classes' minhash signatures and parts its members by their tokens there. Two levels below its root
+a tree has kept a pair of similarity 0.8 together with a chance of 0.94, and one of TREES with 0.999.
+Nodes of at most LEAF members are compared exhaustively by signature; larger ones compare all members
+with a few pivots and branch on, unless all their members are already in one candidate cluster.
+
+Candidate clusters are disjoint, so each is then judged by itself on its full shingle sets: an
+inverted index over the cluster counts what a document shares with all others at once, and documents
+of the largest component found so far need not be asked again. Clusters too large for one task are
+judged by pivots first and then block by block for what the pivots left over.
 """
 
 from __future__ import annotations
@@ -27,13 +30,14 @@ PERCENT = 80
 #: Coordinates of a signature, 16 bits each.
 WIDTH = 128
 TREES = 3
-LEAF = 256
-#: Signatures that agree in this share of coordinates belong to a candidate: 3.4 standard errors below 0.8.
-CANDIDATE = 0.68
-#: Members that agree so well join at once while a leaf is compared, and pairs within are skipped.
-CLOSE = 0.92
+LEAF = 4096
+#: Signatures that agree in this share of coordinates belong to a candidate: 2.8 standard errors below 0.8.
+CANDIDATE = 0.70
 #: Levels after which a node that is still large is compared block by block.
-DEEPEST = 10
+DEEPEST = 8
+#: Shingles of a cluster that one task judges, and those of a block of what pivots left over.
+CLUSTER_SHINGLES = 3_000_000
+BLOCK_SHINGLES = 400_000
 BROADCAST_IDS = 2_000_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -151,53 +155,111 @@ def _sets(n: int):
     return run
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates within each node; rows come sorted by node."""
-    held: list[tuple] = []
+class _Forest:
+    """Union-find; united() tells whether the two were apart."""
 
-    def leaf(rows: list[tuple], out: list[tuple[bytes, bytes]]) -> None:
-        if len(rows) < 2:
-            return
-        rows.sort(key=lambda r: r[1])
-        sig = np.frombuffer(b"".join(r[2] for r in rows), "<u2").reshape(len(rows), WIDTH)
-        side = [r[3] for r in rows]
-        root = list(range(len(rows)))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        likely: list[tuple[int, int]] = []
-        for i in range(len(rows) - 1):
-            alike = (sig[i + 1 :] == sig[i]).mean(axis=1)
-            for j in (np.flatnonzero(alike >= CANDIDATE) + i + 1).tolist():
-                if side[i] is not None and side[i] == side[j] and side[i] >= 0:
-                    continue
-                if alike[j - i - 1] >= CLOSE:
-                    a, b = find(i), find(j)
-                    if a != b:
-                        root[max(a, b)] = min(a, b)
-                        out.append((rows[i][1], rows[j][1]))
-                else:
-                    likely.append((i, j))
-        out += [(rows[i][1], rows[j][1]) for i, j in likely if find(i) != find(j)]
-
-    def made(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], names=["u", "v"])
+    def __init__(self, n: int) -> None:
+        self.root = list(range(n))
+
+    def find(self, x: int) -> int:
+        root = self.root
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
 
+    def united(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        self.root[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[tuple]]:
+    """Rows in groups of equal first columns; they come sorted by it."""
+    held: list[tuple] = []
     for batch in batches:
-        out: list[tuple[bytes, bytes]] = []
-        for row in zip(*[batch.column(c).to_pylist() for c in ("node", "key", "sig", "side")], strict=True):
+        for row in zip(*[batch.column(c).to_pylist() for c in names], strict=True):
             if held and held[0][0] != row[0]:
-                leaf(held, out)
+                yield held
                 held = []
             held.append(row)
-        yield made(out)
-    out = []
-    leaf(held, out)
-    yield made(out)
+    if held:
+        yield held
+
+
+def _pairs(runs: Iterator[list[tuple]], judge) -> Iterator[pa.RecordBatch]:
+    """What judge makes of each run, some pairs at a time."""
+    out: list[tuple[bytes, bytes]] = []
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.binary()) for i in (0, 1)], names=["u", "v"])
+
+    for rows in runs:
+        if len(rows) > 1:
+            out += judge(rows)
+        if len(out) > 50_000:
+            yield made()
+            out = []
+    yield made()
+
+
+def _leaf(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
+    """A spanning forest of a node's candidates. side: of two blocks, -1 in a block that is compared with itself."""
+    rows = sorted(rows, key=lambda r: r[1])
+    sig = np.frombuffer(b"".join(r[2] for r in rows), "<u2").reshape(len(rows), WIDTH)
+    side = np.array([-1 if r[3] is None else r[3] for r in rows])
+    forest = _Forest(len(rows))
+    for i in range(len(rows) - 1):
+        alike = (sig[i + 1 :] == sig[i]).mean(axis=1) >= CANDIDATE
+        for j in (np.flatnonzero(alike & ((side[i + 1 :] != side[i]) | (side[i] < 0))) + i + 1).tolist():
+            if forest.united(i, j):
+                yield rows[i][1], rows[j][1]
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _pairs(_runs(batches, ["node", "key", "sig", "side"]), _leaf)
+
+
+def _judged(percent: int):
+    def cluster(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
+        """A spanning forest of a cluster's links on full sets. asks: rows that are compared with all others (in a block), else None."""
+        rows = sorted(rows, key=lambda r: r[1])
+        n = len(rows)
+        sets = [np.asarray(r[2], np.int64) for r in rows]
+        size = np.array([len(x) for x in sets])
+        owner = np.repeat(np.arange(n), size)
+        values, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+        order = np.argsort(inverse, kind="stable")
+        posted = owner[order]
+        begin = np.concatenate([[0], np.cumsum(np.bincount(inverse, minlength=len(values)))])
+        at = np.concatenate([[0], np.cumsum(size)])
+        forest = _Forest(n)
+        asks = [i for i in range(n) if rows[i][3]]
+        asked = set()
+
+        def ask(i: int) -> Iterator[tuple[bytes, bytes]]:
+            asked.add(i)
+            own = inverse[at[i] : at[i + 1]]
+            shared = np.bincount(np.concatenate([posted[begin[s] : begin[s + 1]] for s in own.tolist()]), minlength=n)
+            for j in np.flatnonzero(100 * shared >= percent * (size + size[i] - shared)).tolist():
+                if j != i and forest.united(i, j):
+                    yield rows[i][1], rows[j][1]
+
+        if len(asks) < n:
+            for i in asks:
+                yield from ask(i)
+            return
+        yield from ask(int(np.argsort(size, kind="stable")[n // 2]))
+        roots = [forest.find(i) for i in range(n)]
+        largest = np.bincount(roots).argmax()
+        for i in range(n):
+            if i not in asked and forest.find(i) != forest.find(int(largest)):
+                yield from ask(i)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _pairs(_runs(batches, ["place", "key", "set", "asks"]), cluster)
+
+    return run
 
 
 def _token(sig: Column, c: Column) -> Column:
@@ -216,13 +278,14 @@ def _root(classes: DataFrame) -> DataFrame:
 
 
 def _branch(rows: DataFrame, classes: DataFrame, level: int) -> DataFrame:
-    """Children of the rows' nodes by two coordinates that the node picks."""
+    """Children of the rows' nodes by a coordinate that the node picks, and at one node in four by a second: 1 / 0.8 on average."""
     signed = rows.join(classes.select("key", "sig"), "key")
     children = []
     for b in range(2):
         c = F.pmod(F.xxhash64("node", F.lit(level), F.lit(b)), F.lit(WIDTH)).cast("int")
-        children.append(F.xxhash64("node", c, _token(F.col("sig"), c)))
-    return signed.select("key", F.explode(F.array(*children)).alias("node"))
+        child = F.xxhash64("node", c, _token(F.col("sig"), c))
+        children.append(child if b == 0 else F.when(F.pmod(F.xxhash64("node", F.lit(level), F.lit(7)), F.lit(4)) == 0, child))
+    return signed.select("key", F.explode(F.array(*children)).alias("node")).filter("node IS NOT NULL")
 
 
 def _alike(a: str, b: str) -> Column:
@@ -230,11 +293,15 @@ def _alike(a: str, b: str) -> Column:
     return F.size(same) / F.lit(WIDTH)
 
 
-def near_links(docs: DataFrame, rows: DataFrame, n: int, percent: int, leaf: int = LEAF, broadcast_ids: int = BROADCAST_IDS) -> tuple[DataFrame, DataFrame]:
-    """(links between class keys, components of their keys). docs: doc_id, text; rows: what _sign made of them."""
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    classes = written(rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("sig").alias("sig")), "near-classes")
-    links, labels = None, None
+def _streamed(rows: DataFrame, by: str, run, schema: str) -> DataFrame:
+    """Groups of ``by`` one after the other, sorted within partitions."""
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(parts, by).sortWithinPartitions(by).mapInArrow(run, schema)
+
+
+def candidate_clusters(classes: DataFrame, leaf: int = LEAF) -> DataFrame:
+    """(node, label): candidate clusters of class keys. classes: key, sig."""
+    edges, labels = None, None
     nodes = _root(classes)
     for level in range(DEEPEST + 1):
         nodes = written(nodes.distinct(), "near-nodes")
@@ -243,60 +310,80 @@ def near_links(docs: DataFrame, rows: DataFrame, n: int, percent: int, leaf: int
         many = written(many, "near-sizes")
         placed = nodes.join(many.select("node", "n"), "node")
         small = placed.filter(F.col("n") <= leaf).select("node", "key", F.lit(None).cast("int").alias("side"))
+        large = placed.filter(F.col("n") > leaf)
         if level == DEEPEST:  # block by block: each pair of blocks of a node is a leaf of its own
-            large = placed.filter(F.col("n") > leaf)
             blocks = F.ceil(F.col("n") * 2 / leaf).cast("int")
             own = F.pmod(F.xxhash64("key", F.lit(3)), blocks).cast("int")
-            every = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
-            paired = large.select("node", "key", own.alias("own"), every)
+            paired = large.select("node", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
             pair = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
             side = F.when(F.col("own") == F.col("other"), F.lit(-1)).otherwise(F.col("own"))
             small = small.unionByName(paired.select(pair.alias("node"), "key", side.alias("side")))
-        signed = small.join(classes.select("key", "sig"), "key")
-        leaves = signed.repartition(parts, "node").sortWithinPartitions("node").select("node", "key", "sig", "side")
-        found = leaves.mapInArrow(_compare, "u binary, v binary")
+        signed = small.join(classes.select("key", "sig"), "key").select("node", "key", "sig", "side")
+        found = _streamed(signed, "node", _compare, "u binary, v binary")
         hot = many.filter(F.col("n") > leaf)
         any_hot = level < DEEPEST and not hot.isEmpty()
         if any_hot:
-            star = placed.filter(F.col("n") > leaf).select("node", "key").join(hot.select("node", F.explode(F.array_distinct("pivots")).alias("pivot")), "node")
+            star = large.select("node", "key").join(hot.select("node", F.explode(F.array_distinct("pivots")).alias("pivot")), "node")
             star = star.filter("key <> pivot").select(F.col("pivot").alias("u"), F.col("key").alias("v")).distinct()
             sigs = classes.select("key", "sig")
             star = star.join(sigs.select(F.col("key").alias("u"), F.col("sig").alias("a")), "u").join(sigs.select(F.col("key").alias("v"), F.col("sig").alias("b")), "v")
             found = found.unionByName(star.filter(_alike("a", "b") >= CANDIDATE).select("u", "v"))
-        pairs = found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        pairs = written(pairs, "near-pairs")
-        if links is not None:
-            pairs = pairs.join(links, ["u", "v"], "left_anti")
-        fresh = confirmed(docs, pairs, classes, n, percent, broadcast_ids)
-        links = written(fresh if links is None else links.unionByName(fresh), "near-links")
-        labels = written(components(links, "near-components"), "near-labels")
+        found = found if edges is None else found.unionByName(edges)
+        edges = written(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "near-candidates")
+        labels = written(components(edges, "near-components"), "near-clusters")
         if not any_hot:
-            break
-        members = placed.filter(F.col("n") > leaf).select("node", "key")
-        members = members.join(labels.select(F.col("node").alias("key"), "label"), "key", "left")
+            return labels
+        members = large.select("node", "key").join(labels.select(F.col("node").alias("key"), "label"), "key", "left")
         label = F.coalesce("label", "key")
         apart = members.groupBy("node").agg(F.min(label).alias("a"), F.max(label).alias("b")).filter("a <> b").select("node")
-        nodes = _branch(placed.filter(F.col("n") > leaf).select("node", "key").join(apart, "node", "left_semi"), classes, level)
-    return links, labels
+        nodes = _branch(large.select("node", "key").join(apart, "node", "left_semi"), classes, level)
+    return labels
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, percent: int, broadcast_ids: int) -> DataFrame:
-    """The pairs whose full sets meet the similarity; sets are made again for the documents that need them."""
-    pairs = written(pairs, "near-doubtful")
-    needed = pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct()
-    needed = written(needed.join(classes.select("key", "rep"), "key"), "near-needed")
-    few = needed.count() <= broadcast_ids
-    wanted = F.broadcast(needed) if few else needed
+def confirmed(docs: DataFrame, clusters: DataFrame, classes: DataFrame, n: int, percent: int, broadcast_ids: int = BROADCAST_IDS, cluster_shingles: int = CLUSTER_SHINGLES) -> DataFrame:
+    """(node, label): components of links on full sets. The sets of clustered classes are made again from their documents."""
+    members = clusters.select(F.col("node").alias("key"), F.col("label").alias("cluster")).join(classes.select("key", "rep", "size"), "key")
+    needed = written(members, "near-needed")
+    wanted = needed.select("key", "rep")
+    wanted = F.broadcast(wanted) if needed.count() <= broadcast_ids else wanted
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["rep"])).select("text", "key")
     sets = texts.mapInArrow(_sets(n), "key binary, set array<bigint>").groupBy("key").agg(F.first("set").alias("set"))
-    sets = written(sets, "near-sets")
-    first = pairs.join(sets.select(F.col("key").alias("u"), F.col("set").alias("a")), "u")
-    both = first.join(sets.select(F.col("key").alias("v"), F.col("set").alias("b")), "v")
-    common = F.size(F.array_intersect("a", "b"))
-    return both.filter(common * 100 >= percent * (F.size("a") + F.size("b") - common)).select("u", "v")
-
-
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, leaf: int = LEAF, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    sets = written(sets.join(needed, "key"), "near-sets")
+    weight = needed.groupBy("cluster").agg(F.sum("size").alias("weight"))
+    weight = written(weight, "near-weights")
+    light = sets.join(weight.filter(F.col("weight") <= cluster_shingles), "cluster")
+    links = _streamed(light.select(F.col("cluster").alias("place"), "key", "set", F.lit(True).alias("asks")), "place", _judged(percent), "u binary, v binary")
+    heavy = weight.filter(F.col("weight") > cluster_shingles)
+    if not heavy.isEmpty():
+        links = written(links.unionByName(_heavy_links(sets, heavy, percent)), "near-links")
+    return written(components(links, "near-confirmed"), "near-labels")
+
+
+def _heavy_links(sets: DataFrame, heavy: DataFrame, percent: int) -> DataFrame:
+    """Links of large clusters: of all members with a few pivots; then of what isn't in the largest component so found, block by block."""
+    sets = sets.join(heavy, "cluster")
+    rank = F.xxhash64("key", F.lit(11))
+    firsts = sets.groupBy("cluster").agg(F.min_by("key", rank).alias("a"), F.max_by("key", rank).alias("b"), F.min("key").alias("c"))
+    pivots = firsts.select("cluster", F.explode(F.array_distinct(F.array("a", "b", "c"))).alias("key")).join(sets.select("key", "set"), "key")
+    pivots = written(pivots.select("cluster", F.col("key").alias("u"), F.col("set").alias("pivot")), "near-pivots")
+    common = F.size(F.array_intersect("set", "pivot"))
+    star = sets.join(pivots, "cluster").filter("key <> u").filter(common * 100 >= percent * (F.size("set") + F.size("pivot") - common))
+    star = written(star.select("u", F.col("key").alias("v")), "near-star")
+    found = written(components(star, "near-star-components"), "near-star-labels")
+    placed = sets.select("cluster", "key", "size").join(found.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    placed = written(placed, "near-placed")
+    largest = placed.groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
+    left = placed.join(largest, "cluster").filter("label <> largest").select("cluster", "key", "size")
+    blocks = left.groupBy("cluster").agg(F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int").alias("across"))
+    blocks = written(blocks.join(heavy.select("cluster", F.ceil(F.col("weight") / (4 * BLOCK_SHINGLES)).cast("int").alias("down")), "cluster"), "near-blocks")
+    a = left.join(blocks, "cluster").select("cluster", "key", F.pmod(rank, F.col("across")).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("y"), F.lit(True).alias("asks"))
+    b = placed.join(blocks, "cluster").select("cluster", "key", F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("x"), F.pmod(F.xxhash64("key", F.lit(12)), F.col("down")).cast("int").alias("y"), F.lit(False).alias("asks"))
+    cells = a.unionByName(b).groupBy("cluster", "key", "x", "y").agg(F.max("asks").alias("asks"))
+    rows = cells.join(sets.select("key", "set"), "key").select(F.xxhash64("cluster", "x", "y").cast("string").cast("binary").alias("place"), "key", "set", "asks")
+    return star.unionByName(_streamed(rows, "place", _judged(percent), "u binary, v binary"))
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, leaf: int = LEAF, broadcast_ids: int = BROADCAST_IDS, cluster_shingles: int = CLUSTER_SHINGLES) -> DataFrame:
     """Near-duplicate components of documents by their words' shingle sets.
 
     Links have 100 * intersection >= percent * union. Returns one row for each row of docs: doc_id,
@@ -307,7 +394,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = written(rows.mapInArrow(_sign(shingle), "doc_id long, n_shingles long, key binary, sig binary"), "near-rows")
-    _, labels = near_links(rows, signed, shingle, percent, leaf, broadcast_ids)
+    classes = signed.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("sig").alias("sig"))
+    classes = written(classes, "near-classes")
+    labels = confirmed(rows, candidate_clusters(classes, leaf), classes, shingle, percent, broadcast_ids, cluster_shingles)
     narrow = signed.select("doc_id", "n_shingles", "key")
     firsts = narrow.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first"))
     firsts = firsts.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").select("key", "first", F.coalesce("label", "key").alias("label"))
