@@ -36,7 +36,7 @@ def tokenize(text: Column) -> Column:
 def clean_token(token: Column) -> Column:
     """Strips EDGES from both ends; from a negative number on nothing is stripped."""
     negative = F.regexp_extract(token, f"^{EDGE}*?(-[0-9].*)$", 1)
-    return F.when(token.rlike(f"^{EDGE}*-[0-9]"), negative).otherwise(F.regexp_replace(token, f"^{EDGE}+|{EDGE}+$", ""))
+    return F.when(token.contains("-") & token.rlike(f"^{EDGE}*-[0-9]"), negative).otherwise(F.trim(token, F.lit(EDGES)))
 
 
 def is_number(token: Column) -> Column:
@@ -48,7 +48,7 @@ def is_capital(token: Column) -> Column:
 
 
 def long_enough(raw: Column, cleaned: Column) -> Column:
-    return is_number(cleaned) | ((F.length(raw) >= 2) & (F.length(cleaned) >= 2))
+    return ((F.length(raw) >= 2) & (F.length(cleaned) >= 2)) | is_number(cleaned)
 
 
 def hyphens_ok(term: Column) -> Column:
@@ -58,7 +58,7 @@ def hyphens_ok(term: Column) -> Column:
 
 
 def accepted(term: Column) -> Column:
-    return (F.length(term) >= 2) & ~term.rlike(REJECT) & hyphens_ok(term)
+    return (F.length(term) >= 2) & hyphens_ok(term) & ~term.rlike(REJECT)
 
 
 def fold(term: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as X
 from lodestone.functions.terms import with_terms
 from lodestone.operators.stop_words import STOP_WORDS
+from lodestone.operators.storage import materialize
 
 TABLES = ("postings", "terms", "doc_stats", "headers", "entities", "city_docs", "corpus_stats", "languages")
 ENTITIES = 5
@@ -18,12 +19,12 @@ ENTITIES = 5
 
 def simple_terms(text: Column, stop_words: Iterable[str]) -> Column:
     """array<struct<pos,term,is_upper>> with built-in functions only: single words, no look-ahead."""
-    stop = F.array(*[F.lit(w) for w in sorted({*stop_words, *X.DROPPED})])
+    stop = sorted({*stop_words, *X.DROPPED})
     raw = X.tokenize(text)
     placed = F.transform(raw, lambda t, k: F.struct(k.alias("pos"), t.alias("raw"), X.clean_token(t).alias("c")))
     placed = F.filter(placed, lambda t: X.long_enough(t["raw"], t["c"]))
     terms = F.transform(placed, lambda t: F.struct(t["pos"].alias("pos"), F.lower(t["c"]).alias("term"), X.is_capital(t["c"]).alias("is_upper")))
-    return F.filter(terms, lambda t: ~F.array_contains(stop, t["term"]) & X.accepted(t["term"]))
+    return F.filter(terms, lambda t: ~t["term"].isin(stop) & X.accepted(t["term"]))
 
 
 def occurrences(docs: DataFrame, stop_words: Iterable[str] = STOP_WORDS, analyzer: str = "simple", stemming: bool = False, text_col: str = "text") -> DataFrame:
@@ -115,10 +116,10 @@ class Index:
 
 
 def build(docs: DataFrame, stop_words: Iterable[str] = STOP_WORDS, analyzer: str = "simple", stemming: bool = False, cities: DataFrame | None = None) -> Index:
-    """All tables of a corpus (doc_id, parent_file, city, lang, headline, text), lazily."""
+    """All tables of a corpus (doc_id, parent_file, city, lang, headline, text). Postings are made once and written; the rest is lazy."""
     from lodestone.sources.corpus import languages
 
-    post = postings(occurrences(docs, stop_words, analyzer, stemming))
+    post = materialize(postings(occurrences(docs, stop_words, analyzer, stemming)), "postings")
     n_docs = docs.count()
     terms = term_dictionary(post, n_docs)
     headers = header_index(docs, stop_words, analyzer, stemming)

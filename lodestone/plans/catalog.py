@@ -12,6 +12,7 @@ from lodestone.operators import index as ix
 from lodestone.operators import ranking as rk
 from lodestone.operators import reports
 from lodestone.operators.stop_words import STOP_WORDS
+from lodestone.operators.storage import materialize
 from lodestone.plans import sql as S
 from lodestone.sources import corpus as src
 
@@ -50,6 +51,11 @@ def _post(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ix.postings(_occ(spark, sf_dir))
 
 
+def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings for plans that read them more than once."""
+    return materialize(_post(spark, sf_dir), "postings")
+
+
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ix.term_dictionary(_post(spark, sf_dir), 0)
 
@@ -138,7 +144,7 @@ def entity_flag(spark, sf_dir):
     f"WITH {IDX}, r AS (SELECT p.doc_id, upper(replace(p.term, 'ß', 'ss')) AS entity, p.tf, (row_number() OVER (PARTITION BY p.doc_id ORDER BY p.tf DESC, p.term))::INTEGER AS rank FROM post p JOIN terms t USING (term) WHERE t.is_entity) SELECT * FROM r WHERE rank <= 5"
 )
 def doc_entities_top5(spark, sf_dir):
-    post = _post(spark, sf_dir)
+    post = _kept(spark, sf_dir)
     return ix.doc_entities(post, ix.term_dictionary(post, 0))
 
 
@@ -181,12 +187,12 @@ def global_max_tf(spark, sf_dir):
 
 @query(f"WITH {IDX} SELECT 'terms' AS what, count(*) AS n FROM terms UNION ALL SELECT 'documents', count(*) FROM stats")
 def run_summary(spark, sf_dir):
-    post = _post(spark, sf_dir)
+    post = _kept(spark, sf_dir)
     return reports.run_summary(ix.term_dictionary(post, 0), post.select("doc_id").distinct())
 
 
 def _scored(spark: SparkSession, sf_dir: str, topics: DataFrame) -> DataFrame:
-    post = _post(spark, sf_dir)
+    post = _kept(spark, sf_dir)
     stats = post.groupBy("doc_id").agg(F.sum("tf").alias("doc_len"))
     terms = rk.distinct_terms(rk.query_terms(topics, "title")).withColumns({"in_title": F.lit(True), "in_desc": F.lit(False)})
     rows = rk.term_weights(rk.candidates(terms, post, stats), ix.corpus_stats(stats))
@@ -246,12 +252,12 @@ def _city_docs(spark: SparkSession, post: DataFrame) -> DataFrame:
 
 @query(f"WITH {IDX} {CITY_SQL}")
 def city_index(spark, sf_dir):
-    return _city_docs(spark, _post(spark, sf_dir))
+    return _city_docs(spark, _kept(spark, sf_dir))
 
 
 @query(f"WITH {IDX}, c AS ({CITY_SQL}) SELECT p.doc_id, p.term, p.tf FROM post p WHERE p.term = 'license' AND p.doc_id IN (SELECT doc_id FROM c WHERE city IN ('APACHE', 'MIT'))")
 def city_semi_filter(spark, sf_dir):
-    post = _post(spark, sf_dir)
+    post = _kept(spark, sf_dir)
     allowed = _city_docs(spark, post).filter(F.col("city").isin("APACHE", "MIT")).select("doc_id").distinct()
     return post.filter("term = 'license'").join(allowed, "doc_id", "left_semi").select("doc_id", "term", "tf")
 
@@ -410,7 +416,7 @@ def stems(spark, sf_dir):
 
 @query()
 def stemmed_index(spark, sf_dir):
-    post = _post(spark, sf_dir)
+    post = _kept(spark, sf_dir)
     vocabulary = post.select("term").distinct().withColumn("stem", porter_stem("term"))
     return post.join(vocabulary, "term").groupBy("stem").agg(F.count_distinct("doc_id").alias("df"), F.sum("tf").alias("total_tf"))
 

@@ -108,15 +108,21 @@ def read_qrels(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("query_id int, iter string, doc_id string, relevance int").option("sep", " ").csv(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals rows out anew where a table has fewer splits than there are cores (one small file); large tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.rdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``documents`` table as a corpus."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text"))
     return docs.select("doc_id", F.col("source").alias("parent_file"), F.lit(None).cast("string").alias("city"), "lang", F.lit("").alias("headline"), "text")
 
 
 def from_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``pages`` table as a corpus: titles as headlines, what isn't markup as text."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"))
     head = F.concat_ws(" ", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1), F.regexp_extract("html", "(?s)<h1[^>]*>(.*?)</h1>", 1))
     body = F.regexp_replace(F.regexp_replace("html", r"(?s)<(script|style)[^>]*>.*?</(script|style)>", " "), "(?s)<[^>]*>", " ")
     return pages.select(F.col("page_id").alias("doc_id"), F.lit(None).cast("string").alias("parent_file"), F.lit(None).cast("string").alias("city"), F.lit(None).cast("string").alias("lang"), head.alias("headline"), body.alias("text"))
