@@ -36,7 +36,7 @@ PRIOR = 0.3
 STEPS = 33
 #: Of learning weights, over the root of the summed squared slopes.
 RATE = 0.15
-BLOCK = 1 << 16
+BLOCK = 1 << 14
 #: Words of text in a batch of documents, and distinct words in a shard of the model's training.
 BATCH_WORDS = 5_000_000
 SHARD_WORDS = 1_000_000
@@ -244,14 +244,25 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([b // (2 * BLOCK)], pa.int32()), pa.array([packed.tobytes()], pa.binary())], names=["k", "block", "counts"])
 
 
-def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = None
-    for raw, k in zip(pdf["counts"], pdf["k"], strict=True):
-        width = min(2 << SLOTS[k], 2 * BLOCK)
-        values = np.frombuffer(raw, "<u4" if len(raw) == 4 * width else np.float64).astype(np.float64)
-        total = values if total is None else total + values
-    pair = code(total[0::2]).astype("<u2") | (code(total[1::2]).astype("<u2") << 8)
-    return pd.DataFrame({"k": pdf["k"][:1], "block": pdf["block"][:1], "pairs": [pair.astype("<u2").tobytes()]})
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of each block, which come sorted; one block is held at a time."""
+    at, total = None, None
+
+    def made() -> pa.RecordBatch:
+        pair = code(total[0::2]).astype("<u2") | (code(total[1::2]).astype("<u2") << 8)
+        return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), pa.array([pair.astype("<u2").tobytes()], pa.binary())], names=["k", "block", "pairs"])
+
+    for batch in batches:
+        for k, block, raw in zip(*[batch.column(c).to_pylist() for c in ("k", "block", "counts")], strict=True):
+            width = min(2 << SLOTS[k], 2 * BLOCK)
+            values = np.frombuffer(raw, "<u4" if len(raw) == 4 * width else np.float64)
+            if at is not None and at != (k, block):
+                yield made()
+                total = None
+            at = (k, block)
+            total = values.astype(np.float64) if total is None else total + values
+    if at is not None:
+        yield made()
 
 
 def _learn(pairs):
@@ -321,7 +332,9 @@ def score_documents(docs: DataFrame, learn: str = "true", id_col: str = "doc_id"
     shards = max(1, -(-distinct // SHARD_WORDS))
     parts = known.repartition(shards, F.xxhash64("word", F.lit(7))).mapInArrow(_counts, "k int, block int, counts binary")
     tables = [np.zeros(1 << s, np.uint16) for s in SLOTS]
-    for k, block, pairs in parts.groupBy("k", "block").applyInPandas(_merged, "k int, block int, pairs binary").collect():
+    partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    merged = parts.repartition(partitions, "k", "block").sortWithinPartitions("k", "block").mapInArrow(_merged, "k int, block int, pairs binary")
+    for k, block, pairs in merged.collect():
         own = np.frombuffer(pairs, "<u2")
         tables[k][block * BLOCK : block * BLOCK + len(own)] = own
     shared = sc.broadcast(tables)  # of one size, whatever the corpus: about 26 MB
