@@ -74,24 +74,22 @@ def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray
     bits = widest.copy()
     selector = (bits <= WIDTHS[0]).astype(np.uint8)
     last = 1
-    for s, (count, width) in enumerate(zip(COUNTS[1:], WIDTHS[1:], strict=True), 2):
+    for count, width in zip(COUNTS[1:], WIDTHS[1:], strict=True):
         for k in range(last, count):
             np.maximum(widest[:-k], bits[k:], out=widest[:-k])
         last = count
-        fits = widest <= width
-        fits[-count:] = False
-        selector[fits] = s
-        if not fits.any():
-            break
+        selector += widest <= width  # what fits here fits every selector before
     step = np.array((1, *COUNTS), np.int64)[selector]
     at = np.arange(lanes) * row
     ends = at + np.minimum(block, n - np.arange(lanes) * block)
-    live, visited = np.arange(lanes), []
-    while len(live):
-        visited.append(at[live])
-        at[live] += step[at[live]]
-        live = live[at[live] < ends[live]]
-    begin = np.sort(np.concatenate(visited))
+    visited = np.zeros(len(grid), bool)
+    while len(at):
+        visited[at] = True
+        at = at + step[at]
+        live = at < ends
+        if not live.all():
+            at, ends = at[live], ends[live]
+    begin = np.flatnonzero(visited)
     owner = begin // row
     block_at = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=lanes))[:-1]]).astype(np.uint32)
     chosen = selector[begin]
@@ -159,37 +157,48 @@ def from_image(image: bytes) -> tuple[np.ndarray, np.ndarray]:
 # --- tokenizing -------------------------------------------------------------------------------------
 
 #: A worker forgets its pieces when so many are known.
-MOST_PIECES = 1_000_000
+MOST_PIECES = 1_200_000
 
 
 #: White space by any of the libraries' rules, and what would join it to a blank.
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u180e\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200C)))
-ASCII_SPACES = "".join(c for c in SPACES if c.isascii())
+MARKS = ".,;:!?"
 
 
 class _Pieces(dict):
     """Piece of text -> row of the id table; an unknown piece gets a row at once and is encoded later."""
 
-    def __init__(self, new: list[str], lead: str) -> None:
-        self.new, self.lead = new, lead
+    def __init__(self, rows: list[int]) -> None:
+        self.rows = rows
+        self.new: list[str] = []
+        self.new_rows: list[int] = []
 
     def __missing__(self, piece: str) -> int:
         self[piece] = k = self.rows[0]
-        self.rows[0] += 1
-        self.new.append(self.lead + piece)
+        self.rows[0] = k + 1
+        self.new.append(piece)
+        self.new_rows.append(k)
         return k
 
+    def taken(self) -> tuple[list[str], list[int]]:
+        out = self.new, self.new_rows
+        self.new, self.new_rows = [], []
+        return out
+
 
 class PieceEncoder:
-    """Encodes whole texts with a ``tokenizers`` byte-level BPE file, each distinct piece once.
+    """Encodes whole texts with a ``tokenizers`` byte-level BPE file, each distinct piece once, and an end id.
 
     The file's pre-tokenizer never joins text across a single blank that stands between two
-    characters that aren't white space, so a text is cut there and the ids of its pieces are those of
-    the whole text. Where white space adjoins a blank the parts stay together. Strings of special
-    tokens are ordinary text.
+    characters that aren't white space, and makes a single newline there a token of its own. So a text
+    is cut at such blanks and newlines, and the ids of its pieces are those of the whole text; new
+    pieces go to the library many at a time, newlines between them. Where white space adjoins a blank
+    the parts stay together. Strings of special tokens are ordinary text.
     """
 
-    def __init__(self, path: str) -> None:
+    JOINED = 200
+
+    def __init__(self, path: str, end_id: int) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -197,54 +206,118 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.end_id = end_id
+        (self.newline,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        #: Marks that the pre-tokenizer parts from a letter before them at the end of a piece.
+        self.marks = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in MARKS}
         self.reset()
 
     def reset(self) -> None:
-        #: Pieces as they stand, and pieces that follow a blank, which their keys leave out.
-        self.new: list[str] = []
-        self.plain, self.after = _Pieces(self.new, ""), _Pieces(self.new, " ")
-        self.plain.rows = self.after.rows = [0]
-        self.ids = np.zeros(0, np.uint32)
-        self.at = np.zeros(1, np.int64)
-
-    def rows(self, text: str) -> list[int]:
-        """Rows of the pieces of a text."""
+        #: Row 0 is the end id, row 1 a newline. Pieces at a line's begin, pieces that follow a blank (which
+        #: their keys leave out), and pieces with white space in them.
+        rows = [2]
+        self.plain, self.after, self.spaced = _Pieces(rows), _Pieces(rows), _Pieces(rows)
+        self.ids = np.array([self.end_id, self.newline], np.uint32)
+        self.begin, self.size = np.array([0, 1], np.int64), np.array([1, 1], np.int64)
+
+    def pieces(self, text: str, rows: list[int]) -> None:
+        """Adds the rows of a text's pieces."""
+        # What is printable has no white space but blanks.
+        simple = text[0] not in " \n" and text[-1] not in " \n" and text.replace("\n", "").isprintable()
+        if simple and not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text):
+            for k, line in enumerate(text.split("\n")):
+                if k:
+                    rows.append(1)
+                parts = line.split(" ")
+                rows.append(self.plain[parts[0]])
+                rows.extend(map(self.after.__getitem__, parts[1:]))
+            return
         parts = text.split(" ")
-        found = [c for c in (ASCII_SPACES if text.isascii() else SPACES) if c in text]
-        if parts[0] and parts[-1] and not any(f"{c} " in text or f" {c}" in text for c in found):
-            return [self.plain[parts[0]], *map(self.after.__getitem__, parts[1:])]
         joined = [parts[0]]
         for part in parts[1:]:
             if not part or not joined[-1] or joined[-1][-1] in SPACES or part[0] in SPACES:
                 joined[-1] = f"{joined[-1]} {part}"
             else:
                 joined.append(" " + part)
-        return [self.plain[p] for p in joined]
+        rows.extend(map(self.spaced.__getitem__, joined))
+
+    def learn(self) -> None:
+        """Encodes the new pieces; a word with a mark behind it is put together from both."""
+        after = self.after
+        joined = [k for k, p in enumerate(after.new) if p[-1] in MARKS and p[-2:-1].isalpha()]
+        marked = [after.new[k] for k in joined]
+        marked_rows = [after.new_rows[k] for k in joined]
+        base = [after[p[:-1]] for p in marked]
+        words, rows = after.taken()
+        out = set(joined)
+        easy = [" " + p for k, p in enumerate(words) if k not in out]
+        easy_rows = [r for k, r in enumerate(rows) if k not in out]
+        words, rows = self.plain.taken()
+        easy += words
+        easy_rows += rows
+        hard, hard_rows = self.spaced.taken()
+        packs = ["\n".join(easy[k : k + self.JOINED]) for k in range(0, len(easy), self.JOINED)]
+        found = self.tokenizer.encode_batch_fast(packs + hard, add_special_tokens=False)
+        between = np.array([self.newline], np.uint32)
+        flat = [x for e in found[: len(packs)] for x in (np.array(e.ids, np.uint32), between)]
+        ids = np.concatenate(flat) if flat else between[:0]
+        ends = np.flatnonzero(ids == self.newline)
+        own = [np.array(e.ids, np.uint32) for e in found[len(packs) :]]
+        first, n = len(self.ids), self.plain.rows[0]
+        begin, size = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        begin[: len(self.begin)], size[: len(self.size)] = self.begin, self.size
+        if len(ends):
+            start = np.concatenate([[0], ends[:-1] + 1])
+            begin[easy_rows], size[easy_rows] = first + start, ends - start
+        size[hard_rows] = [len(x) for x in own]
+        begin[hard_rows] = first + len(ids) + np.cumsum(size[hard_rows]) - size[hard_rows]
+        self.ids = np.concatenate([self.ids, ids, *own])
+        if marked:
+            tails = [self.marks[p[-1]] for p in marked]
+            lead, tail = size[base], np.array([len(t) for t in tails])
+            both = lead + tail
+            made = np.zeros(both.sum(), np.uint32)
+            at = np.cumsum(both) - both
+            of_tail = np.arange(len(made)) - np.repeat(at, both) >= np.repeat(lead, both)
+            made[~of_tail] = self.ids[np.arange(lead.sum()) + np.repeat(begin[base] - (np.cumsum(lead) - lead), lead)]
+            made[of_tail] = [i for t in tails for i in t]
+            begin[marked_rows], size[marked_rows] = len(self.ids) + at, both
+            self.ids = np.concatenate([self.ids, made])
+        self.begin, self.size = begin, size
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, doc_len) of the texts."""
-        if len(self.at) > MOST_PIECES:
+        """(ids, doc_len) of the texts, an end id behind each."""
+        if len(self.size) > MOST_PIECES:
             self.reset()
-        rows, n = [], []
+        rows: list[int] = []
+        ends = []
         for text in texts:
-            own = self.rows(text) if text else []
-            rows += own
-            n.append(len(own))
-        if self.new:
-            ids = [e.ids for e in self.tokenizer.encode_batch(self.new, add_special_tokens=False)]
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in ids for i in x), np.uint32)])
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in ids])])
-            self.new.clear()
+            if text:
+                self.pieces(text, rows)
+            rows.append(0)
+            ends.append(len(rows))
+        if self.plain.rows[0] > len(self.size):
+            self.learn()
         row = np.array(rows, np.int32)
-        size = self.at[row + 1] - self.at[row]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        take = np.arange(ends[-1]) + np.repeat(self.at[row] - ends[:-1], size)
-        doc_ends = ends[np.cumsum(n)] if n else np.zeros(0, np.int64)
-        return self.ids[take], np.diff(np.concatenate([[0], doc_ends])).astype(np.int64)
+        begin, size = self.begin[row], self.size[row]
+        upto = np.cumsum(size)
+        total = int(upto[-1]) if len(upto) else 0
+        take = np.arange(total, dtype=np.int32) + np.repeat((begin - (upto - size)).astype(np.int32), size)
+        doc_ends = upto[np.array(ends, np.int64) - 1]
+        return self.ids[take], np.diff(doc_ends, prepend=0)
 
 
 #: Kept from task to task by a Python worker that is used again.
-ENCODERS: dict[str, PieceEncoder] = {}
+ENCODERS: dict[tuple[str, int], PieceEncoder] = {}
+
+
+def encoder_of(path: str, end_id: int) -> PieceEncoder:
+    """By a module's function, as what a task's closure holds is a copy."""
+    if (path, end_id) not in ENCODERS:
+        ENCODERS[path, end_id] = PieceEncoder(path, end_id)
+    return ENCODERS[path, end_id]
+
+
 SHARD_SCHEMA = "part int, shard int, n_ids long, n_docs long, doc_ids array<bigint>, image binary"
 
 
@@ -252,7 +325,7 @@ def _shards(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = ENCODERS.get(path) or ENCODERS.setdefault(path, PieceEncoder(path))
+        encoder = encoder_of(path, end_id)
         part, shard = TaskContext.get().partitionId(), 0
         docs: list[int | None] = []
         ids: list[np.ndarray] = []
@@ -269,12 +342,10 @@ def _shards(path: str, end_id: int):
             keys, texts = batch.column(0).to_pylist(), batch.column(1)
             for k in range(0, len(keys), 256):
                 got, n = encoder.encode([t or "" for t in texts.slice(k, 256).to_pylist()])
-                ends = np.cumsum(n)
-                with_end = np.insert(got, ends, end_id)
                 docs += keys[k : k + 256]
-                ids.append(with_end)
-                lens.append(n + 1)
-                held += len(with_end)
+                ids.append(got)
+                lens.append(n)
+                held += len(got)
                 if held >= SHARD_IDS:
                     yield close()
                     shard, docs, ids, lens, held = shard + 1, [], [], [], 0
