@@ -427,3 +427,49 @@ def full_search(spark, sf_dir):
     index = ix.build(src.from_pages(spark, sf_dir), analyzer="full")
     return rk.search(index, _topics(spark, sf_dir), analyzer="full").withColumn("score", F.round("score", 6))
 
+
+
+@query(f"SELECT DISTINCT token FROM ({ORACLES['clean_tokens']}) WHERE {S.number('token')}")
+def number_predicate(spark, sf_dir):
+    return clean_tokens(spark, sf_dir).select("token").filter(X.is_number(F.col("token"))).distinct()
+
+
+@query("SELECT DISTINCT token FROM (SELECT unnest(string_split(text, ' ')) AS token FROM documents) WHERE len(list_filter(string_split(token, '.'), lambda p: regexp_matches(p, '^\\p{Lu}$'))) > 0")
+def initials(spark, sf_dir):
+    words = _docs(spark, sf_dir).select(F.explode(F.split("text", " ", -1)).alias("token"))
+    return words.filter(X.has_initial(F.split("token", "\\."))).distinct()
+
+
+@query(f"WITH {HEADS} SELECT term, count(DISTINCT doc_id) AS df, list_sort(list(DISTINCT doc_id))::VARCHAR AS docs FROM head WHERE regexp_matches(term, '^\\p{{L}}') GROUP BY term")
+def header_dictionary(spark, sf_dir):
+    rows = ix.header_index(src.from_pages(spark, sf_dir)).groupBy("term").agg(F.sort_array(F.collect_set("doc_id")).alias("ids"))
+    shown = F.concat(F.lit("["), F.array_join(F.transform("ids", lambda d: d.cast("string")), ", "), F.lit("]"))
+    return rows.select("term", F.size("ids").cast("long").alias("df"), shown.alias("docs"))
+
+
+COUNTRIES = (("Portugal", "Lisbon", 10300000, "EUR"), ("Panama", "Panama City", 950000, "PAB"), ("Peru", "Lima", 33000001, "PEN"))
+PLACES = ("LISBON", "PANAMA", "LIMA", "NOWHERE")
+
+
+@query(
+    f"""WITH c(name, capital, people, money) AS (VALUES {", ".join(f"({S.quoted(a)}, {S.quoted(b)}, {n}, {S.quoted(m)})" for a, b, n, m in COUNTRIES)}), p(city) AS (VALUES {", ".join(f"({S.quoted(x)})" for x in PLACES)}),
+d AS (SELECT *, CASE WHEN people > 1000000 THEN 'M' || round(people / 1e6, 2)::DOUBLE::VARCHAR ELSE people::VARCHAR END AS shown FROM c)
+SELECT city, coalesce(a.name, b.name) AS country, coalesce(a.money, b.money) AS currency, coalesce(a.shown, b.shown) AS population
+FROM p LEFT JOIN d a ON lower(city) = lower(a.capital) LEFT JOIN d b ON lower(city) = lower(string_split(b.capital, ' ')[1])"""
+)
+def city_enrichment(spark, sf_dir):
+    cities = spark.createDataFrame([(c,) for c in PLACES], "city string")
+    return src.city_info(cities, spark.createDataFrame(list(COUNTRIES), "name string, capital string, population long, currency_code string"))
+
+
+@query(f"WITH {IDX}, {TOPICS} SELECT d.doc_id, d.source AS parent_file, s.most_freq_term, s.max_tf, s.n_unique, s.doc_len FROM stats s JOIN documents d USING (doc_id) WHERE s.doc_len >= (SELECT avl FROM corpus)")
+def document_details(spark, sf_dir):
+    """Details of the documents that are no shorter than the mean."""
+    stats = ix.doc_stats(_kept(spark, sf_dir), _docs(spark, sf_dir))
+    avl = ix.corpus_stats(stats).select("avl").scalar()
+    return stats.filter(F.col("doc_len") >= avl).select("doc_id", "parent_file", "most_freq_term", "max_tf", "n_unique", "doc_len")
+
+
+@query(f"{BATCH_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id DESC) AS rank, count(*) OVER (PARTITION BY query_id) AS n FROM scores) SELECT query_id, rank::INTEGER AS rank, doc_id, score FROM n WHERE rank <= n // 2 + 1 AND rank <= 50")
+def half_cutoff(spark, sf_dir):
+    return rk.ranked(_scored(spark, sf_dir, _topics(spark, sf_dir)), reference_cutoff=True)
