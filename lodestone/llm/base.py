@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -70,16 +73,22 @@ def global_rank(df: DataFrame, order: list[Column], rank: str, name: str) -> Dat
     kept = written(dealt, name)
     part = F.shiftright("_at", 33)
     counts = sorted(kept.groupBy(part.alias("p")).count().collect())
-    first, n = [], 0
+    first, n = [0] * (counts[-1][0] + 1 if counts else 1), 0
     for p, k in counts:
-        first.append((p, n))
+        first[p] = n
         n += k
-    starts = F.create_map(*[F.lit(x) for pair in first for x in pair]) if first else None
     local = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    at = (local + starts[part]).cast("long") if first else F.lit(0).cast("long")
+    at = local + F.get(F.lit(first).cast("array<bigint>"), part.cast("int"))
     return kept.withColumn(rank, at).drop("_at")
 
 
+def release() -> None:
+    """Gives a task's memory back, as a Python worker lives on between tasks and stages."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def with_arrow(df: DataFrame, inputs: list[str], fields: str, make: Callable[[], Callable[..., list[pa.Array]]], rows: int = 1024) -> DataFrame:
     """df with further columns that Python makes from Arrow columns, some rows at a time.
 
@@ -101,5 +110,8 @@ def with_arrow(df: DataFrame, inputs: list[str], fields: str, make: Callable[[],
                 columns = [batch.column(f"_in_{c}" if c in needed else c) for c in inputs]
                 made = convert(*columns)
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *made], names=schema.names)
+                del made, columns
+        del convert
+        release()
 
     return rows_in.mapInArrow(run, schema)
