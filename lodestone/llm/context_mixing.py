@@ -35,12 +35,14 @@ END = b"\n"
 PRIOR = 0.3
 STEPS = 33
 #: Of learning weights, over the root of the summed squared slopes.
-RATE = 0.15
+RATE = 0.03
 BLOCK = 1 << 14
 #: Words of text in a batch of documents, and distinct words in a shard of the model's training.
 BATCH_WORDS = 5_000_000
 SHARD_WORDS = 1_000_000
 CHUNK = 20_000
+#: Words with more than this part of all occurrences are met in every step of the training.
+HOT = 1000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -114,7 +116,7 @@ _N0, _N1 = _VALUE[np.arange(1 << 16) & 255], _VALUE[np.arange(1 << 16) >> 8]
 #: By both codes: log odds, and how much was seen (0, 1, 2, 3-4, 5-8, ... : 16 levels).
 ODDS = np.log((_N1 + PRIOR) / (_N0 + PRIOR)).astype(np.float32)
 SEEN = np.clip(np.ceil(np.log2(np.maximum(_N0 + _N1, 0.5)) + 1), 0, 15).astype(np.int64)
-GATES = 16 * 6
+GATES = 4 * 6 * 16
 
 
 class Mixer:
@@ -124,7 +126,7 @@ class Mixer:
         self.pairs = pairs
         self.weights = np.full((GATES, ORDERS + 1), 1.0 / ORDERS)
         self.weights[:, -1] = 0
-        self.slope = np.full((GATES, ORDERS + 1), 1e-3)
+        self.slope = np.full((GATES, ORDERS + 1), 1e-9)
         middle = (np.arange(STEPS) - STEPS // 2) / 2
         self.came = np.tile(1 / (1 + np.exp(-middle)), (256, 1)) * 20
         self.met = np.full((256, STEPS), 20.0)
@@ -142,7 +144,7 @@ class Mixer:
             x[:, k] = ODDS[pair]
             if k >= ORDERS - 2:
                 seen.append(SEEN[pair])
-        return x, np.minimum(seen[0] // 2, 5) * 16 + seen[1]
+        return x, (np.minimum(bits.at, 3) * 6 + np.minimum(seen[0] // 2, 5)) * 16 + seen[1]
 
     def refined(self, z: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(probability of a one, the map's cell below, how far to the next)."""
@@ -154,10 +156,14 @@ class Mixer:
         mixed = 1 / (1 + np.exp(-z))
         return np.clip((mixed + mapped) / 2, 1e-6, 1 - 1e-6), cell, part
 
-    def learn(self, words: list[bytes], weight: np.ndarray) -> None:
-        for a in range(0, len(words), CHUNK // 4):
-            bits = Bits(words[a : a + CHUNK // 4])
-            w = weight[a : a + CHUNK // 4][bits.owner].astype(np.float64)
+    def learn(self, words: list[bytes], weight: np.ndarray, hot: list[bytes] = (), hot_weight: np.ndarray = (), rest: float = 1.0) -> None:
+        """One pass in small steps. Words that are met often (``hot``) take part in each step by its share of
+        the other words' ``rest`` occurrences, so that every step sees words as texts have them."""
+        step = CHUNK // 4
+        for a in range(0, len(words), step):
+            own = weight[a : a + step].astype(np.float64)
+            bits = Bits([*words[a : a + step], *hot])
+            w = np.concatenate([own, np.asarray(hot_weight, np.float64) * (own.sum() / rest)])[bits.owner]
             w /= w.mean()
             for _, node, bit in bits.steps():
                 x, gate = self.odds(bits, node, bit)
@@ -265,14 +271,14 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield made()
 
 
-def _learn(pairs):
+def _learn(pairs, hot: list[bytes], hot_weight: np.ndarray, rest: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixer, tokens = Mixer(pairs.value), 0
         came, met = mixer.came.copy(), mixer.met.copy()
         for batch in batches:
             if batch.num_rows:
                 c = batch.column("c").to_numpy(zero_copy_only=False)
-                mixer.learn(batch.column("word").to_pylist(), c)
+                mixer.learn(batch.column("word").to_pylist(), c, hot, hot_weight, rest)
                 tokens += int(c.sum())
         if tokens:
             state = pickle.dumps((tokens, mixer.weights, mixer.came - came, mixer.met - met))
@@ -339,8 +345,14 @@ def score_documents(docs: DataFrame, learn: str = "true", id_col: str = "doc_id"
         tables[k][block * BLOCK : block * BLOCK + len(own)] = own
     shared = sc.broadcast(tables)  # of one size, whatever the corpus: about 26 MB
     mixer = Mixer(tables)
-    shuffled = known.repartition(shards, F.xxhash64("word", F.lit(8))).sortWithinPartitions(F.xxhash64("word", F.lit(9)))
-    states = [pickle.loads(r["state"]) for r in shuffled.mapInArrow(_learn(shared), "state binary").collect()]
+    often = total // HOT
+    hot = known.filter(F.col("c") > often).collect()  # fewer than HOT words, as their counts add up to the total at most
+    hot_weight = np.array([r["c"] for r in hot], float)
+    others = known.filter(F.col("c") <= often) if total > hot_weight.sum() else known
+    rest = float(total - hot_weight.sum()) or float(total or 1)
+    shuffled = others.repartition(shards, F.xxhash64("word", F.lit(8))).sortWithinPartitions(F.xxhash64("word", F.lit(9)))
+    learner = _learn(shared, [bytes(r["word"]) for r in hot], hot_weight, rest)
+    states = [pickle.loads(r["state"]) for r in shuffled.mapInArrow(learner, "state binary").collect()]
     if states:
         weight = np.array([s[0] for s in states], float)
         mixer.weights = np.einsum("s,sij->ij", weight / weight.sum(), np.array([s[1] for s in states]))
