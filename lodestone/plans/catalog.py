@@ -69,7 +69,7 @@ TOPICS = "topics AS (SELECT item_id::VARCHAR AS query_id, array_to_string(string
 IDX = S.index()
 
 
-@query(f"SELECT doc_id, pos, token FROM (SELECT doc_id, unnest(ts) AS token, generate_subscripts(ts, 1) - 1 AS pos FROM (SELECT doc_id, {S.tokens('text')} AS ts FROM documents))")
+@query(f"SELECT doc_id, pos, token FROM (SELECT doc_id, unnest(ts) AS token, (generate_subscripts(ts, 1) - 1)::INTEGER AS pos FROM (SELECT doc_id, {S.tokens('text')} AS ts FROM documents))")
 def tokenize(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.posexplode(X.tokenize(F.col("text"))).alias("pos", "token"))
 

@@ -36,7 +36,7 @@ def accepted(t: str) -> str:
 def occurrences(name: str, source: str) -> str:
     """CTEs ending in {name}: doc_id, pos, term, is_upper of the rows (doc_id, text) of source."""
     return f"""{name}_t AS (SELECT doc_id, {tokens("text")} AS ts FROM ({source})),
-{name}_r AS (SELECT doc_id, unnest(ts) AS raw, generate_subscripts(ts, 1) - 1 AS pos FROM {name}_t),
+{name}_r AS (SELECT doc_id, unnest(ts) AS raw, (generate_subscripts(ts, 1) - 1)::INTEGER AS pos FROM {name}_t),
 {name}_c AS (SELECT doc_id, pos, raw, {clean("raw")} AS c FROM {name}_r),
 {name} AS (SELECT doc_id, pos, lower(c) AS term, regexp_matches(c, '^\\p{{Lu}}') AS is_upper FROM {name}_c
   WHERE ({number("c")} OR (length(raw) >= 2 AND length(c) >= 2)) AND lower(c) NOT IN ({STOP}) AND {accepted("lower(c)")})"""
