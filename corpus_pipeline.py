@@ -16,6 +16,8 @@ from lodestone.llm.base import read, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 REJECT = 0.5
+#: Chunks that an encoding task keeps, beside what the stages before have left in use of an executor.
+MOST_CHUNKS = 80_000
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -59,7 +61,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    both = pieces.decode_pieces(pieces.encode_pieces(docs.select("doc_id", "source", "text"), path), path)
+    both = pieces.encode_and_decode(docs.select("doc_id", "source", "text"), path, most_chunks=MOST_CHUNKS)
     same = F.col("decoded").eqNullSafe(F.col("text"))
     return both.select("doc_id", "source", "piece_ids", F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_ids"), same.alias("round_trip"))
 

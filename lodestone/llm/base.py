@@ -85,6 +85,7 @@ def global_rank(df: DataFrame, order: list[Column], rank: str, name: str) -> Dat
 def release() -> None:
     """Gives a task's memory back, as a Python worker lives on between tasks and stages."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
@@ -110,7 +111,9 @@ def with_arrow(df: DataFrame, inputs: list[str], fields: str, make: Callable[[],
                 columns = [batch.column(f"_in_{c}" if c in needed else c) for c in inputs]
                 made = convert(*columns)
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *made], names=schema.names)
-                del made, columns
+                del made, columns, batch
+            del whole  # else two batches are held while the next one comes
+            pa.default_memory_pool().release_unused()
         del convert
         release()
 

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.base import read, written
+from lodestone.llm.base import read, release, written
 from lodestone.llm.components import components
 
 SHINGLE = 5
@@ -138,6 +138,7 @@ def _sign(n: int):
                 hashes, offsets = shingles(batch.column("text").to_pylist(), n)
                 columns = [batch.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), pa.array(class_keys(hashes, offsets), pa.binary()), pa.array(signatures(hashes, offsets), pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "key", "sig"])
+        release()
 
     return run
 
@@ -151,6 +152,7 @@ def _sets(n: int):
                 sets = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashes.view(np.int64)))
                 wanted = pc.equal(keys, batch.column("key"))
                 yield pa.RecordBatch.from_arrays([keys, sets], names=["key", "set"]).filter(wanted)
+        release()
 
     return run
 

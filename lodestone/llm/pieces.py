@@ -17,6 +17,7 @@ from collections.abc import Callable
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +26,8 @@ from lodestone.llm.base import read, with_arrow
 MARK = "▁"
 #: Below the least score, a character without a piece costs so much more.
 PENALTY = 10.0
-#: A worker forgets its chunks when so many are known.
-MOST_CHUNKS = 700_000
+#: A task forgets its chunks when so many are known.
+MOST_CHUNKS = 500_000
 
 
 class Pieces:
@@ -52,12 +53,15 @@ class Pieces:
         self.table = table
         self.automaton = None
 
+    #: A step over one character that becomes bytes.
+    bytes_step = (0, 0.0, -1)
+
     def build(self) -> None:
         """Makes the automaton, which only encoding needs."""
         table = self.table
         self.automaton = ahocorasick.Automaton()
         for piece, score, i in table:
-            self.automaton.add_word(piece, (len(piece), score, i))
+            self.automaton.add_word(piece, (len(piece) - 1, score, i))
         self.automaton.make_automaton()
         self.single = {p for p, _, _ in table if len(p) == 1}
         self.unknown = min((s for _, s, _ in table), default=0.0) - PENALTY
@@ -69,29 +73,36 @@ class Pieces:
         """Ids of the best path over a text in which blanks are marks."""
         n = len(text)
         best = [0.0] + [float("-inf")] * n
-        size_to, id_to = [0] * (n + 1), [0] * (n + 1)
-        single, unknown = self.single, self.unknown
-        bare = [p for p in range(n) if text[p] not in single]
-        bare.reverse()
-        for last, (size, score, i) in self.automaton.iter(text):
-            while bare and bare[-1] < last:  # a character without a piece is stepped over before its followers are met
-                p = bare.pop()
-                best[p + 1], size_to[p + 1], id_to[p + 1] = best[p] + unknown, 1, -1
-            s = best[last + 1 - size] + score
-            if s > best[last + 1]:
-                best[last + 1], size_to[last + 1], id_to[last + 1] = s, size, i
-        for p in reversed(bare):
-            if best[p] + unknown > best[p + 1]:
-                best[p + 1], size_to[p + 1], id_to[p + 1] = best[p] + unknown, 1, -1
+        back: list[tuple[int, float, int]] = [self.bytes_step] * (n + 1)
+        if self.single.issuperset(text):
+            for last, step in self.automaton.iter(text):
+                s = best[last - step[0]] + step[1]
+                if s > best[last + 1]:
+                    best[last + 1] = s
+                    back[last + 1] = step
+        else:
+            single, unknown = self.single, self.unknown
+            bare = [p for p in range(n - 1, -1, -1) if text[p] not in single]
+            for last, step in self.automaton.iter(text):
+                while bare and bare[-1] < last:  # a character without a piece is stepped over before its followers are met
+                    p = bare.pop()
+                    if best[p] + unknown > best[p + 1]:
+                        best[p + 1], back[p + 1] = best[p] + unknown, self.bytes_step
+                s = best[last - step[0]] + step[1]
+                if s > best[last + 1]:
+                    best[last + 1], back[last + 1] = s, step
+            for p in reversed(bare):
+                if best[p] + unknown > best[p + 1]:
+                    best[p + 1], back[p + 1] = best[p] + unknown, self.bytes_step
         out: list[int] = []
         p = n
         while p:
-            size, i = size_to[p], id_to[p]
+            size, _, i = back[p]
             if i < 0:
-                out += [self.byte_ids[b] for b in reversed(text[p - size : p].encode())]
+                out += [self.byte_ids[b] for b in reversed(text[p - 1 : p].encode())]
             else:
                 out.append(i)
-            p -= size
+            p -= size + 1
         out.reverse()
         return out
 
@@ -125,10 +136,10 @@ class _Chunks(dict):
 
     def __missing__(self, chunk: str) -> int:
         pieces = self.pieces
-        if len(chunk) > 1 and chunk[-2:].replace(" ", MARK) not in pieces.pairs:
+        if len(chunk) > 1 and chunk[-2:] not in pieces.pairs and " " not in chunk:
             row = self[chunk[:-1]]
             self.ids.extend(self.ids[self.at[row] : self.at[row + 1]])
-            tail = chunk[-1].replace(" ", MARK)
+            tail = chunk[-1]
             if tail not in self.tails:
                 self.tails[tail] = pieces.viterbi(tail)
             self.ids.extend(self.tails[tail])
@@ -140,9 +151,8 @@ class _Chunks(dict):
 
 
 class Encoder:
-    def __init__(self, path: str) -> None:
-        self.pieces = Pieces(path)
-        self.pieces.build()
+    def __init__(self, path: str, most_chunks: int = MOST_CHUNKS) -> None:
+        self.pieces, self.most_chunks = built(path), most_chunks
         self.chunks = _Chunks(self.pieces)
         self.ids, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
@@ -166,22 +176,19 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of the texts."""
         chunks = self.chunks
-        if len(chunks) > MOST_CHUNKS:
+        if len(chunks) > self.most_chunks:
             chunks.clear()
             self.ids, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
         rows: list[int] = []
         sizes: list[int] = []
         plain: dict[int, list[int]] = {}
         for k, text in enumerate(texts):
-            if not text:
-                own: list[int] = []
-            elif MARK in text or not self.pieces.cuts:
+            before = len(rows)
+            if text and (MARK in text or not self.pieces.cuts):
                 plain[k] = self.pieces.encode_text(text)
-                own = []
-            else:
-                own = list(map(chunks.__getitem__, self.parts(text)))
-            rows += own
-            sizes.append(len(own))
+            elif text:
+                rows.extend(map(chunks.__getitem__, self.parts(text)))
+            sizes.append(len(rows) - before)
         if len(chunks.at) > len(self.at):
             self.ids = np.array(chunks.ids, np.int32)
             self.at = np.array(chunks.at, np.int64)
@@ -198,31 +205,52 @@ class Encoder:
         return ids, offsets + np.cumsum(grown)
 
 
-#: Kept from task to task by a Python worker that is used again.
-ENCODERS: dict[str, Encoder] = {}
+#: Automata, kept from task to task by a Python worker that is used again; chunks go with their task.
+BUILT: dict[str, Pieces] = {}
+
+
+def built(path: str) -> Pieces:
+    if path not in BUILT:
+        BUILT[path] = Pieces(path)
+        BUILT[path].build()
+    return BUILT[path]
+
+
+def encoding(model_path: str, most_chunks: int = MOST_CHUNKS):
+    def make() -> Callable[[pa.Array], list[pa.Array]]:
+        own = Encoder(model_path, most_chunks)
+
+        def convert(texts: pa.Array) -> list[pa.Array]:
+            ids, offsets = own.encode(texts.to_pylist())
+            made = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()), mask=pc.invert(texts.is_valid()))
+            return [made]
 
+        return convert
 
-def encoder(path: str) -> Encoder:
-    if path not in ENCODERS:
-        ENCODERS[path] = Encoder(path)
-    return ENCODERS[path]
+    return make
 
 
 def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "piece_ids") -> DataFrame:
     """Adds the ids of each whole text; null stays null, an empty text has none. A column ids_col is replaced."""
+    return with_arrow(docs, [text_col], f"`{ids_col}` array<int>", encoding(model_path))
+
+
+def encode_and_decode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "piece_ids", decoded_col: str = "decoded", crc_col: str = "ids_crc32", most_chunks: int = MOST_CHUNKS) -> DataFrame:
+    """Adds ids, the text decoded from them, and the ids' crc32 (as little-endian 32-bit integers), in one pass of one worker.
+
+    A task keeps at most about most_chunks chunks: fewer take less memory and more time.
+    """
 
     def make() -> Callable[[pa.Array], list[pa.Array]]:
-        own = encoder(model_path)
+        encode, decode, crc = encoding(model_path, most_chunks)(), decoder(model_path)(), _crc()
 
         def convert(texts: pa.Array) -> list[pa.Array]:
-            ids, offsets = own.encode(texts.to_pylist())
-            valid = texts.is_valid()
-            made = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()), mask=pa.compute.invert(valid))
-            return [made]
+            (ids,) = encode(texts)
+            return [ids, *decode(ids), *crc(ids)]
 
         return convert
 
-    return with_arrow(docs, [text_col], f"`{ids_col}` array<int>", make)
+    return with_arrow(docs, [text_col], f"`{ids_col}` array<int>, `{decoded_col}` string, `{crc_col}` long", make, 256)
 
 
 def decode_pieces(docs: DataFrame, model_path: str, ids_col: str = "piece_ids", text_col: str = "decoded") -> DataFrame:
@@ -233,15 +261,23 @@ def decode_pieces(docs: DataFrame, model_path: str, ids_col: str = "piece_ids",
 
 def decoder(model_path: str):
     def make() -> Callable[[pa.Array], list[pa.Array]]:
-        pieces = Pieces(model_path)
+        raw = Pieces(model_path).raw
+        blob = np.frombuffer(b"".join(raw), np.uint8)
+        size = np.array([len(r) for r in raw], np.int64)
+        begin = np.cumsum(size) - size
 
         def convert(ids: pa.Array) -> list[pa.Array]:
-            ends = ids.offsets.to_numpy()
-            flat = ids.values.to_pylist() if ids.offset == 0 and ends[0] == 0 and ends[-1] == len(ids.values) else None
-            if flat is None:
-                return [pa.array([None if x is None else pieces.decode_text(x) for x in ids.to_pylist()], pa.string())]
-            valid = ids.is_valid().to_pylist()
-            return [pa.array([pieces.decode_text(flat[a:b]) if v else None for a, b, v in zip(ends[:-1].tolist(), ends[1:].tolist(), valid, strict=True)], pa.string())]
+            offsets = ids.offsets.to_numpy().astype(np.int64)
+            flat = ids.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+            each = size[flat]
+            upto = np.concatenate([[0], np.cumsum(each)])
+            joined = blob[np.arange(upto[-1]) + np.repeat(begin[flat] - upto[:-1], each)].tobytes()
+            ends = upto[offsets - offsets[0]].tolist()
+            texts = []
+            for a, b, valid in zip(ends[:-1], ends[1:], ids.is_valid().to_pylist(), strict=True):
+                a += joined[a : a + 1] == b" " and a < b  # the added blank
+                texts.append(joined[a:b].decode("utf-8", "replace") if valid else None)
+            return [pa.array(texts, pa.string())]
 
         return convert
 
@@ -263,12 +299,7 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-
-    def decoded_and_crc() -> Callable[[pa.Array], list[pa.Array]]:
-        decoded, crc = decoder(path)(), _crc()
-        return lambda ids: decoded(ids) + crc(ids)
-
-    out = with_arrow(encode_pieces(docs, path), ["piece_ids"], "decoded string, ids_crc32 long", decoded_and_crc)
+    out = encode_and_decode(docs, path)
     n = F.size("piece_ids").cast("long").alias("n_ids")
     same = F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip")
     return out.select("doc_id", n, "ids_crc32", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), same)

@@ -18,16 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.base import crc_fold, read, with_arrow
+from lodestone.llm.base import crc_fold, read, release, with_arrow
 
 BUCKETS = 1 << 18
 DIM = 8
 NGRAMS = (3, 4, 5)
 WINDOW = 4
-#: Bounds of the sample of labelled rows that is fitted on: rows of each label, characters of a row.
-MOST_ROWS = 3000
+#: Bounds of the sample of labelled rows that is fitted on: clean and toxic rows, characters of a row.
+MOST_ROWS = (2500, 1500)
 MOST_CHARS = 20_000
-MOST_WORDS = 1_000_000
+MOST_WORDS = 300_000
 SEED = 11
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -139,22 +139,22 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 50)
 def train(texts: list[str | None], toxic: np.ndarray, share: float, seed: int = SEED) -> Model:
     """Fits on labelled texts; share: of toxic rows among all that are labelled."""
     rng = np.random.default_rng(seed)
-    split = [words_of(t) for t in texts]
     vocab: dict[bytes, int] = {}
-    token = np.array([vocab.setdefault(w, len(vocab)) for s in split for w in s], np.int64)
+    parts = [np.array([vocab.setdefault(w, len(vocab)) for w in words_of(t)], np.int32) for t in texts]
+    n = np.array([len(p) for p in parts], np.int64)
+    token = np.concatenate([np.zeros(0, np.int32), *parts])
     names = list(vocab)
     parts = [ngrams(names[k : k + 20_000]) for k in range(0, len(names), 20_000)] or [ngrams([])]
     buckets = np.concatenate([b.astype(np.int32) for b, _ in parts])
     counts = np.concatenate([c for _, c in parts])
-    word_of = np.repeat(np.arange(len(vocab), dtype=np.int32), counts)
-    n = np.array([len(s) for s in split], np.int64)
     windows = -(-n // WINDOW)
     doc = np.repeat(np.arange(len(n)), windows)
     inside = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
-    window = np.repeat(np.cumsum(windows) - windows, n) + inside // WINDOW
+    window = (np.repeat(np.cumsum(windows) - windows, n) + inside // WINDOW).astype(np.int32)
+    del inside
     size = np.maximum(1, np.bincount(window, counts[token], len(doc)))
     hidden = toxic[doc].astype(float)
-    vectors = rng.normal(0, 0.1, (BUCKETS, DIM))
+    vectors = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     soft = rng.normal(0, 0.5, DIM)
     bias = 0.0
     state = [[], [np.zeros_like(soft), np.zeros_like(soft)], [0.0, 0.0]]
@@ -169,8 +169,11 @@ def train(texts: list[str | None], toxic: np.ndarray, share: float, seed: int =
     place = np.zeros(BUCKETS, np.int32)
     place[used] = np.arange(len(used))
     local = place[buckets]
-    vectors, state[0] = vectors[used], [np.zeros((len(used), DIM)), np.zeros((len(used), DIM))]
-    for epoch in range(24):
+    del buckets, parts
+    vectors, state[0] = vectors[used], [np.zeros((len(used), DIM), np.float32), np.zeros((len(used), DIM), np.float32)]
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    blocks = [(a, min(a + 20_000, len(vocab))) for a in range(0, len(vocab), 20_000)]
+    for epoch in range(24 if len(vocab) else 0):
         if epoch in (8, 16):  # of a toxic document, the windows that look toxic stay so; its most toxic one always
             z = logits  # noqa: F821
             best = np.full(len(n), -np.inf)
@@ -178,8 +181,8 @@ def train(texts: list[str | None], toxic: np.ndarray, share: float, seed: int =
             hidden = (toxic[doc] > 0) & ((z > 0) | (z >= best[doc]))
             hidden = hidden.astype(float)
         word_vectors = np.empty((len(vocab), DIM))
-        for d in range(DIM):
-            word_vectors[:, d] = np.bincount(word_of, vectors[local, d], len(vocab))
+        for a, b in blocks:
+            word_vectors[a:b] = np.add.reduceat(vectors[local[ends[a] : ends[b]]], ends[a:b] - ends[a])
         word_gain = word_vectors @ soft
         logits = bias + np.bincount(window, word_gain[token], len(doc)) / size
         p = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
@@ -187,8 +190,10 @@ def train(texts: list[str | None], toxic: np.ndarray, share: float, seed: int =
         weight = np.where(hidden > 0, 0.5 / positive, 0.5 / max(1.0, len(doc) - positive))
         error = weight * (p - hidden)
         by_word = np.bincount(token, (error / size)[window], len(vocab))
-        to_vector = np.bincount(local, by_word[word_of], len(used))
-        grad_vectors = to_vector[:, None] * soft[None, :] + 1e-7 * vectors
+        to_vector = np.zeros(len(used))
+        for a, b in blocks:
+            to_vector += np.bincount(local[ends[a] : ends[b]], np.repeat(by_word[a:b], counts[a:b]), len(used))
+        grad_vectors = (to_vector[:, None] * soft[None, :]).astype(np.float32) + np.float32(1e-7) * vectors
         grad_soft = by_word @ word_vectors + 1e-5 * soft
         step += 1
         vectors = adam(vectors, grad_vectors, state[0], 0.2)
@@ -199,12 +204,13 @@ def train(texts: list[str | None], toxic: np.ndarray, share: float, seed: int =
     model = Model(gain, bias, np.zeros(4))
     y = toxic.astype(float)
     weight = np.where(y > 0, share / max(1, y.sum()), (1 - share) / max(1, (1 - y).sum())) * len(y)
-    model.top = _logistic(model.features(texts), y, weight)
+    features = np.concatenate([model.features(texts[k : k + 256]) for k in range(0, len(texts), 256)])
+    model.top = _logistic(features, y, weight)
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = MOST_ROWS, most_chars: int = MOST_CHARS) -> Model:
-    """Fits on a bounded sample of labelled rows: at most most_rows of either label, by a hash of the id.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: tuple[int, int] = MOST_ROWS, most_chars: int = MOST_CHARS) -> Model:
+    """Fits on a bounded sample of labelled rows: at most most_rows clean and toxic ones, by a hash of the id.
 
     labels has one row for each labelled document to learn from (label 0 or 1; rows with a null don't
     count, and of several labels of one id the greatest does). Sampled rows of more than most_chars characters aren't fitted on (all are scored). Without rows
@@ -215,8 +221,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     share = n.get(1, 0) / max(1, sum(n.values()))
     mixed = F.xxhash64("id", F.lit(SEED))
-    picked = [known.filter(F.col("y") == y).orderBy(mixed, "id").limit(most_rows) for y in (0, 1)]
-    picked = picked[0].unionByName(picked[1])  # 2 * most_rows rows at most, so it may be broadcast
+    picked = [known.filter(F.col("y") == y).orderBy(mixed, "id").limit(most_rows[y]) for y in (0, 1)]
+    picked = picked[0].unionByName(picked[1])  # so many rows at most, so it may be broadcast
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter(F.length("text") <= most_chars)
     rows = texts.join(F.broadcast(picked), "id").dropDuplicates(["id"]).select("id", "text", "y").repartition(1).sortWithinPartitions("id")
     fitted = rows.mapInArrow(_fit(share), "model binary").collect()  # in one task, as the sample is bounded
@@ -234,13 +240,16 @@ def _fit(share: float):
         if len(y) and 0 < y.sum() < len(y):
             model = train([r[0] for r in rows], y, share)
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+        del rows, y
+        release()
 
     return run
 
 
 def scorer(model: Model) -> Callable[[], Callable[[pa.Array], list[pa.Array]]]:
     def make() -> Callable[[pa.Array], list[pa.Array]]:
-        return lambda texts: [pa.array(model.score(texts.to_pylist()), pa.float64())]
+        own = pickle.loads(pickle.dumps(model))  # words met go with the task
+        return lambda texts: [pa.array(own.score(texts.to_pylist()), pa.float64())]
 
     return make
 
