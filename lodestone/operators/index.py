@@ -17,25 +17,27 @@ TABLES = ("postings", "terms", "doc_stats", "headers", "entities", "city_docs",
 ENTITIES = 5
 
 
-def simple_terms(text: Column, stop_words: Iterable[str]) -> Column:
-    """array<struct<pos,term,is_upper>> with built-in functions only: single words, no look-ahead."""
+def simple_terms(docs: DataFrame, stop_words: Iterable[str], text_col: str) -> DataFrame:
+    """doc_id, pos, term, is_upper with built-in functions only: single words, no look-ahead.
+
+    Tokens are exploded first, so that the rules run in generated code and not inside a lambda.
+    """
     stop = sorted({*stop_words, *X.DROPPED})
-    raw = X.tokenize(text)
-    placed = F.transform(raw, lambda t, k: F.struct(k.alias("pos"), t.alias("raw"), X.clean_token(t).alias("c")))
-    placed = F.filter(placed, lambda t: X.long_enough(t["raw"], t["c"]))
-    terms = F.transform(placed, lambda t: F.struct(t["pos"].alias("pos"), F.lower(t["c"]).alias("term"), X.is_capital(t["c"]).alias("is_upper")))
-    return F.filter(terms, lambda t: ~t["term"].isin(stop) & X.accepted(t["term"]))
+    rows = docs.select("doc_id", F.posexplode(X.tokenize(F.coalesce(F.col(text_col), F.lit("")))).alias("pos", "raw"))
+    rows = rows.withColumn("c", X.clean_token(F.col("raw"))).filter(X.long_enough(F.col("raw"), F.col("c")))
+    rows = rows.select("doc_id", "pos", F.lower("c").alias("term"), X.is_capital(F.col("c")).alias("is_upper"))
+    return rows.filter(~F.col("term").isin(stop) & X.accepted(F.col("term")))
 
 
 def occurrences(docs: DataFrame, stop_words: Iterable[str] = STOP_WORDS, analyzer: str = "simple", stemming: bool = False, text_col: str = "text") -> DataFrame:
     """doc_id, pos, term, is_upper of every term that stands."""
     if analyzer == "full":
         made = with_terms(docs.select("doc_id", text_col), text_col, stop_words, stemming)
+        rows = made.select("doc_id", F.explode("terms").alias("t")).select("doc_id", "t.pos", "t.term", "t.is_upper")
     elif analyzer == "simple" and not stemming:
-        made = docs.select("doc_id", simple_terms(F.coalesce(F.col(text_col), F.lit("")), stop_words).alias("terms"))
+        rows = simple_terms(docs, stop_words, text_col)
     else:
         raise ValueError("analyzer is 'simple' (without stemming) or 'full'")
-    rows = made.select("doc_id", F.explode("terms").alias("t")).select("doc_id", "t.pos", "t.term", "t.is_upper")
     return rows.withColumn("spelling", F.col("term")).withColumn("term", F.lower("term"))
 
 
