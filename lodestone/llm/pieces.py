@@ -26,8 +26,9 @@ from lodestone.llm.base import read, with_arrow
 MARK = "▁"
 #: Below the least score, a character without a piece costs so much more.
 PENALTY = 10.0
-#: A task forgets its chunks when so many are known.
+#: A task forgets its chunks when so many are known, or when they have MEAN_IDS times as many ids.
 MOST_CHUNKS = 500_000
+MEAN_IDS = 16
 
 
 class Pieces:
@@ -123,7 +124,7 @@ class Pieces:
 
 
 class _Chunks(dict):
-    """Chunk -> row of the id table. What ends in a character that no piece joins to the one before it is put together from both."""
+    """Chunk -> row of the id table. What ends in characters that no piece joins to those before them is put together from the rest and them."""
 
     def __init__(self, pieces: Pieces) -> None:
         self.pieces = pieces
@@ -135,14 +136,17 @@ class _Chunks(dict):
         self.ids, self.at = array("i"), array("q", [0])
 
     def __missing__(self, chunk: str) -> int:
-        pieces = self.pieces
-        if len(chunk) > 1 and chunk[-2:] not in pieces.pairs and " " not in chunk:
-            row = self[chunk[:-1]]
+        pieces, n = self.pieces, len(chunk)
+        if " " not in chunk:
+            while n > 1 and chunk[n - 2 : n] not in pieces.pairs:
+                n -= 1
+        if n < len(chunk):
+            row = self[chunk[:n]]  # no tail is left there, so this goes one step deep
             self.ids.extend(self.ids[self.at[row] : self.at[row + 1]])
-            tail = chunk[-1]
-            if tail not in self.tails:
-                self.tails[tail] = pieces.viterbi(tail)
-            self.ids.extend(self.tails[tail])
+            for tail in chunk[n:]:
+                if tail not in self.tails:
+                    self.tails[tail] = pieces.viterbi(tail)
+                self.ids.extend(self.tails[tail])
         else:
             self.ids.extend(pieces.viterbi(MARK + chunk.replace(" ", MARK)))
         self[chunk] = k = len(self.at) - 1
@@ -176,7 +180,7 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of the texts."""
         chunks = self.chunks
-        if len(chunks) > self.most_chunks:
+        if len(chunks) > self.most_chunks or len(chunks.ids) > MEAN_IDS * self.most_chunks:
             chunks.clear()
             self.ids, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
         rows: list[int] = []

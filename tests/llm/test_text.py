@@ -91,6 +91,16 @@ def test_pieces_best_and_exact():
         assert sum(score.get(i, 0) for i in ids) + unknown * encoder.pieces.unknown == pytest.approx(best_path(encoder.pieces, text))
 
 
+def test_pieces_long_runs():
+    encoder = Encoder(SP)
+    texts = ["0" * 5000, "\n" * 5000, "\U0001f600" * 5000, "日本語漢字" * 1000, "word" + "0" * 5000 + "\n" * 5000]
+    ids, offsets = encoder.encode(texts)
+    for text, a, b in zip(texts, offsets[:-1], offsets[1:], strict=True):
+        assert ids[a:b].tolist() == encoder.pieces.encode_text(text)
+        assert Pieces(SP).decode_text(ids[a:b].tolist()) == text
+    assert len(encoder.chunks.ids) <= 2 * len(ids)  # no prefix of a run is kept
+
+
 def test_pieces_round_trip(spark):
     docs = spark.createDataFrame([(k, t, "clash") for k, t in enumerate(TEXTS)], "doc_id long, text string, decoded string")
     rows = decode_pieces(encode_pieces(docs, SP), SP).collect()
