@@ -7,14 +7,21 @@ log odds are combined by weights that a gate picks by how much the two longest c
 the mix is refined by an adaptive map from (bits so far, mix) to what came true. Log probabilities of
 all bits add up to the text's.
 
-Contexts end at words, so a word's probability is the same wherever it stands. Hence counts come from
-the table of distinct words with how often each occurs in training, aggregated over the whole corpus;
-weights and map are learned online over all of its words, each predicted with one occurrence of its
-own left out of the counts; and each distinct word is scored once, however often it occurs.
+The bits' contexts end at words, so their counts come from the table of distinct words with how often
+each occurs in training, aggregated over the whole corpus; weights and map are learned online over all
+of its words, each predicted with one occurrence of its own left out of the counts; and the bits of
+each distinct word are scored once.
+
+Running text is scored word by word behind the word before (a document's first behind an end):
+P(w | v) = (c(v, w) + K P(w)) / (c(v) + K) and P(w) = (c(w) + K1 bits(w)) / (total + K1). Counts of words
+and of pairs of words are keyed tables of the whole corpus that are joined by key (pairs by 64 bits of a
+hash), so they grow with it. K1 and K give unseen words and unseen pairs the share of those met once.
+A word of a text that was learned from is scored with its own occurrence left out of both counts.
 """
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 from collections.abc import Iterator
 
@@ -22,7 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.base import crc_fold, read, written
@@ -196,7 +203,7 @@ class Mixer:
 
 # --- the corpus -------------------------------------------------------------------------------------
 
-BATCH = "batch long, words array<binary>, train array<bigint>, doc_ids array<bigint>, sizes binary, ords binary"
+BATCH = "batch long, words array<binary>, train array<bigint>, doc_ids array<bigint>, learns binary, sizes binary, ords binary"
 
 
 class _Words(dict):
@@ -214,10 +221,10 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal made
         ords = np.array(rows, np.uint32)
         learned = np.bincount(ords, np.repeat(learns, sizes), len(words)).astype(np.int64)
-        columns = [[(part << 24) + made], [list(words)], [learned], [docs], [np.array(sizes, np.uint32).tobytes()], [ords.tobytes()]]
-        types = [pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+        columns = [[(part << 24) + made], [list(words)], [learned], [docs], [np.array(learns, np.uint8).tobytes()], [np.array(sizes, np.uint32).tobytes()], [ords.tobytes()]]
+        types = [pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
         made += 1
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["batch", "words", "train", "doc_ids", "sizes", "ords"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["batch", "words", "train", "doc_ids", "learns", "sizes", "ords"])
 
     for batch in batches:
         for k in range(0, batch.num_rows, 256):
@@ -236,6 +243,43 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close()
 
 
+def _followed(ords: np.ndarray, distinct: int) -> np.ndarray:
+    """A number for each word and the one before it. Each document ends in the end, so that stands before the next one's first."""
+    ords = ords.astype(np.int64)
+    return np.concatenate([ords[-1:], ords[:-1]]) * distinct + ords
+
+
+PAIRS = "batch long, ord int, key long, train int, learned boolean"
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct pairs of words of each batch, in order: a hash of both, how often training has them, whether all of them are training's."""
+    for batch in batches:
+        for of, words, learns, sizes, ords in zip(*[batch.column(c).to_pylist() for c in ("batch", "words", "learns", "sizes", "ords")], strict=True):
+            h = np.array([int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in words], np.uint64)
+            followed = _followed(np.frombuffer(ords, np.uint32), len(words))
+            learn = np.repeat(np.frombuffer(learns, np.uint8), np.frombuffer(sizes, np.uint32)) > 0
+            pair, occurs = np.unique(followed, return_counts=True)
+            trained, often = np.unique(followed[learn], return_counts=True)
+            train = np.zeros(len(pair), np.int32)
+            train[np.searchsorted(pair, trained)] = often
+            key = _mix(_mix(h[pair // len(words)] * _Q + np.uint64(7)) + h[pair % len(words)] * _P).view(np.int64)
+            for a in range(0, len(pair), BLOCK):
+                b = min(a + BLOCK, len(pair))
+                columns = [pa.array(np.full(b - a, of, np.int64)), pa.array(np.arange(a, b, dtype=np.int32)), pa.array(key[a:b]), pa.array(train[a:b]), pa.array(train[a:b] == occurs[a:b])]
+                yield pa.RecordBatch.from_arrays(columns, names=["batch", "ord", "key", "train", "learned"])
+
+
+def _strength(words: list[tuple[float, float]], once: float) -> float:
+    """K for which the share left to unseen pairs, sum of c K / (c + K) over the words, is what pairs met once have. words: (how many, their counts' sum)."""
+    low, high = 1e-3, 1e12
+    for _ in range(100):
+        k = (low * high) ** 0.5
+        left = sum(c * k / (c / n + k) for n, c in words)
+        low, high = (k, high) if left < once else (low, k)
+    return low
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of the contexts' counts over this task's words."""
     tables = None
@@ -301,19 +345,38 @@ def _scored(pairs, weights: np.ndarray, came: np.ndarray, met: np.ndarray):
 SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double, n_bytes long"
 
 
-def _documents(total: int, distinct: int):
-    def run(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+def _documents(total: int, distinct: int, k1: float, k: float):
+    """Of each batch: its words' counts and scores, and with width 0 its pairs' counts (where any matter)."""
+
+    def run(docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         if not len(docs):
             return pd.DataFrame({f.split()[0]: [] for f in SCORES.split(", ")})
         row = docs.iloc[0]
         ords, sizes = np.frombuffer(row["ords"], np.uint32), np.frombuffer(row["sizes"], np.uint32).astype(np.int64)
+        learns = np.frombuffer(row["learns"], np.uint8)
+        words, pairs = found[found["width"] > 0], found[found["width"] == 0]
         c, logp, width = np.zeros(len(words)), np.zeros(len(words)), np.zeros(len(words))
         c[words["ord"]], logp[words["ord"]], width[words["ord"]] = words["c"], words["logp"], words["width"]
         base = np.log10(c + 0.5) - np.log10(total + 0.5 * (distinct + 1))
         at = np.cumsum(sizes) - sizes
         gather = lambda values: np.add.reduceat(values[ords], at)
+        followed = _followed(ords, len(words))
+        pair = np.unique(followed)
+        both = np.zeros(len(pair))
+        both[pairs["ord"]] = pairs["c"]
+        score = np.zeros(len(ords))
+        own = np.repeat(learns.astype(np.int64), sizes)
+        for a in range(0, len(ords), CHUNK):
+            some = followed[a : a + CHUNK]
+            w, left = ords[a : a + CHUNK], own[a : a + CHUNK]
+            seen = np.maximum(both[np.searchsorted(pair, some)] - left, 0)
+            before, alone = c[some // len(words)] - left, c[w] - left
+            bits = np.log10(k1 / (total - left + k1)) + logp[w]
+            single = np.where(alone > 0, np.log10(np.maximum(alone, 1) / (total - left + k1) + 10 ** np.maximum(bits, -300)), bits)
+            rest = np.log10(k / (before + k)) + single
+            score[a : a + CHUNK] = np.where(seen > 0, np.log10(seen / (before + k) + 10 ** np.maximum(rest, -300)), rest)
         ids = pd.array([None if x is None or x != x else int(x) for x in row["doc_ids"]], dtype="Int64")
-        return pd.DataFrame({"doc_id": ids, "n_tokens": sizes, "n_known": gather((c > 0).astype(np.int64)), "base_score": gather(base), "score": gather(logp), "n_bytes": gather(width).astype(np.int64)})
+        return pd.DataFrame({"doc_id": ids, "n_tokens": sizes, "n_known": gather((c > 0).astype(np.int64)), "base_score": gather(base), "score": np.add.reduceat(score, at), "n_bytes": gather(width).astype(np.int64)})
 
     return run
 
@@ -322,7 +385,7 @@ def score_documents(docs: DataFrame, learn: str = "true", id_col: str = "doc_id"
     """Scores every text; learns from the rows for which the SQL condition ``learn`` holds.
 
     Returns one row for each row of docs: doc_id, n_tokens (words and the end), n_known (tokens met in
-    training), base_score (log10 probability by smoothed word counts), score (the model's),
+    training), base_score (log10 probability by smoothed word counts), score (the model's, of the words in their order),
     bits_per_byte (of the words with a blank behind each, and the end), train_tokens. A null text counts as empty and has the end alone. Ids may be null or
     repeated. With nothing to learn from, all bits are even. Further columns are only seen by ``learn``.
     """
@@ -362,8 +425,18 @@ def score_documents(docs: DataFrame, learn: str = "true", id_col: str = "doc_id"
     logs = written(logs, "lm-logs")
     width = F.when(F.length("word") > 0, F.length("word") + 1).otherwise(1)
     back = entries.select("batch", "ord", "word").join(logs, "word").select("batch", "ord", "c", "logp", width.alias("width"))
-    numbers = texts.select(F.col("batch").alias("of"), "doc_ids", "sizes", "ords")
-    out = numbers.groupBy("of").cogroup(back.groupBy("batch")).applyInPandas(_documents(total, distinct), SCORES)
+    # A pair that is met once and learned from has nothing left without its own occurrence; it is counted, no more.
+    dealt = texts.select("batch", "words", "learns", "sizes", "ords").mapInArrow(_pairs, PAIRS).withColumn("c", F.sum("train").over(Window.partitionBy("key")))
+    met = Observation()
+    dealt = dealt.observe(met, F.count_if((F.col("c") == 1) & (F.col("train") == 1)).alias("once"))
+    pairs = written(dealt.filter((F.col("c") > 1) | ((F.col("c") == 1) & ~F.col("learned"))).select("batch", "ord", "c"), "lm-pairs")
+    level = F.floor(F.log2("c") * 4)
+    levels = known.groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.sum("c").alias("c"), F.count_if(F.col("c") == 1).alias("once")).collect()
+    k1 = max(1.0, (once := sum(r["once"] for r in levels)) * total / max(1, total - once))
+    k = _strength([(r["n"], r["c"]) for r in levels], met.get["once"]) if total else 1.0
+    back = back.unionByName(pairs.select("batch", "ord", "c", F.lit(0.0).alias("logp"), F.lit(0).alias("width")))
+    numbers = texts.select(F.col("batch").alias("of"), "doc_ids", "learns", "sizes", "ords")
+    out = numbers.groupBy("of").cogroup(back.groupBy("batch")).applyInPandas(_documents(total, distinct, k1, k), SCORES)
     bits = F.col("score") * (-np.log2(10.0)) / F.col("n_bytes")
     return out.select("doc_id", "n_tokens", "n_known", "base_score", "score", bits.alias("bits_per_byte"), F.lit(total).cast("long").alias("train_tokens"))
 

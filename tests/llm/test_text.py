@@ -163,6 +163,26 @@ def test_lm_scores(spark):
     assert cm.score_documents(spark.createDataFrame([], "doc_id long, text string"), "true").count() == 0
 
 
+def test_lm_scores_running_text(spark):
+    rng = random.Random(3)
+    after = [[rng.randrange(200) for _ in range(3)] for _ in range(200)]
+
+    def text(n):
+        at, words = rng.randrange(200), []
+        for _ in range(n):
+            words.append(f"word{at}x")
+            at = rng.choice(after[at])
+        return words
+
+    texts = [text(60) for _ in range(220)]
+    salads = [rng.sample(t, len(t)) for t in texts]
+    rows = [(k, " ".join(t), k < 200) for k, t in enumerate(texts)] + [(1000 + k, " ".join(t), False) for k, t in enumerate(salads) if k >= 200]
+    got = {r["doc_id"]: r["score"] / r["n_tokens"] for r in cm.score_documents(spark.createDataFrame(rows, "doc_id long, text string, fold boolean"), "fold").collect()}
+    assert all(got[k] > got[1000 + k] + 0.5 for k in range(200, 220))
+    # What was learned from is scored without its own occurrence, so no better than what wasn't.
+    assert abs(sum(got[k] for k in range(200)) / 200 - sum(got[k] for k in range(200, 220)) / 20) < 0.15
+
+
 def test_lm_is_a_distribution():
     words = [b"", b"a", b"ab", b"b"]
     tables = [np.zeros(2 << s) for s in cm.SLOTS]
