@@ -1,8 +1,9 @@
 """MinHash near-dedup: a set similarity join by chosen paths.
 
 Documents with equal shingle sets are one class. Trees branch the classes: a node picks coordinates of
-the classes' minhash signatures and parts its members by their tokens there. Two levels below its root
-a tree has kept a pair of similarity 0.8 together with a chance of 0.94, and one of TREES with 0.999.
+the classes' minhash signatures and parts its members by their tokens there, by two coordinates at each
+node, so that a tree keeps a pair of similarity 0.8 together on some path with a chance of about 0.94
+at any depth, and one of TREES with 0.999.
 Nodes of at most LEAF members are compared exhaustively by signature; larger ones compare all members
 with a few pivots and branch on, unless all their members are already in one candidate cluster.
 
@@ -31,8 +32,8 @@ PERCENT = 80
 WIDTH = 128
 TREES = 3
 LEAF = 4096
-#: Signatures that agree in this share of coordinates belong to a candidate: 2.8 standard errors below 0.8.
-CANDIDATE = 0.70
+#: Signatures that agree in this share of coordinates belong to a candidate: 3.4 standard errors below 0.8.
+CANDIDATE = 0.68
 #: Levels after which a node that is still large is compared block by block.
 DEEPEST = 8
 #: Shingles of a cluster that one task judges, and those of a block of what pivots left over.
@@ -280,14 +281,13 @@ def _root(classes: DataFrame) -> DataFrame:
 
 
 def _branch(rows: DataFrame, classes: DataFrame, level: int) -> DataFrame:
-    """Children of the rows' nodes by a coordinate that the node picks, and at one node in four by a second: 1 / 0.8 on average."""
+    """Children of the rows' nodes by two coordinates that the node picks."""
     signed = rows.join(classes.select("key", "sig"), "key")
     children = []
     for b in range(2):
         c = F.pmod(F.xxhash64("node", F.lit(level), F.lit(b)), F.lit(WIDTH)).cast("int")
-        child = F.xxhash64("node", c, _token(F.col("sig"), c))
-        children.append(child if b == 0 else F.when(F.pmod(F.xxhash64("node", F.lit(level), F.lit(7)), F.lit(4)) == 0, child))
-    return signed.select("key", F.explode(F.array(*children)).alias("node")).filter("node IS NOT NULL")
+        children.append(F.xxhash64("node", c, _token(F.col("sig"), c)))
+    return signed.select("key", F.explode(F.array(*children)).alias("node"))
 
 
 def _alike(a: str, b: str) -> Column:

@@ -124,6 +124,36 @@ def test_near(spark, leaf, cluster, ids):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in rows)
 
 
+def test_near_candidates_below_large_nodes(spark):
+    import numpy as np
+
+    from lodestone.llm.minhash_dedup import WIDTH, _leaf, candidate_clusters
+
+    rng = np.random.default_rng(8)
+    n = 600
+    # Two of three tokens are common to all, so that nodes stay large for some levels; pairs agree in 0.8 of the coordinates.
+    sigs = np.where(rng.random((n, WIDTH)) < 0.7, 1, rng.integers(2, 1 << 16, (n, WIDTH)))
+    fresh = rng.integers(2, 1 << 16, (n, WIDTH))
+    for row in fresh:
+        row[rng.permutation(WIDTH)[26:]] = 0
+    copies = np.where(fresh > 0, fresh, sigs)
+    rows = [(f"{k % n}-{k // n}".encode(), bytearray(sig.astype("<u2").tobytes())) for k, sig in enumerate(np.concatenate([sigs, copies]))]
+    labels = {bytes(r["node"]): r["label"] for r in candidate_clusters(spark.createDataFrame(rows, "key binary, sig binary"), leaf=60).collect()}
+    met = sum(labels.get(f"{k}-0".encode(), 0) == labels.get(f"{k}-1".encode(), 1) for k in range(n))
+    assert met >= 0.998 * n, met
+    less = sigs[0].copy()
+    less[:40] = 0  # 88 of 128 coordinates agree
+    assert len(list(_leaf([(0, b"a", sigs[0].astype("<u2").tobytes(), None), (0, b"b", less.astype("<u2").tobytes(), None)]))) == 1
+
+
+def test_near_branches_twice(spark):
+    from lodestone.llm.minhash_dedup import WIDTH, _branch
+
+    classes = spark.createDataFrame([(bytes([k]), bytearray([k] * 2 * WIDTH)) for k in range(40)], "key binary, sig binary")
+    nodes = spark.createDataFrame([(bytes([k]), k) for k in range(40)], "key binary, node long")
+    assert _branch(nodes, classes, 0).distinct().groupBy("key").count().filter("count = 2").count() == 40
+
+
 def test_near_odd_rows(spark):
     rows = near_dedup(docs(spark, [(1, "a b c", "s"), (1, "a b c", "s"), (None, "a b c", "s"), (5, None, "s"), (6, "", "s"), (None, "zz", "s")]), shingle=2).collect()
     assert sorted((r["doc_id"] or -1, r["component_id"] or -1, r["kept"]) for r in rows) == [(-1, -1, True), (-1, 1, False), (1, 1, True), (1, 1, True), (5, 5, True), (6, 6, True)]
