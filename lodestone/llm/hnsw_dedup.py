@@ -3,8 +3,8 @@
 Vectors that are the same are one class. The classes of a label are dealt into shards of bounded
 size; each shard builds a graph, and every class queries the graphs of all shards of its label. A
 query widens its beam until the beam reaches below the threshold, and a block of queries widens all
-its beams until an audit against exhaustive search meets the wanted recall (in the end the beam is the
-shard). Hits are verified by cosine in double precision. Each block counts each query's links and keeps
+its beams until an audit against exhaustive search meets the wanted recall a query, in dense groups and
+outside of them (in the end the beam is the shard). Hits are verified by cosine in double precision. Each block counts each query's links and keeps
 a spanning forest of them, so what leaves it is linear in its size, however dense a group is.
 """
 
@@ -25,8 +25,10 @@ THRESHOLD = 0.98
 SHARD = 16_384
 BLOCK = 8_192
 RECALL = 0.995
-#: Queries of a block that are audited: one in AUDIT, 16 at least.
+#: Queries of a block that are audited: one in AUDIT, 16 at least; and more until ENOUGH with at most SPARSE links are among them.
 AUDIT = 32
+ENOUGH = 16
+SPARSE = 12
 LINKS = 8
 BUILD_BEAM = 40
 BEAM = 12
@@ -116,7 +118,9 @@ class Graph:
             if beam >= len(self.x):
                 return np.flatnonzero(self.x @ q >= threshold).tolist()
             found = self._search(q, starts, beam, self.layers[0])
-            if found[-1][0] < threshold or len(found) < beam:
+            if len(found) < beam:  # what can be reached is less than the beam; the rest is looked at too
+                return np.flatnonzero(self.x @ q >= threshold).tolist()
+            if found[-1][0] < threshold:
                 return [j for s, j in found if s >= threshold]
             beam *= 2
 
@@ -147,12 +151,20 @@ def _query(threshold: float):
             return found[(x[found] @ q[k] >= threshold) & (ids[found] != own[k])]
 
         step = max(1, min(AUDIT, len(q) // 16))
-        audited = range(0, len(q), step)
-        truth = {k: exact(k, np.flatnonzero(x @ q[k] >= loose)) for k in audited}
+        first = range(0, len(q), step)
+        more = np.random.default_rng(len(q)).permutation(np.setdiff1d(np.arange(len(q)), first)).tolist()
+        truth, sparse = {}, 0
+        for k in [*first, *more]:
+            if len(truth) >= len(first) and sparse >= ENOUGH:
+                break
+            truth[k] = exact(k, np.flatnonzero(x @ q[k] >= loose))
+            sparse += 0 < len(truth[k]) <= SPARSE
+        # Each query counts alike, and those of dense groups apart from the others.
+        audits = [[k for k, t in truth.items() if 0 < len(t) <= SPARSE], [k for k, t in truth.items() if len(t) > SPARSE]]
         beam = BEAM
-        while True:
-            met = sum(len(np.intersect1d(exact(k, graph.near(q[k], loose, beam)), truth[k])) for k in audited)
-            if met >= RECALL * sum(map(len, truth.values())) or beam >= len(x):
+        while beam < len(x):
+            recalls = [np.mean([len(np.intersect1d(exact(k, graph.near(q[k], loose, beam)), truth[k])) / len(truth[k]) for k in a]) for a in audits if a]
+            if len(truth) == len(q) or min(recalls, default=1.0) >= RECALL:
                 break
             beam *= 2
         root = {}

@@ -212,3 +212,36 @@ def test_graph_recall():
     graph = Graph(x)
     truth = (x @ x.T >= 0.98).sum()
     assert sum(len(graph.near(q, 0.98, 12)) for q in x) >= 0.98 * truth
+
+
+class Shy:
+    """Finds no isolated pair while its beam is small."""
+
+    def __init__(self, x):
+        self.x = x
+
+    def near(self, q, threshold, beam):
+        hits = [k for k, s in enumerate((self.x @ q).tolist()) if s >= threshold]
+        return hits if len(hits) > 2 or beam >= 100 else []
+
+
+def test_audit_sees_isolated_pairs():
+    import pickle
+
+    import numpy as np
+    import pandas as pd
+
+    from lodestone.llm.hnsw_dedup import Graph, _query
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(700, 24))
+    x[:300] = x[0] + rng.normal(size=(300, 24)) * 0.005
+    x[500:] = x[300:500] + rng.normal(size=(200, 24)) * 0.005
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    queries = pd.DataFrame({"cid": np.arange(700), "embedding": list(x)})
+    index = pd.DataFrame({"state": [pickle.dumps((np.arange(700), np.ones(700, int), x, Shy(x)))]})
+    out = _query(0.98)(queries, index)
+    assert set(out["u"]) == set(range(700))
+    graph = Graph(x[:40])
+    graph.layers = [{k: np.zeros(0, np.int64) for k in range(40)}]  # nothing can be reached from the entry
+    assert sorted(graph.near(x[3], 0.98, 12)) == list(range(40))
