@@ -5,19 +5,41 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet below spark.checkpoint.dir and reads it back; the folder goes when the driver ends."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where it is unset a local session gets a folder of its own; elsewhere that is an error,
+    as a folder of one machine would hold a part of the data."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/lodestone/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    at = sc._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+        sc.setCheckpointDir(where)
+    return where.rstrip("/")
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Cuts lineage: writes df as Parquet into the shared folder and reads it back.
+
+    Unlike checkpoint() it keeps columns prunable. The folder goes when the driver's JVM ends, or by drop().
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def drop(df: DataFrame | None) -> None:
+    """Deletes the files of a table that materialize() returned; nothing may read it any more."""
+    path = getattr(df, "_written_at", None)
+    if path:
+        at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
