@@ -5,15 +5,20 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.operators.storage import drop, shared_dir
+from lodestone.operators.storage import materialize as written
+
+__all__ = ["HOT_ROWS", "UPPER", "WORD", "ascii_lower", "crc_fold", "drop", "global_rank", "hot_join", "read", "release", "shared_dir", "slices", "with_arrow", "written"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A word, in Java's and in RE2's syntax.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,31 +28,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (local tests), a folder of our own."""
-    sc = spark.sparkContext
-    where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", where)
-        sc.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes df as Parquet into the shared folder and reads it back.
-
-    Unlike checkpoint() it keeps columns prunable. The folder goes when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. Pure ASCII takes the fast built-in, which there does the same."""
     plain = F.octet_length(text) == F.char_length(text)
@@ -82,6 +62,38 @@ def global_rank(df: DataFrame, order: list[Column], rank: str, name: str) -> Dat
     return kept.withColumn(rank, at).drop("_at")
 
 
+#: Keys with more rows than this are joined by broadcast; there are at most rows / HOT_ROWS of them.
+HOT_ROWS = 200_000
+
+
+def hot_join(rows: DataFrame, keys: DataFrame, on: str, size: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Inner join of rows with keys, which has one row for each value of ``on`` and in ``size`` how many rows have it.
+
+    The rows of a hot key never meet in one task: hot keys, of which there can be no more than the rows'
+    number over hot_rows, are broadcast, and the other keys are joined as Spark sees fit.
+    """
+    hot = keys.filter(F.col(size) > hot_rows)
+    cold = keys.filter(F.col(size) <= hot_rows)
+    if hot.isEmpty():
+        return rows.join(keys, on)
+    apart = rows.join(F.broadcast(hot.select(on)), on, "left_anti")
+    return apart.join(cold, on).unionByName(rows.join(F.broadcast(hot), on))
+
+
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of a batch's rows with about so many bytes of a column, one row at least."""
+    if batch.num_rows:
+        values = batch.column(column)
+        length = pc.list_value_length if pa.types.is_list(values.type) else pc.binary_length
+        sizes = pc.fill_null(length(values), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes) // most_bytes
+        ends = [*(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        begin = 0
+        for end in ends:
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
 def release() -> None:
     """Gives a task's memory back, as a Python worker lives on between tasks and stages."""
     gc.collect()
@@ -90,8 +102,8 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def with_arrow(df: DataFrame, inputs: list[str], fields: str, make: Callable[[], Callable[..., list[pa.Array]]], rows: int = 1024) -> DataFrame:
-    """df with further columns that Python makes from Arrow columns, some rows at a time.
+def with_arrow(df: DataFrame, inputs: list[str], fields: str, make: Callable[[], Callable[..., list[pa.Array]]], most_bytes: int = 1 << 20) -> DataFrame:
+    """df with further columns that Python makes from Arrow columns, about most_bytes of the first input at a time.
 
     ``make`` runs once for each task and returns what turns the inputs' arrays into the new columns;
     ``fields`` is their DDL. Columns of the same names are replaced.
@@ -102,12 +114,12 @@ def with_arrow(df: DataFrame, inputs: list[str], fields: str, make: Callable[[],
     names = [f.name for f in kept]
     needed = [c for c in inputs if c not in names]
     rows_in = df.select(*[f"`{c}`" for c in names], *[F.col(f"`{c}`").alias(f"_in_{c}") for c in needed])
+    first = f"_in_{inputs[0]}" if inputs[0] in needed else inputs[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         convert = make()
         for whole in batches:
-            for k in range(0, whole.num_rows, rows):
-                batch = whole.slice(k, rows)
+            for batch in slices(whole, first, most_bytes):
                 columns = [batch.column(f"_in_{c}" if c in needed else c) for c in inputs]
                 made = convert(*columns)
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *made], names=schema.names)

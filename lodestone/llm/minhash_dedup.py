@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.base import read, release, written
+from lodestone.llm.base import hot_join, read, release, slices, written
 from lodestone.llm.components import components
 
 SHINGLE = 5
@@ -123,19 +123,10 @@ def signatures(hashes: np.ndarray, offsets: np.ndarray) -> list[bytes | None]:
     return out
 
 
-def _pieces(batch: pa.RecordBatch, characters: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of about so many bytes of text."""
-    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
-    part = np.cumsum(sizes) // characters
-    for rows in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(part)) + 1):
-        if len(rows):
-            yield batch.slice(rows[0], len(rows))
-
-
 def _sign(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _pieces(whole) if whole.num_rows else ():
+            for batch in slices(whole, "text"):
                 hashes, offsets = shingles(batch.column("text").to_pylist(), n)
                 columns = [batch.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), pa.array(class_keys(hashes, offsets), pa.binary()), pa.array(signatures(hashes, offsets), pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "key", "sig"])
@@ -147,7 +138,7 @@ def _sign(n: int):
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _pieces(whole) if whole.num_rows else ():
+            for batch in slices(whole, "text"):
                 hashes, offsets = shingles(batch.column("text").to_pylist(), n)
                 keys = pa.array(class_keys(hashes, offsets), pa.binary())
                 sets = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashes.view(np.int64)))

@@ -254,7 +254,7 @@ def encode_and_decode(docs: DataFrame, model_path: str, text_col: str = "text",
 
         return convert
 
-    return with_arrow(docs, [text_col], f"`{ids_col}` array<int>, `{decoded_col}` string, `{crc_col}` long", make, 256)
+    return with_arrow(docs, [text_col], f"`{ids_col}` array<int>, `{decoded_col}` string, `{crc_col}` long", make)
 
 
 def decode_pieces(docs: DataFrame, model_path: str, ids_col: str = "piece_ids", text_col: str = "decoded") -> DataFrame:

@@ -17,6 +17,7 @@ decode side by side; its last word is padded with zeros, which the known number
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.base import read, shared_dir
+from lodestone.llm.base import read, shared_dir, slices
 
 MAGIC = b"LS8B"
 BLOCK = 512
@@ -193,7 +194,9 @@ class PieceEncoder:
     characters that aren't white space, and makes a single newline there a token of its own. So a text
     is cut at such blanks and newlines, and the ids of its pieces are those of the whole text; new
     pieces go to the library many at a time, newlines between them. Where white space adjoins a blank
-    the parts stay together. Strings of special tokens are ordinary text.
+    the parts stay together. Strings of special tokens become their ids as the library makes them: it
+    takes them out first, so what stands between them is encoded by itself; where a special token also
+    takes white space beside it or whole words only, a text that has it goes to the library whole.
     """
 
     JOINED = 200
@@ -205,20 +208,38 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.end_id = end_id
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = {t.content: i for i, t in sorted(added.items(), reverse=True) if t.content}
+        longest = sorted(self.added, key=lambda c: (-len(c), c))
+        self.cut = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
+        self.plain_cut = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values())
         (self.newline,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         #: Marks that the pre-tokenizer parts from a letter before them at the end of a piece.
         self.marks = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in MARKS}
         self.reset()
 
     def reset(self) -> None:
-        #: Row 0 is the end id, row 1 a newline. Pieces at a line's begin, pieces that follow a blank (which
-        #: their keys leave out), and pieces with white space in them.
-        rows = [2]
+        #: Row 0 is the end id, row 1 a newline, then the special tokens. Pieces at a line's begin, pieces that
+        #: follow a blank (which their keys leave out), and pieces with white space in them.
+        self.ids = np.array([self.end_id, self.newline, *self.added.values()], np.uint32)
+        self.special = {c: 2 + k for k, c in enumerate(self.added)}
+        rows = [len(self.ids)]
         self.plain, self.after, self.spaced = _Pieces(rows), _Pieces(rows), _Pieces(rows)
-        self.ids = np.array([self.end_id, self.newline], np.uint32)
-        self.begin, self.size = np.array([0, 1], np.int64), np.array([1, 1], np.int64)
+        self.begin, self.size = np.arange(len(self.ids)), np.ones(len(self.ids), np.int64)
+
+    def text(self, text: str, rows: list[int]) -> None:
+        """Adds the rows of a whole text."""
+        if self.cut is None or not self.cut.search(text):
+            self.pieces(text, rows)
+        elif self.plain_cut:
+            for part in self.cut.split(text):
+                if part in self.special:
+                    rows.append(self.special[part])
+                elif part:
+                    self.pieces(part, rows)
+        else:
+            rows.append(self.spaced[text])
 
     def pieces(self, text: str, rows: list[int]) -> None:
         """Adds the rows of a text's pieces."""
@@ -293,7 +314,7 @@ class PieceEncoder:
         ends = []
         for text in texts:
             if text:
-                self.pieces(text, rows)
+                self.text(text, rows)
             rows.append(0)
             ends.append(len(rows))
         if self.plain.rows[0] > len(self.size):
@@ -338,11 +359,10 @@ def _shards(path: str, end_id: int):
             types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["part", "shard", "n_ids", "n_docs", "doc_ids", "image"])
 
-        for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            for k in range(0, len(keys), 256):
-                got, n = encoder.encode([t or "" for t in texts.slice(k, 256).to_pylist()])
-                docs += keys[k : k + 256]
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                got, n = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
+                docs += batch.column("doc_id").to_pylist()
                 ids.append(got)
                 lens.append(n)
                 held += len(got)
@@ -359,7 +379,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     """Writes the ids of all texts to ``path`` in ascending id order, each document with end_id behind it.
 
     Null and empty texts have only the end id. Null ids come first; rows with equal ids stand in the
-    order of their texts. Rows are dealt by ranges of the id, so the files' (part, shard) order is the
+    order of their texts; further columns of any name are ignored. Rows are dealt by ranges of the id, so the files' (part, shard) order is the
     documents' order, and a task holds one shard at a time. An empty table makes an empty file.
     """
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -256,7 +256,7 @@ def scorer(model: Model) -> Callable[[], Callable[[pa.Array], list[pa.Array]]]:
 
 def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
     """Adds the probability that a text is toxic, from the whole text; a null text counts as empty. A column score_col is replaced."""
-    return with_arrow(docs, [text_col], f"`{score_col}` double", scorer(model), 256)
+    return with_arrow(docs, [text_col], f"`{score_col}` double", scorer(model))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from lodestone.llm import context_mixing as cm
 from lodestone.llm import toxicity as tox
@@ -41,20 +42,22 @@ def test_simple8b_is_dense():
 
 
 def test_piece_encoder_matches_library():
-    encoder = PieceEncoder(BPE, 0)
-    for texts in (TEXTS, TEXTS[::-1], TEXTS):
+    encoder, library = PieceEncoder(BPE, 0), Tokenizer.from_file(BPE)
+    special = ["<|endoftext|>", "a<|endoftext|>b", " <|endoftext|> ", "x <|endoftext|>\n\n<|endoftext|><|endoftext|> y  z", "<|endoftext", "|endoftext|>", "<|endoftext|>" * 300]
+    assert library.encode(special[0], add_special_tokens=False).ids == [50256]
+    for texts in (TEXTS, TEXTS[::-1], TEXTS, special, special[::-1]):
         ids, sizes = encoder.encode([t or "" for t in texts])
-        expected = [[*e.ids, 0] for e in encoder.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        expected = [[*e.ids, 0] for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
         assert sizes.tolist() == [len(e) for e in expected]
         assert ids.tolist() == [i for e in expected for i in e]
 
 
 def test_token_files(spark, tmp_path):
     rows = [(len(TEXTS) - k, t) for k, t in enumerate(TEXTS)] + [(None, "none"), (3, "again")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = spark.createDataFrame([(*r, "c", [0], b"i") for r in rows], "doc_id long, text string, part string, doc_ids array<long>, image binary")
     write_tokens(docs, str(tmp_path / "t"), BPE)
     got = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in read_tokens(spark, str(tmp_path / "t")).collect())
-    tokenizer = PieceEncoder(BPE, 0).tokenizer
+    tokenizer = Tokenizer.from_file(BPE)
     start, expected = 0, []
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
         ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
