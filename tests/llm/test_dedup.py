@@ -1,5 +1,6 @@
 """Exact, line, near and embedding dedup against brute force on small tables."""
 
+import hashlib
 import random
 from collections import defaultdict
 
@@ -35,17 +36,22 @@ def unite(n, links):
 EXACT = [(1, "Hello World", "a"), (2, "hello world", "b"), (3, None, "a"), (4, "", None), (5, "É", "a"), (6, "é", "a"), (None, "HELLO WORLD", "c"), (7, "x" * 9000 + "a", "a"), (8, "X" * 9000 + "b", "a"), (9, "x" * 9000 + "A", "a"), (2, "hello world", "b")]
 
 
-@pytest.mark.parametrize("limit", [0, 1000])
-def test_exact(spark, limit):
-    rows = exact_dedup(docs(spark, EXACT), broadcast_groups=limit, digest_all=True).collect()
+@pytest.mark.parametrize("limit", [0, 64, 1 << 20])
+@pytest.mark.parametrize("hot", [1, 1000])
+def test_exact(spark, limit, hot):
+    table = docs(spark, EXACT)
+    rows = exact_dedup(table, broadcast_bytes=limit, hot_rows=hot, digest_all=True).collect()
     got = sorted((r["doc_id"] or -1, r["keep_id"], r["group_size"], r["kept"]) for r in rows)
     assert got == sorted([(1, 2, 4, False), (2, 2, 4, True), (2, 2, 4, True), (-1, 2, 4, False), (3, 4, 2, False), (4, 4, 2, True), (5, 5, 1, True), (6, 6, 1, True), (7, 9, 2, False), (9, 9, 2, True), (8, 8, 1, True)])
-    assert all(len(r["text_sha256"]) == 64 for r in rows)
-
-
-def test_exact_hashes_survivors_only(spark):
-    rows = exact_dedup(docs(spark, EXACT)).collect()
-    assert {r["doc_id"] for r in rows if r["text_sha256"] is None} == {5, 6}
+    text = {r[0]: (r[1] or "") for r in EXACT}
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    assert all(r["text_sha256"] == hashlib.sha256(text[r["doc_id"]].translate(lower).encode()).hexdigest() for r in rows)
+    # The same rows whatever the limit; a hash only where length and prefix left a row with others.
+    less = exact_dedup(table, broadcast_bytes=limit, hot_rows=hot).collect()
+    assert sorted((r["doc_id"] or -1, r["keep_id"], r["group_size"], r["kept"]) for r in less) == got
+    assert {r["doc_id"] for r in less if r["text_sha256"] is None} == {5, 6}
+    full = {(r["doc_id"], r["text_sha256"]) for r in rows}
+    assert all((r["doc_id"], r["text_sha256"]) in full for r in less if r["text_sha256"])
 
 
 def test_exact_empty(spark):
