@@ -66,18 +66,18 @@ def global_rank(df: DataFrame, order: list[Column], rank: str, name: str) -> Dat
 HOT_ROWS = 200_000
 
 
-def hot_join(rows: DataFrame, keys: DataFrame, on: str, size: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def hot_join(rows: DataFrame, keys: DataFrame, on: str | list[str], size: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Inner join of rows with keys, which has one row for each value of ``on`` and in ``size`` how many rows have it.
 
     The rows of a hot key never meet in one task: hot keys, of which there can be no more than the rows'
     number over hot_rows, are broadcast, and the other keys are joined as Spark sees fit.
     """
     hot = keys.filter(F.col(size) > hot_rows)
-    cold = keys.filter(F.col(size) <= hot_rows)
     if hot.isEmpty():
         return rows.join(keys, on)
-    apart = rows.join(F.broadcast(hot.select(on)), on, "left_anti")
-    return apart.join(cold, on).unionByName(rows.join(F.broadcast(hot), on))
+    names = [on] if isinstance(on, str) else on
+    apart = rows.join(F.broadcast(hot.select(*names)), on, "left_anti")
+    return apart.join(keys.filter(F.col(size) <= hot_rows), on).unionByName(rows.join(F.broadcast(hot), on))
 
 
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:

@@ -60,11 +60,17 @@ def test_exact_empty(spark):
 
 LINE = "this line is shared by sites"
 LINES = [(1, f"{LINE}\nown one", "a"), (2, f"own two\n{LINE} ", "b"), (3, f"{LINE}\n{LINE}\nown", "c"), (4, f"{LINE}", None), (5, None, "a"), (6, "", "b"), (7, "short\nonly on two sites", "a"), (8, "short\nonly on two sites", "b"), (9, "short", "c"), (None, "nothing shared here", "z")]
+PASSAGE = " ".join(f"word{k}" for k in range(60))
+LINES += [(20, f"{PASSAGE}\nx", "a"), (21, f"y\n{PASSAGE}", "a"), (22, PASSAGE, "b"), (23, PASSAGE[:-3], "a"), (24, PASSAGE[:-3], "a"), (25, "w " * 60_000, "a")]
 
 
-@pytest.mark.parametrize("limit", [0, 1000])
-def test_lines(spark, limit):
-    rows = {r["doc_id"]: r for r in line_dedup(docs(spark, LINES), broadcast_lines=limit).collect()}
+@pytest.mark.parametrize(("limit", "hot"), [(0, 2), (0, 1000), (1000, 2)])
+def test_lines(spark, limit, hot):
+    table = docs(spark, LINES).withColumnsRenamed({"keep_id": "lines_total"})
+    rows = {r["doc_id"]: r for r in line_dedup(table, broadcast_lines=limit, hot_rows=hot).collect()}
+    assert rows[20]["text"] == f"{PASSAGE}\nx" and rows[21]["text"] == "y" and rows[22]["text"] == ""  # two sites are enough for a passage
+    assert rows[23]["text"] == rows[24]["text"] == PASSAGE[:-3]  # but not one
+    assert rows[25]["text"] == "w " * 60_000
     assert rows[1]["text"] == f"{LINE}\nown one" and rows[1]["lines_removed"] == 0
     assert rows[2]["text"] == "own two" and rows[2]["lines_removed"] == 1
     assert rows[3]["text"] == "own" and rows[3]["lines_total"] == 3
