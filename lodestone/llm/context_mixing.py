@@ -1,41 +1,50 @@
 """Language-model scores by online logistic context mixing.
 
 The text that is scored is its lower-cased words, each as its bytes with a blank behind them, and an
-end byte. Bits are predicted one by one: five hashed contexts (the last 1, 2, 3 and 4 bytes of the
-word and all of it so far, each with the byte's bits so far) each keep counts of zeros and ones. Their
-log odds are combined by weights that a gate picks by how much the two longest contexts have seen, and
-the mix is refined by an adaptive map from (bits so far, mix) to what came true. Log probabilities of
-all bits add up to the text's.
-
-The bits' contexts end at words, so their counts come from the table of distinct words with how often
-each occurs in training, aggregated over the whole corpus; weights and map are learned online over all
-of its words, each predicted with one occurrence of its own left out of the counts; and the bits of
-each distinct word are scored once.
-
-Running text is scored word by word behind the word before (a document's first behind an end):
-P(w | v) = (c(v, w) + K P(w)) / (c(v) + K) and P(w) = (c(w) + K1 bits(w)) / (total + K1). Counts of words
-and of pairs of words are keyed tables of the whole corpus that are joined by key (pairs by 64 bits of a
-hash), so they grow with it. K1 and K give unseen words and unseen pairs the share of those met once.
-A word of a text that was learned from is scored with its own occurrence left out of both counts.
+end byte. Three models of different reach are mixed:
+
+Spelling. Bits are predicted one by one: four hashed contexts (the last 1, 2, 3 and 4 bytes of the
+word, with the byte's bits so far) each keep counts of zeros and ones. Their log odds are combined by
+weights that a gate picks by place and by how much the two longest contexts have seen, and the mix is
+refined by an adaptive map from (bits so far, mix) to what came true. Counts come from the table of
+distinct words with how often training has each; weights and map are learned online over all of it, each
+word predicted with one occurrence of its own left out. These contexts end at the word, so the bits of a
+distinct word are scored once.
+
+Words. A word that training has is also predicted by its exact count.
+
+Running text. Each word stands behind another (a document's first behind an end), and is predicted by
+the exact count of that pair: P(w | v) = s c(v, w) / c(v) + (1 - s) P(w). The share s is a weight that a
+gate picks by how often training has v and by how many words before were met behind theirs, so a
+passage that repeats is recognised as one after a few words. The gates' weights are learned online over all
+training text. P(w) = (c(w) + K spelled(w)) / (total + K), where K leaves to unseen words the share of those met once.
+
+Counts of words and pairs are exact tables of the whole corpus (pairs by 48 bits of a hash), so they grow
+with it. A text that was learned from is scored with its own occurrence left out of them.
+
+What travels are packed blocks. A batch of some millions of tokens keeps its distinct words and pairs in the order
+of their hashes, sends each hash range its part, and gets counts back in the same order: some four bytes for a pair.
 """
 
 from __future__ import annotations
 
-import hashlib
 import pickle
+from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.base import crc_fold, read, written
+from lodestone.llm.base import crc_fold, drop, read, slices, written
 
-#: Contexts: the last 1 to 4 bytes and the whole word so far; log2 of the slots of each.
-SLOTS = (17, 20, 22, 22, 22)
+#: Contexts: the last 1 to 4 bytes; log2 of the slots of each.
+SLOTS = (17, 20, 22, 22)
 ORDERS = len(SLOTS)
 END = b"\n"
 #: Added to either count before the log odds.
@@ -44,12 +53,15 @@ STEPS = 33
 #: Of learning weights, over the root of the summed squared slopes.
 RATE = 0.03
 BLOCK = 1 << 14
-#: Words of text in a batch of documents, and distinct words in a shard of the model's training.
-BATCH_WORDS = 5_000_000
-SHARD_WORDS = 1_000_000
+#: Tokens in a batch; entries of all batches in a range of words and of pairs; distinct words in a shard of the training.
+BATCH_TOKENS = 4_000_000
+RANGE_WORDS = 200_000
+RANGE_PAIRS = 2_000_000
+SHARD_WORDS = 500_000
 CHUNK = 20_000
 #: Words with more than this part of all occurrences are met in every step of the training.
 HOT = 1000
+KEY_BITS = 48
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -78,16 +90,11 @@ class Bits:
         wide = raw.astype(np.uint64) + np.uint64(1)
         self.base: list[np.ndarray] = []
         h = np.zeros(len(raw), np.uint64)
-        for k in range(1, ORDERS):
+        for k in range(1, ORDERS + 1):
             past = np.zeros(len(raw), np.uint64)
             past[k:] = wide[:-k] if k < len(raw) else wide[:0]
             h = h * np.uint64(257) + np.where(self.at >= k, past, np.uint64(0))
             self.base.append(_mix(h * _Q + np.uint64(k)))
-        power = np.cumprod(np.full(len(raw) + 1, _P, np.uint64))
-        total = np.concatenate([[np.uint64(0)], np.cumsum(wide * power[:-1])])
-        # The sum since the word's begin, moved to where the word would stand first.
-        undo = np.cumprod(np.full(len(raw) + 1, np.uint64(pow(int(_P), -1, 1 << 64)), np.uint64))
-        self.base.append(_mix((total[:-1] - total[begin]) * undo[begin] * _Q + np.uint64(99)))
 
     def steps(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(bit's number, bits so far behind a leading one, the bit) for the eight bits of all bytes."""
@@ -203,7 +210,31 @@ class Mixer:
 
 # --- the corpus -------------------------------------------------------------------------------------
 
-BATCH = "batch long, words array<binary>, train array<bigint>, doc_ids array<bigint>, learns binary, sizes binary, ords binary"
+_ZSTD = pa.Codec("zstd", compression_level=3)
+
+
+def _packed(values: np.ndarray | bytes) -> bytes:
+    raw = values if isinstance(values, bytes) else np.ascontiguousarray(values).tobytes()
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
+
+
+def _unpacked(blob: bytes, kind: str = "S") -> np.ndarray | bytes:
+    raw = _ZSTD.decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
+    return raw if kind == "S" else np.frombuffer(raw, kind)
+
+
+def _row(schema: str, *values) -> pa.RecordBatch:
+    """One row of a Spark schema of long, int, binary and arrays of these."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64(), "array<long>": pa.list_(pa.int64()), "array<binary>": pa.list_(pa.binary())}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([v], kinds[k]) for v, (_, k) in zip(values, fields, strict=True)], names=[n for n, _ in fields])
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one by one, as they may be large."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
 
 
 class _Words(dict):
@@ -212,86 +243,129 @@ class _Words(dict):
         return k
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents as numbers of words, some documents together: their distinct words, training counts, and each document's words in turn."""
-    part, made = TaskContext.get().partitionId(), 0
-    words, docs, rows, sizes, learns = _Words(), [], [], [], []
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join([blake2b(w, digest_size=8).digest() for w in words]), "<u8")
 
-    def close() -> pa.RecordBatch:
-        nonlocal made
-        ords = np.array(rows, np.uint32)
-        learned = np.bincount(ords, np.repeat(learns, sizes), len(words)).astype(np.int64)
-        columns = [[(part << 24) + made], [list(words)], [learned], [docs], [np.array(learns, np.uint8).tobytes()], [np.array(sizes, np.uint32).tobytes()], [ords.tobytes()]]
-        types = [pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
-        made += 1
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["batch", "words", "train", "doc_ids", "learns", "sizes", "ords"])
 
-    for batch in batches:
-        for k in range(0, batch.num_rows, 256):
-            some = batch.slice(k, 256)
-            for doc, text, learn in zip(*[some.column(c).to_pylist() for c in ("doc_id", "text", "learn")], strict=True):
-                own = (text or "").encode("utf-8", "replace").lower().split()
-                own.append(b"")
-                rows.extend(map(words.__getitem__, own))
-                docs.append(doc)
-                sizes.append(len(own))
-                learns.append(int(learn))
-                if len(rows) >= BATCH_WORDS:
-                    yield close()
-                    words, docs, rows, sizes, learns = _Words(), [], [], [], []
-    if docs:
-        yield close()
+def _starts(hashes: np.ndarray, ranges: int, bits: int = 64) -> np.ndarray:
+    """Where each of ``ranges`` equal ranges of ascending hashes begins, and the end."""
+    edges = np.array([(k << bits) // ranges for k in range(1, ranges)], np.uint64)
+    return np.concatenate([[0], np.searchsorted(hashes, edges), [len(hashes)]])
 
 
-def _followed(ords: np.ndarray, distinct: int) -> np.ndarray:
-    """A number for each word and the one before it. Each document ends in the end, so that stands before the next one's first."""
-    ords = ords.astype(np.int64)
-    return np.concatenate([ords[-1:], ords[:-1]]) * distinct + ords
+BATCH = "batch long, n_words long, n_tokens long, words binary, train binary, doc_ids array<long>, learns binary, sizes binary, n_bytes binary, ords binary"
 
 
-PAIRS = "batch long, ord int, key long, train int, learned boolean"
+def _batches(most: int):
+    """Documents as numbers of words, some documents together: their distinct words by hash, training counts, and each document's words in turn."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, made = TaskContext.get().partitionId(), 0
+        words, docs, rows, sizes, n_bytes, learns = _Words(), [], array("I"), [], [], []
+
+        def close() -> pa.RecordBatch:
+            names = list(words)
+            order = np.argsort(_hashes(names), kind="stable")
+            place = np.empty(len(names), np.uint32)
+            place[order] = np.arange(len(names), dtype=np.uint32)
+            ords = place[np.frombuffer(rows, np.uint32)]
+            learned = np.bincount(ords, np.repeat(np.array(learns, float), sizes), len(names)).astype("<i8")
+            packed = [_packed(b"\n".join([names[k] for k in order.tolist()])), _packed(learned)]
+            raw = [np.array(learns, np.uint8).tobytes(), np.array(sizes, "<u4").tobytes(), np.array(n_bytes, "<i8").tobytes(), _packed(ords)]
+            return _row(BATCH, (part << 24) + made, len(names), len(ords), *packed, docs, *raw)
+
+        for whole in batches:
+            for some in slices(whole, "text"):
+                for doc, text, learn in zip(*[some.column(c).to_pylist() for c in ("doc_id", "text", "learn")], strict=True):
+                    own = (text or "").encode("utf-8", "replace").lower().split()
+                    n_bytes.append(sum(map(len, own)) + len(own) + 1)
+                    own.append(b"")
+                    rows.extend(map(words.__getitem__, own))
+                    docs.append(doc)
+                    sizes.append(len(own))
+                    learns.append(int(learn))
+                    if len(rows) >= most:
+                        yield close()
+                        made += 1
+                        words, docs, rows, sizes, n_bytes, learns = _Words(), [], array("I"), [], [], []
+        if docs:
+            yield close()
+
+    return run
+
+
+WORD_PART = "range int, batch long, words binary, train binary"
+VOCAB = "range int, words binary, c binary, known long, once long, total long, batches array<long>, places array<binary>"
+
+
+def _deal_words(ranges: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            names, train = _unpacked(row["words"]).split(b"\n"), _unpacked(row["train"], "<i8")
+            at = _starts(_hashes(names), ranges).tolist()
+            for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+                if a < b:
+                    yield _row(WORD_PART, k, row["batch"], _packed(b"\n".join(names[a:b])), _packed(train[a:b]))
+
+    return run
+
+
+def _by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+    """The rows of each range; they come sorted."""
+    held: list[dict] = []
+    for row in _rows(batches):
+        if held and held[0]["range"] != row["range"]:
+            yield held[0]["range"], held
+            held = []
+        held.append(row)
+    if held:
+        yield held[0]["range"], held
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct pairs of words of each batch, in order: a hash of both, how often training has them, whether all of them are training's."""
-    for batch in batches:
-        for of, words, learns, sizes, ords in zip(*[batch.column(c).to_pylist() for c in ("batch", "words", "learns", "sizes", "ords")], strict=True):
-            h = np.array([int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in words], np.uint64)
-            followed = _followed(np.frombuffer(ords, np.uint32), len(words))
-            learn = np.repeat(np.frombuffer(learns, np.uint8), np.frombuffer(sizes, np.uint32)) > 0
-            pair, occurs = np.unique(followed, return_counts=True)
-            trained, often = np.unique(followed[learn], return_counts=True)
-            train = np.zeros(len(pair), np.int32)
-            train[np.searchsorted(pair, trained)] = often
-            key = _mix(_mix(h[pair // len(words)] * _Q + np.uint64(7)) + h[pair % len(words)] * _P).view(np.int64)
-            for a in range(0, len(pair), BLOCK):
-                b = min(a + BLOCK, len(pair))
-                columns = [pa.array(np.full(b - a, of, np.int64)), pa.array(np.arange(a, b, dtype=np.int32)), pa.array(key[a:b]), pa.array(train[a:b]), pa.array(train[a:b] == occurs[a:b])]
-                yield pa.RecordBatch.from_arrays(columns, names=["batch", "ord", "key", "train", "learned"])
 
+def _merge_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A range's words with their counts over all batches, and where each batch's words stand in it."""
+    for k, rows in _by_range(batches):
+        words = _Words()
+        places = [np.array([words[w] for w in _unpacked(r["words"]).split(b"\n")], "<u4") for r in rows]
+        c = np.zeros(len(words), "<i8")
+        for place, r in zip(places, rows, strict=True):
+            c[place] += _unpacked(r["train"], "<i8")
+        numbers = [int((c > 0).sum()), int((c == 1).sum()), int(c.sum())]
+        yield _row(VOCAB, k, _packed(b"\n".join(words)), _packed(c), *numbers, [r["batch"] for r in rows], [_packed(p) for p in places])
 
-def _strength(words: list[tuple[float, float]], once: float) -> float:
-    """K for which the share left to unseen pairs, sum of c K / (c + K) over the words, is what pairs met once have. words: (how many, their counts' sum)."""
-    low, high = 1e-3, 1e12
-    for _ in range(100):
-        k = (low * high) ** 0.5
-        left = sum(c * k / (c / n + k) for n, c in words)
-        low, high = (k, high) if left < once else (low, k)
-    return low
+
+def _known(row: dict) -> tuple[list[bytes], np.ndarray]:
+    return _unpacked(row["words"]).split(b"\n"), _unpacked(row["c"], "<i8")
+
+
+def _hot(often: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            words, c = _known(row)
+            some = np.flatnonzero(c > often).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([words[k] for k in some], pa.binary()), pa.array(c[some], pa.int64())], names=["word", "c"])
+
+    return run
+
+
+COUNTS = "k int, block int, counts binary"
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of the contexts' counts over this task's words."""
+    """The slots that this task's words have touched, by blocks: places, zeros and ones."""
     tables = None
-    for batch in batches:
-        if batch.num_rows:
-            tables = tables or [np.zeros(2 << s) for s in SLOTS]
-            count(batch.column("word").to_pylist(), batch.column("c").to_numpy(zero_copy_only=False), tables)
+    for row in _rows(batches):
+        words, c = _known(row)
+        own = np.flatnonzero(c > 0)
+        tables = tables or [np.zeros(2 << s) for s in SLOTS]
+        count([words[k] for k in own.tolist()], c[own], tables)
     for k, table in enumerate(tables or ()):
-        for b in range(0, len(table), 2 * BLOCK):
-            values = table[b : b + 2 * BLOCK]
-            packed = values.astype("<u4") if values.max() < 2**32 else values
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([b // (2 * BLOCK)], pa.int32()), pa.array([packed.tobytes()], pa.binary())], names=["k", "block", "counts"])
+        both = table.reshape(-1, 2)
+        touched = np.flatnonzero(both.any(axis=1))
+        for at in np.split(touched, np.flatnonzero(np.diff(touched // BLOCK)) + 1):
+            if len(at):
+                raw = (at % BLOCK).astype("<u2").tobytes() + both[at].astype("<u8").tobytes()
+                yield _row(COUNTS, k, int(at[0]) // BLOCK, _packed(raw))
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,45 +373,215 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at, total = None, None
 
     def made() -> pa.RecordBatch:
-        pair = code(total[0::2]).astype("<u2") | (code(total[1::2]).astype("<u2") << 8)
-        return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), pa.array([pair.astype("<u2").tobytes()], pa.binary())], names=["k", "block", "pairs"])
+        pair = code(total[:, 0]).astype("<u2") | (code(total[:, 1]).astype("<u2") << 8)
+        return _row("k int, block int, pairs binary", *at, _packed(pair.astype("<u2")))
 
-    for batch in batches:
-        for k, block, raw in zip(*[batch.column(c).to_pylist() for c in ("k", "block", "counts")], strict=True):
-            width = min(2 << SLOTS[k], 2 * BLOCK)
-            values = np.frombuffer(raw, "<u4" if len(raw) == 4 * width else np.float64)
-            if at is not None and at != (k, block):
+    for row in _rows(batches):
+        if at != (row["k"], row["block"]):
+            if at is not None:
                 yield made()
-                total = None
-            at = (k, block)
-            total = values.astype(np.float64) if total is None else total + values
+            at, total = (row["k"], row["block"]), np.zeros((min(1 << SLOTS[row["k"]], BLOCK), 2))
+        raw = _unpacked(row["counts"])
+        n = len(raw) // 18
+        total[np.frombuffer(raw, "<u2", n)] += np.frombuffer(raw, "<u8", 2 * n, 2 * n).reshape(n, 2)
     if at is not None:
         yield made()
 
 
-def _learn(pairs, hot: list[bytes], hot_weight: np.ndarray, rest: float):
+def _learn(pairs, hot: list[bytes], hot_weight: np.ndarray, often: int, rest: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixer, tokens = Mixer(pairs.value), 0
         came, met = mixer.came.copy(), mixer.met.copy()
-        for batch in batches:
-            if batch.num_rows:
-                c = batch.column("c").to_numpy(zero_copy_only=False)
-                mixer.learn(batch.column("word").to_pylist(), c, hot, hot_weight, rest)
-                tokens += int(c.sum())
+        for row in _rows(batches):
+            words, c = _known(row)
+            own = np.flatnonzero((c > 0) & (c <= often))
+            mixer.learn([words[k] for k in own.tolist()], c[own], hot, hot_weight, rest)
+            tokens += int(c[own].sum())
         if tokens:
-            state = pickle.dumps((tokens, mixer.weights, mixer.came - came, mixer.met - met))
-            yield pa.RecordBatch.from_arrays([pa.array([state], pa.binary())], names=["state"])
+            yield _row("state binary", pickle.dumps((tokens, mixer.weights, mixer.came - came, mixer.met - met)))
 
     return run
 
 
-def _scored(pairs, weights: np.ndarray, came: np.ndarray, met: np.ndarray):
+RETURN = "batch long, is_pair int, range int, c binary, logp binary"
+
+
+def _give_words(pairs, weights: np.ndarray, came: np.ndarray, met: np.ndarray):
+    """Counts and spelling scores of each batch's words of a range."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixer = Mixer(pairs.value)
         mixer.weights, mixer.came, mixer.met = weights, came, met
-        for batch in batches:
-            logs = mixer.score(batch.column("word").to_pylist()) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(logs, pa.float64())], names=["word", "c", "logp"])
+        for row in _rows(batches):
+            words, c = _known(row)
+            logs = mixer.score(words).astype("<f4")
+            for batch, place in zip(row["batches"], row["places"], strict=True):
+                at = _unpacked(place, "<u4")
+                yield _row(RETURN, batch, 0, row["range"], _packed(c[at]), _packed(logs[at]))
+
+    return run
+
+
+def _followed(ords: np.ndarray, distinct: int) -> np.ndarray:
+    """A number for each word and the one before it. Each document ends in the end, so that stands before the next one's first."""
+    ords = ords.astype(np.int64)
+    return np.concatenate([ords[-1:], ords[:-1]]) * distinct + ords
+
+
+def pair_keys(hashes: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    before, word = hashes[pair // len(hashes)], hashes[pair % len(hashes)]
+    return _mix(_mix(before * _Q + np.uint64(7)) + word * _P) >> np.uint64(64 - KEY_BITS)
+
+
+PAIR_PART = "range int, batch long, keys binary, train binary"
+
+
+def _deal_pairs(ranges: int):
+    """Each batch's distinct pairs by key: the steps from key to key, and how often training has the pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            hashes, ords = _hashes(_unpacked(row["words"]).split(b"\n")), _unpacked(row["ords"], "<u4")
+            learn = np.repeat(np.frombuffer(row["learns"], np.uint8), np.frombuffer(row["sizes"], "<u4")) > 0
+            followed = _followed(ords, len(hashes))
+            pair = np.unique(followed)
+            trained, often = np.unique(followed[learn], return_counts=True)
+            del followed, learn, ords
+            train = np.zeros(len(pair), "<u4")
+            train[np.searchsorted(pair, trained)] = often
+            keys = pair_keys(hashes, pair)
+            order = np.argsort(keys, kind="stable")
+            keys, train = keys[order], train[order]
+            at = _starts(keys, ranges, KEY_BITS).tolist()
+            for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+                if a < b:
+                    steps = np.diff(keys[a:b], prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
+                    yield _row(PAIR_PART, k, row["batch"], _packed(steps[:, : KEY_BITS // 8].T), _packed(train[a:b]))
+
+    return run
+
+
+def _merge_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Gives each batch the counts of its pairs of a range over all batches, in the order in which it sent them."""
+    for k, rows in _by_range(batches):
+        parts = []
+        for r in rows:
+            planes = _unpacked(r["keys"], "u1").reshape(KEY_BITS // 8, -1)
+            steps = np.zeros((planes.shape[1], 8), np.uint8)
+            steps[:, : KEY_BITS // 8] = planes.T
+            parts.append(np.cumsum(steps.view("<u8").ravel()))
+        keys, train = np.concatenate(parts), np.concatenate([_unpacked(r["train"], "<u4") for r in rows])
+        order = np.argsort(keys, kind="stable")
+        first = np.flatnonzero(np.diff(keys[order], prepend=np.uint64(1) << np.uint64(63)) != 0)
+        sums = np.add.reduceat(train[order].astype(np.int64), first)
+        c = np.empty(len(keys), "<u4")
+        c[order] = np.repeat(np.minimum(sums, 0xFFFFFFFF), np.diff(first, append=len(keys)))
+        ends = np.cumsum([len(p) for p in parts])
+        for r, end, own in zip(rows, ends.tolist(), parts, strict=True):
+            yield _row(RETURN, r["batch"], 1, k, _packed(c[end - len(own) : end]), b"")
+
+
+JOINED = "batch long, doc_ids array<long>, learns binary, sizes binary, n_bytes binary, ords binary, c binary, logp binary, both binary"
+
+
+def _join(texts: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+    """A batch's texts with the counts and scores of its words and, token by token, the counts of pairs."""
+    names = [f.split()[0] for f in JOINED.split(", ")]
+    if not len(texts):
+        return pd.DataFrame({n: [] for n in names})
+    row = texts.iloc[0]
+    given = given.sort_values(["is_pair", "range"])
+    words, pairs = given[given["is_pair"] == 0], given[given["is_pair"] == 1]
+    c = np.concatenate([_unpacked(x, "<i8") for x in words["c"]])
+    logp = np.concatenate([_unpacked(x, "<f4") for x in words["logp"]])
+    hashes, ords = _hashes(_unpacked(row["words"]).split(b"\n")), _unpacked(row["ords"], "<u4")
+    pair, at = np.unique(_followed(ords, len(hashes)), return_inverse=True)
+    counts = np.empty(len(pair), "<u4")
+    counts[np.argsort(pair_keys(hashes, pair), kind="stable")] = np.concatenate([_unpacked(x, "<u4") for x in pairs["c"]])
+    values = [row["of"], row["doc_ids"], row["learns"], row["sizes"], row["n_bytes"], row["ords"], _packed(c), _packed(logp), _packed(counts[at])]
+    return pd.DataFrame({n: [v] for n, v in zip(names, values, strict=True)})
+
+
+#: Gates of running text: how often training has the word before (in halves of a doubling; 0: not at all), and of how
+#: many words just before, RUN at most, the pair was known.
+LEVELS = 40
+RUN = 3
+
+
+@dataclass
+class Learned:
+    """What scoring needs beside the counts: totals of words, K, the gates' weights, and the spelling model."""
+
+    total: int
+    distinct: int
+    k: float
+    share: np.ndarray
+    mixer: Mixer
+
+    def base(self, c: np.ndarray) -> np.ndarray:
+        return np.log10(c + 0.5) - np.log10(self.total + 0.5 * (self.distinct + 1))
+
+    def parts(self, word: np.ndarray, before: np.ndarray, both: np.ndarray, run: np.ndarray, own: np.ndarray, c: np.ndarray, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For tokens: the gate, the pair's share of its first word, and log10 of the word's probability by itself. own: 1 in learned text."""
+        seen, left = np.maximum(both - own, 0), np.maximum(c[before] - own, 0)
+        alone, total = np.maximum(c[word] - own, 0), self.total - own
+        spelled = np.log10(self.k) + logp[word]
+        with np.errstate(divide="ignore"):
+            single = np.where(alone > 0, np.log10(alone + 10 ** np.maximum(spelled, -300)), spelled) - np.log10(total + self.k)
+        level = np.where(left > 0, np.minimum(1 + np.floor(2 * np.log2(np.maximum(left, 1))), LEVELS - 1), 0).astype(np.int64)
+        return run * LEVELS + level, seen / np.maximum(left, 1), single
+
+    def mixed(self, gate: np.ndarray, pair: np.ndarray, single: np.ndarray) -> np.ndarray:
+        s = self.share[gate]
+        rest = np.log10(1 - s) + single
+        with np.errstate(divide="ignore"):
+            return np.where(pair > 0, np.log10(s * pair + 10 ** np.maximum(rest, -300)), rest)
+
+
+def _runs(known: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of how many tokens just before each one, RUN at most, the pair was known; none before a document's first."""
+    out = np.zeros(len(known), np.int64)
+    going = np.ones(len(known), bool)
+    for k in range(1, RUN + 1):
+        past = np.zeros(len(known), bool)
+        past[k:] = known[:-k] if k < len(known) else known[:0]
+        begin = np.zeros(len(known), bool)  # a document begins within the last k - 1 tokens or at this one
+        begin[k - 1 :] = first[: len(first) - k + 1]
+        going &= past & ~begin
+        out += going
+    return out
+
+
+def _tokens(row: dict, model: Learned) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """parts() of a joined row's tokens, chunk by chunk."""
+    ords, both = _unpacked(row["ords"], "<u4"), _unpacked(row["both"], "<u4")
+    c, logp = _unpacked(row["c"], "<i8"), _unpacked(row["logp"], "<f4").astype(float)
+    sizes = np.frombuffer(row["sizes"], "<u4").astype(np.int64)
+    own = np.repeat(np.frombuffer(row["learns"], np.uint8), sizes)
+    first = np.zeros(len(ords), bool)
+    first[np.cumsum(sizes) - sizes] = True
+    run = _runs(both > own, first)
+    before = np.concatenate([ords[-1:], ords[:-1]])
+    for a in range(0, len(ords), CHUNK):
+        at = slice(a, a + CHUNK)
+        yield at, *model.parts(ords[at], before[at], both[at].astype(np.int64), run[at], own[at].astype(np.int64), c, logp), own[at] > 0
+
+
+def _gates(model: Learned):
+    """Online: each chunk's tokens are shared out by the weights as they stand, and the weights become the mean of all shares so far."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = (RUN + 1) * LEVELS
+        came, met = np.full(n, 1.0), np.full(n, 2.0)
+        for row in _rows(batches):
+            for _, gate, pair, single, own in _tokens(row, model):
+                gate, pair, single = gate[own], pair[own], single[own]
+                share = (came / met)[gate]
+                by_pair = share * pair
+                by_pair /= by_pair + (1 - share) * 10 ** np.maximum(single, -300)
+                came += np.bincount(gate, by_pair, n)
+                met += np.bincount(gate, minlength=n)
+        yield _row("state binary", pickle.dumps((came - 1, met - 2)))
 
     return run
 
@@ -345,100 +589,92 @@ def _scored(pairs, weights: np.ndarray, came: np.ndarray, met: np.ndarray):
 SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double, n_bytes long"
 
 
-def _documents(total: int, distinct: int, k1: float, k: float):
-    """Of each batch: its words' counts and scores, and with width 0 its pairs' counts (where any matter)."""
-
-    def run(docs: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        if not len(docs):
-            return pd.DataFrame({f.split()[0]: [] for f in SCORES.split(", ")})
-        row = docs.iloc[0]
-        ords, sizes = np.frombuffer(row["ords"], np.uint32), np.frombuffer(row["sizes"], np.uint32).astype(np.int64)
-        learns = np.frombuffer(row["learns"], np.uint8)
-        words, pairs = found[found["width"] > 0], found[found["width"] == 0]
-        c, logp, width = np.zeros(len(words)), np.zeros(len(words)), np.zeros(len(words))
-        c[words["ord"]], logp[words["ord"]], width[words["ord"]] = words["c"], words["logp"], words["width"]
-        base = np.log10(c + 0.5) - np.log10(total + 0.5 * (distinct + 1))
-        at = np.cumsum(sizes) - sizes
-        gather = lambda values: np.add.reduceat(values[ords], at)
-        followed = _followed(ords, len(words))
-        pair = np.unique(followed)
-        both = np.zeros(len(pair))
-        both[pairs["ord"]] = pairs["c"]
-        score = np.zeros(len(ords))
-        own = np.repeat(learns.astype(np.int64), sizes)
-        for a in range(0, len(ords), CHUNK):
-            some = followed[a : a + CHUNK]
-            w, left = ords[a : a + CHUNK], own[a : a + CHUNK]
-            seen = np.maximum(both[np.searchsorted(pair, some)] - left, 0)
-            before, alone = c[some // len(words)] - left, c[w] - left
-            bits = np.log10(k1 / (total - left + k1)) + logp[w]
-            single = np.where(alone > 0, np.log10(np.maximum(alone, 1) / (total - left + k1) + 10 ** np.maximum(bits, -300)), bits)
-            rest = np.log10(k / (before + k)) + single
-            score[a : a + CHUNK] = np.where(seen > 0, np.log10(seen / (before + k) + 10 ** np.maximum(rest, -300)), rest)
-        ids = pd.array([None if x is None or x != x else int(x) for x in row["doc_ids"]], dtype="Int64")
-        return pd.DataFrame({"doc_id": ids, "n_tokens": sizes, "n_known": gather((c > 0).astype(np.int64)), "base_score": gather(base), "score": np.add.reduceat(score, at), "n_bytes": gather(width).astype(np.int64)})
+def _documents(model: Learned):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            ords, c = _unpacked(row["ords"], "<u4"), _unpacked(row["c"], "<i8")
+            score = np.empty(len(ords))
+            for at, gate, pair, single, _ in _tokens(row, model):
+                score[at] = model.mixed(gate, pair, single)
+            sizes = np.frombuffer(row["sizes"], "<u4").astype(np.int64)
+            begin = np.cumsum(sizes) - sizes
+            values = [row["doc_ids"], sizes, np.add.reduceat((c > 0).astype(np.int64)[ords], begin), np.add.reduceat(model.base(c)[ords], begin), np.add.reduceat(score, begin), np.frombuffer(row["n_bytes"], "<i8")]
+            kinds = [pa.int64()] * 3 + [pa.float64()] * 2 + [pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=[f.split()[0] for f in SCORES.split(", ")])
 
     return run
 
 
-def score_documents(docs: DataFrame, learn: str = "true", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Scores every text; learns from the rows for which the SQL condition ``learn`` holds.
+def _dealt(rows: DataFrame, run, schema: str, ranges: int) -> DataFrame:
+    """Parts of each range in one partition, by batch."""
+    partitions = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.mapInArrow(run, schema).repartition(min(ranges, 4 * partitions), "range").sortWithinPartitions("range", "batch")
 
-    Returns one row for each row of docs: doc_id, n_tokens (words and the end), n_known (tokens met in
-    training), base_score (log10 probability by smoothed word counts), score (the model's, of the words in their order),
-    bits_per_byte (of the words with a blank behind each, and the end), train_tokens. A null text counts as empty and has the end alone. Ids may be null or
-    repeated. With nothing to learn from, all bits are even. Further columns are only seen by ``learn``.
-    """
+
+def fit_and_score(docs: DataFrame, learn: str = "true", id_col: str = "doc_id", text_col: str = "text", batch_tokens: int = BATCH_TOKENS, range_words: int = RANGE_WORDS, range_pairs: int = RANGE_PAIRS) -> tuple[DataFrame, Learned]:
+    """score_documents() and the model behind it."""
     spark = docs.sparkSession
     sc = spark.sparkContext
+    partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.expr(learn), F.lit(False)).alias("learn"))
-    texts = written(rows.mapInArrow(_batches, BATCH), "lm-texts")
-    entries = texts.select("batch", F.posexplode(F.arrays_zip("words", "train")).alias("ord", "w")).select("batch", "ord", F.col("w.words").alias("word"), F.col("w.train").alias("train"))
-    words = written(entries.groupBy("word").agg(F.sum("train").alias("c")), "lm-words")
-    known = words.filter("c > 0")
-    total, distinct = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).head()
-    # Each shard sends tables of one size, so there are as many shards as the words call for.
-    shards = max(1, -(-distinct // SHARD_WORDS))
-    parts = known.repartition(shards, F.xxhash64("word", F.lit(7))).mapInArrow(_counts, "k int, block int, counts binary")
+    texts = written(rows.mapInArrow(_batches(batch_tokens), BATCH), "lm-texts")
+    entries, tokens = texts.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).head()
+    ranges = max(partitions, -(-entries // range_words))
+    parts = _dealt(texts.select("batch", "words", "train"), _deal_words(ranges), WORD_PART, ranges)
+    vocab = written(parts.mapInArrow(_merge_words, VOCAB), "lm-words")
+    distinct, once, total = vocab.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("known", "once", "total")]).head()
+    # As many tasks as the words call for, as each has tables of one size.
+    narrow = vocab.select("words", "c").coalesce(max(1, -(-distinct // SHARD_WORDS)))
+    sums = narrow.mapInArrow(_counts, COUNTS).repartition(partitions, "k", "block").sortWithinPartitions("k", "block").mapInArrow(_merged, "k int, block int, pairs binary")
     tables = [np.zeros(1 << s, np.uint16) for s in SLOTS]
-    partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    merged = parts.repartition(partitions, "k", "block").sortWithinPartitions("k", "block").mapInArrow(_merged, "k int, block int, pairs binary")
-    for k, block, pairs in merged.collect():
-        own = np.frombuffer(pairs, "<u2")
+    for k, block, pairs in sums.collect():
+        own = _unpacked(pairs, "<u2")
         tables[k][block * BLOCK : block * BLOCK + len(own)] = own
-    shared = sc.broadcast(tables)  # of one size, whatever the corpus: about 26 MB
-    mixer = Mixer(tables)
-    often = total // HOT
-    hot = known.filter(F.col("c") > often).collect()  # fewer than HOT words, as their counts add up to the total at most
+    shared = sc.broadcast(tables)  # of one size, whatever the corpus: about 19 MB
+    mixer, often = Mixer(tables), total // HOT
+    hot = vocab.select("words", "c").mapInArrow(_hot(often), "word binary, c long").collect()  # fewer than HOT words, as their counts add up to the total at most
     hot_weight = np.array([r["c"] for r in hot], float)
-    others = known.filter(F.col("c") <= often) if total > hot_weight.sum() else known
-    rest = float(total - hot_weight.sum()) or float(total or 1)
-    shuffled = others.repartition(shards, F.xxhash64("word", F.lit(8))).sortWithinPartitions(F.xxhash64("word", F.lit(9)))
-    learner = _learn(shared, [bytes(r["word"]) for r in hot], hot_weight, rest)
-    states = [pickle.loads(r["state"]) for r in shuffled.mapInArrow(learner, "state binary").collect()]
+    if total > hot_weight.sum():
+        learner = _learn(shared, [bytes(r["word"]) for r in hot], hot_weight, often, float(total - hot_weight.sum()))
+    else:
+        learner = _learn(shared, [], np.zeros(0), total, float(total or 1))
+    states = [pickle.loads(r["state"]) for r in narrow.mapInArrow(learner, "state binary").collect()]
     if states:
         weight = np.array([s[0] for s in states], float)
         mixer.weights = np.einsum("s,sij->ij", weight / weight.sum(), np.array([s[1] for s in states]))
         mixer.came = mixer.came + sum(s[2] for s in states)
         mixer.met = mixer.met + sum(s[3] for s in states)
-    logs = words.mapInArrow(_scored(shared, mixer.weights, mixer.came, mixer.met), "word binary, c long, logp double")
-    logs = written(logs, "lm-logs")
-    width = F.when(F.length("word") > 0, F.length("word") + 1).otherwise(1)
-    back = entries.select("batch", "ord", "word").join(logs, "word").select("batch", "ord", "c", "logp", width.alias("width"))
-    # A pair that is met once and learned from has nothing left without its own occurrence; it is counted, no more.
-    dealt = texts.select("batch", "words", "learns", "sizes", "ords").mapInArrow(_pairs, PAIRS).withColumn("c", F.sum("train").over(Window.partitionBy("key")))
-    met = Observation()
-    dealt = dealt.observe(met, F.count_if((F.col("c") == 1) & (F.col("train") == 1)).alias("once"))
-    pairs = written(dealt.filter((F.col("c") > 1) | ((F.col("c") == 1) & ~F.col("learned"))).select("batch", "ord", "c"), "lm-pairs")
-    level = F.floor(F.log2("c") * 4)
-    levels = known.groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.sum("c").alias("c"), F.count_if(F.col("c") == 1).alias("once")).collect()
-    k1 = max(1.0, (once := sum(r["once"] for r in levels)) * total / max(1, total - once))
-    k = _strength([(r["n"], r["c"]) for r in levels], met.get["once"]) if total else 1.0
-    back = back.unionByName(pairs.select("batch", "ord", "c", F.lit(0.0).alias("logp"), F.lit(0).alias("width")))
-    numbers = texts.select(F.col("batch").alias("of"), "doc_ids", "learns", "sizes", "ords")
-    out = numbers.groupBy("of").cogroup(back.groupBy("batch")).applyInPandas(_documents(total, distinct, k1, k), SCORES)
+    given = vocab.select("range", "words", "c", "batches", "places").mapInArrow(_give_words(shared, mixer.weights, mixer.came, mixer.met), RETURN)
+    ranges = max(partitions, -(-tokens // range_pairs))
+    pairs = _dealt(texts.select("batch", "words", "learns", "sizes", "ords"), _deal_pairs(ranges), PAIR_PART, ranges)
+    given = written(given.unionByName(pairs.mapInArrow(_merge_pairs, RETURN)), "lm-given")
+    numbers = texts.withColumnRenamed("batch", "of").drop("train", "n_words", "n_tokens")
+    joined = written(numbers.groupBy("of").cogroup(given.groupBy("batch")).applyInPandas(_join, JOINED), "lm-joined")
+    for table in (texts, vocab, given):
+        drop(table)
+    k = max(1.0, once * total / max(1, total - once))
+    model = Learned(int(total), int(distinct), float(k), np.zeros((RUN + 1) * LEVELS), Mixer([]))
+    states = [pickle.loads(r["state"]) for r in joined.mapInArrow(_gates(model), "state binary").collect()]
+    came, met = (sum(s[i] for s in states) if states else np.zeros(len(model.share)) for i in (0, 1))
+    model.share = np.clip((came + 0.5) / (met + 1), 0, 0.9999)
+    model.share[::LEVELS] = 0  # nothing is known behind a word that training hasn't
     bits = F.col("score") * (-np.log2(10.0)) / F.col("n_bytes")
-    return out.select("doc_id", "n_tokens", "n_known", "base_score", "score", bits.alias("bits_per_byte"), F.lit(total).cast("long").alias("train_tokens"))
+    out = joined.mapInArrow(_documents(model), SCORES)
+    out = out.select("doc_id", "n_tokens", "n_known", "base_score", "score", bits.alias("bits_per_byte"), F.lit(total).cast("long").alias("train_tokens"))
+    model.mixer = mixer
+    return out, model
+
+
+def score_documents(docs: DataFrame, learn: str = "true", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Scores every text; learns from the rows for which the SQL condition ``learn`` holds.
+
+    Returns one row for each row of docs: doc_id, n_tokens (words and the end), n_known (tokens met in
+    training), base_score (log10 probability by smoothed word counts), score (the model's, of the words in their order),
+    bits_per_byte (of the words with a blank behind each, and the end), train_tokens. A null text counts as empty and has the end alone. Ids may be null or
+    repeated; repeated rows are scored alike, each of them learned from where ``learn`` holds. A text of any length is scored whole. With nothing to
+    learn from, all bits are even. Further columns, whatever their names, are only seen by ``learn``. An empty table gives an empty result.
+    """
+    return fit_and_score(docs, learn, id_col, text_col)[0]
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
