@@ -1,13 +1,16 @@
 """Full term rules: numbers, prices, dates, phrases and runs of capitalised words.
 
-The rules look ahead and consume a varying number of tokens, so they run as one pass over a
-document's tokens in an Arrow batch; nothing is shuffled for them.
+What a token can begin is found once for each distinct token. Where it can begin something, the rules of
+that kind are tried in turn: tables of (words, pattern, term). All other tokens stand for themselves. Rules look
+ahead and take a varying number of tokens, so they run over a document's tokens in an Arrow batch; nothing is
+shuffled for them.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,26 +20,35 @@ from lodestone.functions.stemming import stem_term
 from lodestone.functions.text import DROPPED, EDGES, MONTHS, REJECTED, SEPARATORS
 
 # Fixed values of the term rules.
-#: As the month patterns spell them; "fab" stands where one expects "feb".
-MONTH_WORDS = (*MONTHS, "jan", "fab", "mar", "apr", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+#: Month names as dates have them; "fab" stands where one expects "feb".
+MONTH_WORDS = "january|february|march|april|may|june|july|august|september|october|november|december|jan|fab|mar|apr|jun|jul|aug|sep|oct|nov|dec"
 #: Names that end a capitalised run when a number follows.
 RUN_MONTHS = frozenset(x.capitalize() for m in MONTHS for x in (m, m[:3]))
+#: Characters inside a token that make it a joint one, and those that part it.
 JOINED_BY = "?/\"\\':)(`*[}|{=&@~%+^;]#!,.<>"
 PARTED_BY = "/\"\\`:?)*(|@;&%!=~+^}{#[],'.<>"
+#: Words of the longest phrase.
 RUN = 6
+MONTH_DAY = re.compile(f"(?:{MONTH_WORDS}) (31|30|[0-2][0-9]|[0-9])$")
+MONTH_YEAR = re.compile(f"(?:{MONTH_WORDS}) ([1-2][0-9][0-9][0-9]|[0-9][0-9][0-9] )$")
+DAY_MONTH = re.compile(f"(31|30|[0-2][0-9]|[0-9]) (?:{MONTH_WORDS})")
+BETWEEN = re.compile("[0-9]+ ?and ?[0-9]+")
+US_DOLLARS = re.compile("[0-9]+ (million|billion|trillion) U.S dollars")
+FRACTION_DOLLARS = re.compile("[0-9]* [0-9]*/[0-9]* Dollars")
+FRACTION = re.compile("[0-9]* [0-9]*/[0-9]*$")
+AMOUNT = re.compile(r"\$[0-9]+\S* million$|^\S* billion$")
+SHORT_DOLLARS = re.compile("[0-9]+(m|bn) Dollars")
+SCALED = re.compile("[0-9]+ (Thousand|Million|Billion|Trillion|percent|percentage|Dollars)")
+LETTERS_OF_AMOUNTS = re.compile("[mbn]")
+DIGITS = re.compile("[0-9]*")
+#: A token of more characters than this may be a joint one; of its first part so many make a term.
+JOINT_OVER, HEAD_FROM = 5, 3
 
-_month = "(?:" + "|".join(MONTH_WORDS) + ")"
-_MONTH_DAY = re.compile(rf"{_month} (3[01]|[0-2][0-9]|[0-9])$")
-_MONTH_YEAR = re.compile(rf"{_month} ([12][0-9]{{3}}|[0-9]{{3}} )$")
-_DAY_MONTH = re.compile(rf"(3[01]|[0-2][0-9]|[0-9]) {_month}")
-_BETWEEN = re.compile(r"[0-9]+and[0-9]+")
-_US_DOLLARS = re.compile(r"[0-9]+ (million|billion|trillion) U.S dollars")
-_FRACTION_DOLLARS = re.compile(r"[0-9]* [0-9]*/[0-9]* Dollars")
-_FRACTION = re.compile(r"[0-9]* [0-9]*/[0-9]*$")
-_DOLLAR_SIGN = re.compile(r"\$[0-9]+")
-_SHORT_DOLLARS = re.compile(r"[0-9]+(m|bn) Dollars")
-_SCALED = re.compile(r"[0-9]+ (Thousand|Million|Billion|Trillion|percent|percentage|Dollars)")
 _SPLIT = re.compile("[" + re.escape(SEPARATORS) + "]")
+_PARTS = re.compile("[" + re.escape(PARTED_BY) + "]")
+_PARTS_OF_INITIALS = re.compile("[" + re.escape(PARTED_BY.replace(".", "")) + "]")
+_JOINT = re.compile("[" + re.escape(JOINED_BY) + "]")
+_REJECTED = re.compile("[" + re.escape(REJECTED) + "]")
 
 
 def tokens_of(text: str) -> list[str]:
@@ -107,168 +119,225 @@ def _month_of(word: str) -> str | None:
     return None
 
 
-class TermParser:
-    """Terms of a text, in the order in which the rules emit them, as (term, capitalised)."""
+class Rule(NamedTuple):
+    """So many words that become one term if their text has the pattern; an empty term means that they don't."""
 
-    def __init__(self, stop_words: Iterable[str], stemming: bool = False) -> None:
-        self.stop = frozenset(stop_words)
-        self.stemming = stemming
+    words: int
+    pattern: re.Pattern
+    term: Callable[[list[str]], str]
+    folded: bool = False
+    #: Whether the words are read as they stand, uncleaned.
+    raw: bool = False
 
-    # Each rule gets the tokens and a place and returns (term, tokens consumed), or None.
 
-    def _between(self, t: list[str], i: int) -> tuple[str, int] | None:
-        if t[i] in ("Between", "between") and i < len(t) - 3 and _BETWEEN.search("".join(t[i + 1 : i + 4])):
-            return " ".join(t[i : i + 4]), 4
-        return None
+def _written(w: list[str]) -> str:
+    return " ".join(w)
 
-    def _month_first(self, t: list[str], i: int) -> tuple[str, int] | None:
-        if i >= len(t) - 1 or is_number(t[i]):
-            return None
-        month, pair = _month_of(t[i].lower()), f"{t[i]} {clean(t[i + 1])}".lower()
-        if month and (m := _MONTH_DAY.search(pair)):
-            return f"{month}-{pair.split(' ')[1].zfill(2) if len(pair.split(' ')[1]) == 1 else pair.split(' ')[1]}", 2
-        if month and (m := _MONTH_YEAR.search(pair)):
-            return f"{pair.split(' ')[1]}-{month}", 2
-        return None
-
-    def _pair(self, a: str, b: str) -> str:
-        both = f"{a} {b}"
-        if _FRACTION.search(both):
-            return both
-        if (_DOLLAR_SIGN.search(a) and b == "million") or b == "billion":
-            bare = clean(a.replace("$", ""))
-            return price_term(_parse(bare) * (1e9 if b == "billion" else 1e6) if is_number(bare) else 0.0, "")
-        if _SHORT_DOLLARS.search(both):
-            v = 0.0
-            if a.endswith("bn") and re.fullmatch("[0-9]*", a.replace("bn", "")):
-                v = _parse(a.replace("bn", "")) * 1e9
-            elif a.endswith("m") and is_number(a.replace("m", "")):
-                v = _parse(a.replace("m", "")) * 1e6
-            return price_term(v, "")
-        if is_number(a) and _SCALED.search(both):
-            unit = b.lower()
-            if unit in ("thousand", "million", "billion"):
-                return a + unit[0].upper().replace("T", "K")
-            if unit in ("percent", "percentage"):
-                return a + "%"
-            if unit == "dollars":
-                return price_term(_parse(a), a)
-            return number_term(repr(_parse(a) * 1e12)) if unit == "trillion" else ""
-        if a[:1] != "$" and a[-1:] != "%" and _DAY_MONTH.search(f"{a} {b.lower()}") and (month := _month_of(b.lower())):
-            return f"{month}-{'0' + a if len(a) == 1 else a}"
-        return ""
 
-    def _one(self, token: str) -> str:
-        bare = clean(token)
-        if bare[:1] == "$" and is_number(bare.replace("$", "")):
-            return price_term(_parse(bare.replace("$", "")), token)
-        if bare.endswith("%"):
-            return bare
-        return number_term(bare) if is_number(bare) else bare
+def _month_and(w: list[str], year: bool) -> str:
+    month = _month_of(w[0])
+    return "" if not month else f"{w[1]}-{month}" if year else f"{month}-{w[1].zfill(2)}"
 
-    def _signed(self, t: list[str], i: int) -> tuple[str, int] | None:
-        if t[i][:1] not in ("$", "%"):
-            return None
-        if i < len(t) - 1 and (term := self._pair(t[i], clean(t[i + 1]))):
-            return term, 2
-        return self._one(t[i]), 1
 
-    def _numeric(self, t: list[str], i: int) -> tuple[str, int] | None:
-        bare = re.sub("[mbn]", "", t[i])
-        if not (is_number(t[i]) or is_number(bare) or re.fullmatch("[0-9]*", clean(bare))):
-            return None
-        ahead = [clean(x) for x in t[i + 1 : i + 4]]
-        if len(ahead) == 3 and (m := _US_DOLLARS.search(" ".join([clean(t[i]), *ahead]))):
-            a = clean(t[i])
-            if ahead[0] == "million":
-                return f"{a} M Dollars", 4
-            if is_number(a):
-                return f"{_double(_parse(a) * (1e3 if ahead[0] == 'billion' else 1e6))} M Dollars", 4
-        if len(ahead) >= 2 and _FRACTION_DOLLARS.search(three := " ".join([clean(t[i]), *ahead[:2]])):
-            return three, 3
-        if ahead and (term := self._pair(t[i], ahead[0])):
-            return term, 2
-        return self._one(t[i]), 1
-
-    def _capital_run(self, t: list[str], i: int) -> tuple[list[str], int] | None:
-        """Every growing phrase and every word of a run of capitalised words; a run that another word ends repeats its phrase."""
-
-        def capital(token: str) -> str:
-            c = clean(token)
-            return c if len(c) > 1 and c[0].isupper() else ""
-
-        if i >= len(t) - 1 or not capital(t[i]) or not capital(t[i + 1]):
+def _day_and_month(w: list[str]) -> str:
+    month = _month_of(w[1].lower())
+    return f"{month}-{w[0].zfill(2)}" if month and w[0][0] != "$" and w[0][-1] != "%" else ""
+
+
+def _in_millions(number: str, factor: float) -> str:
+    return f"{_double(_parse(number) * factor)} M Dollars"
+
+
+def _us_dollars(w: list[str]) -> str:
+    if w[1] == "million":
+        return f"{w[0]} M Dollars"
+    return _in_millions(w[0], 1e3 if w[1] == "billion" else 1e6) if is_number(w[0]) else ""
+
+
+def _amount(w: list[str]) -> str:
+    number = clean(w[0].replace("$", ""))
+    return price_term(_parse(number) * {"million": 1e6, "billion": 1e9}[w[1]] if is_number(number) else 0.0, "")
+
+
+def _short_dollars(w: list[str]) -> str:
+    whole, part = w[0].replace("bn", ""), w[0].replace("m", "")
+    if w[0].endswith("bn"):
+        return price_term(_parse(whole) * 1e9 if DIGITS.fullmatch(whole) else 0.0, "")
+    return price_term(_parse(part) * 1e6 if w[0].endswith("m") and is_number(part) else 0.0, "")
+
+
+SCALES: dict[str, Callable[[str], str]] = {
+    "thousand": "{}K".format,
+    "million": "{}M".format,
+    "billion": "{}B".format,
+    "trillion": lambda a: number_term(repr(_parse(a) * 1e12)),
+    "percent": "{}%".format,
+    "percentage": "{}%".format,
+    "dollars": lambda a: price_term(_parse(a), a),
+}
+
+
+def _scaled(w: list[str]) -> str:
+    return SCALES[w[1].lower()](w[0]) if is_number(w[0]) and w[1].lower() in SCALES else ""
+
+
+def _alone(token: str) -> str:
+    price = token.replace("$", "")
+    if token[:1] == "$" and is_number(price):
+        return price_term(_parse(price), token)
+    return number_term(token) if is_number(token) else token
+
+
+TWO = (
+    Rule(2, FRACTION, _written),
+    Rule(2, AMOUNT, _amount),
+    Rule(2, SHORT_DOLLARS, _short_dollars),
+    Rule(2, SCALED, _scaled),
+    Rule(2, DAY_MONTH, _day_and_month, folded=True),
+)
+#: By what a token can begin, in the order in which the kinds are tried.
+RULES: dict[str, tuple[Rule, ...]] = {
+    "range": (Rule(4, BETWEEN, _written, raw=True),),
+    "month": (Rule(2, MONTH_DAY, lambda w: _month_and(w, False), folded=True), Rule(2, MONTH_YEAR, lambda w: _month_and(w, True), folded=True)),
+    "sign": TWO,
+    "number": (Rule(4, US_DOLLARS, _us_dollars), Rule(3, FRACTION_DOLLARS, _written), *TWO),
+}
+
+
+def kinds_of(bare: str) -> tuple[str, ...]:
+    """What a cleaned token can begin."""
+    number = is_number(bare)
+    digits = LETTERS_OF_AMOUNTS.sub("", bare)
+    found = {
+        "range": bare in ("Between", "between"),
+        "month": not number and _month_of(bare.lower()) is not None,
+        "sign": bare[:1] in ("$", "%"),
+        "number": number or is_number(digits) or DIGITS.fullmatch(clean(digits)) is not None,
+    }
+    return tuple(k for k in RULES if found[k])
+
+
+class Token(NamedTuple):
+    raw: str
+    bare: str
+    number: bool
+    short: bool
+    #: The word if it is capitalised and of two characters at least.
+    capital: str
+    stop: bool
+    kinds: tuple[str, ...]
+    #: (first part or nothing, the rest) of a joint token.
+    joint: tuple[str, str] | None
+
+
+#: Distinct tokens that a task keeps.
+MOST_TOKENS = 300_000
+
+
+class TermParser:
+    """Terms of a text, in the order in which the rules emit them, as (term, capitalised)."""
+
+    def __init__(self, stop_words: Iterable[str], stemming: bool = False) -> None:
+        self.stop = frozenset(stop_words)
+        self.stemming = stemming
+        self.known: dict[str, Token] = {}
+
+    def token(self, raw: str) -> Token:
+        found = self.known.get(raw)
+        if found is None:
+            if len(self.known) >= MOST_TOKENS:
+                self.known.clear()
+            bare = clean(raw)
+            number, low = is_number(bare), bare.lower()
+            short = not number and min(len(raw), len(bare)) < 2
+            capital = bare if len(bare) > 1 and bare[0].isupper() else ""
+            stop = low != "may" and low in self.stop
+            found = self.known[raw] = Token(raw, bare, number, short, capital, stop, kinds_of(bare), None if short else self._joint(raw, bare))
+        return found
+
+    @staticmethod
+    def _joint(raw: str, bare: str) -> tuple[str, str] | None:
+        cased = bare[0].isalpha() and bare[0].lower() != bare[0].upper()
+        if len(raw) <= JOINT_OVER or not cased or not _JOINT.search(bare):
             return None
-        out: list[str] = []
-        words: list[str] = []
-        j = i
-        while j < len(t) and j - i < RUN:
-            word = capital(t[j])
-            dated = t[j] in RUN_MONTHS and j < len(t) - 1 and is_number(t[j + 1])
-            if not word or dated:
-                out.append(clean(" ".join(words)))
-                break
-            words.append(word)
-            phrase = clean(" ".join(words))
-            out += [phrase] * (" " in phrase) + [word]
-            j += 1
-        return out, j - i
-
-    def _quoted(self, t: list[str], i: int) -> str:
-        if t[i][:1] == '"' and t[i][-1:] != '"':
-            for j in range(i + 1, min(len(t), i + RUN)):
-                if t[j].endswith('"'):
-                    return clean(" ".join(t[i : j + 1]))
+        parts = list(filter(None, _PARTS.split(bare)))
+        if any(len(p) == 1 and p.isupper() for p in parts):  # initials keep their points
+            parts = list(filter(None, _PARTS_OF_INITIALS.split(bare)))
+        return clean(parts[0]) if len(parts[0]) >= HEAD_FROM else "", ".".join(parts[1:])
+
+    @staticmethod
+    def stands(term: str) -> bool:
+        """Neither too short nor with a rejected character or a part between hyphens of one character."""
+        if len(term) < 2 or _REJECTED.search(term):
+            return False
+        return "-" not in term or all(len(p) != 1 for p in term.split("-"))
+
+    @staticmethod
+    def quoted(t: list[Token], i: int) -> str:
+        """A phrase in quotation marks that begins here, of RUN tokens at most."""
+        if t[i].raw[:1] == '"' and t[i].raw[-1:] != '"':
+            last = next((j for j in range(i + 1, min(len(t), i + RUN)) if t[j].raw[-1:] == '"'), None)
+            return "" if last is None else clean(" ".join(x.raw for x in t[i : last + 1]))
         return ""
 
+    @staticmethod
+    def capitals(t: list[Token], i: int) -> tuple[list[str], int]:
+        """Terms of a run of two capitalised words or more, and its length: every growing phrase and every word; the phrase again where another word ends the run."""
+        if i + 1 >= len(t) or not t[i].capital or not t[i + 1].capital:
+            return [], 0
+        following = [*t[i : i + RUN + 1], None]
+        ends = (k for k, x in enumerate(following[:RUN]) if x is None or not x.capital or (x.raw in RUN_MONTHS and following[k + 1] and is_number(following[k + 1].raw)))
+        n = next(ends, RUN)
+        phrases = [clean(" ".join(x.capital for x in t[i : i + k])) for k in range(n + 1)]
+        out = [w for k in range(n) for w in ([phrases[k + 1]] if " " in phrases[k + 1] else []) + [t[i + k].capital]]
+        by_word = n < RUN and i + n < len(t)
+        return out + [phrases[n]] * by_word, n
+
+    @staticmethod
+    def ruled(t: list[Token], i: int) -> tuple[str, int]:
+        """The term that begins here and how many tokens it takes; none for "may" that begins no date, unless it is the last word."""
+        lead = t[i]
+        for kind in lead.kinds:
+            for rule in RULES[kind]:
+                if i + rule.words <= len(t):
+                    words = [lead.bare, *(x.raw if rule.raw else x.bare for x in t[i + 1 : i + rule.words])]
+                    if rule.folded:
+                        words = [w.lower() for w in words]
+                    if rule.pattern.search(" ".join(words)) and (term := rule.term(words)):
+                        return term, rule.words
+            if kind == "month" and lead.bare == "may" and i + 1 < len(t):
+                return "", 1
+        return _alone(lead.bare), 1
+
     def raw_terms(self, text: str) -> Iterator[str]:
-        t = tokens_of(text)
+        t = [self.token(w) for w in tokens_of(text)]
         i = 0
         while i < len(t):
-            bare = clean(t[i])
-            if not is_number(bare) and (len(t[i]) < 2 or len(bare) < 2):
+            token = t[i]
+            if token.short:
                 i += 1
-                continue
-            head = ""
-            if len(t[i]) > 5 and bare[0].isalpha() and bare[0].lower() != bare[0].upper() and any(c in JOINED_BY for c in bare):
-                parts = [p for p in re.split("[" + re.escape(PARTED_BY) + "]", bare) if p]
-                if any(len(p) == 1 and p.isupper() for p in parts):
-                    parts = [p for p in re.split("[" + re.escape(PARTED_BY.replace(".", "")) + "]", bare) if p]
-                t[i] = ".".join(parts[1:])
-                if len(parts[0]) <= 2:
-                    continue
-                head = clean(parts[0])
-            consumed = 0 if head else 1
-            if not head:
-                if phrase := self._quoted(t, i):
+            elif token.joint:
+                head, rest = token.joint
+                t[i] = self.token(rest)
+                if head:  # what stands leaves the rest to be read again
+                    term, used = self.ruled(t, i) if is_number(rest) else (head, 1)
+                    if self.stands(term):
+                        yield term
+                        used -= 1
+                    i += used
+            else:
+                if phrase := self.quoted(t, i):
                     yield phrase
-                if run := self._capital_run(t, i):
-                    yield from run[0]
-                    i += run[1]
-                    continue
-                t[i] = clean(t[i])
-                if t[i].lower() != "may" and t[i].lower() in self.stop:
-                    i += 1
-                    continue
-            term = head
-            if is_number(t[i]):
-                term = ""
-            if not term:
-                rules: tuple[Callable, ...] = (self._between, self._month_first)
-                found = next((f for rule in rules if (f := rule(t, i))), None)
-                if not found and t[i] == "may" and i < len(t) - 1:
-                    i += 1
-                    continue
-                found = found or self._signed(t, i) or self._numeric(t, i) or (t[i], 1)
-                term = found[0]
-                i += found[1] - 1
-            if "-" in term and any(len(p) < 2 for p in term.split("-") if p):
-                term = ""
-            if len(term) < 2 or any(c in REJECTED for c in term):
-                i += 1
-                continue
-            yield term
-            i += consumed
+                run, used = self.capitals(t, i)
+                if used:
+                    yield from run
+                elif token.stop:
+                    used = 1
+                else:
+                    term, used = self.ruled(t, i) if token.kinds else (token.bare, 1)
+                    if self.stands(term):
+                        yield term
+                i += used
 
     def parse(self, text: str | None) -> list[tuple[str, bool]]:
         out = []
