@@ -61,9 +61,13 @@ def accepted(term: Column) -> Column:
     return (F.length(term) >= 2) & hyphens_ok(term) & ~term.rlike(REJECT)
 
 
-def fold(term: Column) -> Column:
-    """Lower case for a capitalised term, else as it stands."""
-    return F.when(is_capital(term), F.lower(term)).otherwise(term)
+def all_upper(token: Column) -> Column:
+    """No lower-case letter from a to z."""
+    return ~token.rlike("[a-z]")
+
+
+def is_expression(token: Column) -> Column:
+    return token == "U.S."
 
 
 def has_initial(parts: Column) -> Column:

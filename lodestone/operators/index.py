@@ -13,7 +13,8 @@ from lodestone.functions.terms import with_terms
 from lodestone.operators.stop_words import STOP_WORDS
 from lodestone.operators.storage import materialize
 
-TABLES = ("postings", "terms", "doc_stats", "headers", "entities", "city_docs", "corpus_stats", "languages")
+TABLES = ("postings", "terms", "doc_stats", "headers", "entities", "city_docs", "cities", "corpus_stats", "languages")
+BUCKETS = 64
 ENTITIES = 5
 
 
@@ -105,7 +106,7 @@ def city_docs(post: DataFrame, terms: DataFrame, cities: DataFrame) -> DataFrame
 
 @dataclass
 class Index:
-    """The index tables of one corpus."""
+    """The index tables of one corpus. buckets: of a written index, into how many parts its postings are dealt by term."""
 
     postings: DataFrame
     terms: DataFrame
@@ -113,49 +114,76 @@ class Index:
     headers: DataFrame
     entities: DataFrame
     city_docs: DataFrame
+    cities: DataFrame
     corpus_stats: DataFrame
     languages: DataFrame
+    buckets: int = 0
 
 
-def build(docs: DataFrame, stop_words: Iterable[str] = STOP_WORDS, analyzer: str = "simple", stemming: bool = False, cities: DataFrame | None = None) -> Index:
-    """All tables of a corpus (doc_id, parent_file, city, lang, headline, text). Postings are made once and written; the rest is lazy."""
-    from lodestone.sources.corpus import languages
+def build(docs: DataFrame, stop_words: Iterable[str] = STOP_WORDS, analyzer: str = "simple", stemming: bool = False, cities: DataFrame | None = None, countries: DataFrame | None = None) -> Index:
+    """All tables of a corpus (doc_id, parent_file, city, lang, headline, text). What others are made of is written once; the rest is lazy.
+
+    cities (city) are known besides those of the documents; countries (name, capital, population, currency_code) say more of them.
+    """
+    from lodestone.sources.corpus import city_info, languages
 
     post = materialize(postings(occurrences(docs, stop_words, analyzer, stemming)), "postings")
     n_docs = docs.count()
-    terms = term_dictionary(post, n_docs)
-    headers = header_index(docs, stop_words, analyzer, stemming)
-    stats = doc_stats(post, docs, headers)
+    terms = materialize(term_dictionary(post, n_docs), "terms")
+    headers = materialize(header_index(docs, stop_words, analyzer, stemming), "headers")
+    stats = materialize(doc_stats(post, docs, headers), "stats")
     known = docs.select("city").filter("city IS NOT NULL").distinct()
     known = known if cities is None else known.unionByName(cities.select("city")).distinct()
-    return Index(post, terms, stats, headers, doc_entities(post, terms), city_docs(post, terms, known), corpus_stats(stats), languages(docs))
+    if countries is None:
+        countries = docs.sparkSession.createDataFrame([], "name string, capital string, population long, currency_code string")
+    dictionary = city_info(known.select(F.upper("city").alias("city")).distinct(), countries)
+    totals = materialize(corpus_stats(stats), "corpus")
+    return Index(post, terms, stats, headers, doc_entities(post, terms), city_docs(post, terms, known), dictionary, totals, languages(docs))
+
+
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
 
+#: Tables that are written in an order of their own.
+ORDERS = {"terms": "term", "doc_stats": "doc_id", "cities": "city", "languages": "lang"}
 
-def write(index: Index, path: str, buckets: int = 64) -> None:
+
+def write(index: Index, path: str, buckets: int = BUCKETS) -> None:
     """Writes the tables below path; postings are parted by a hash of the term and sorted by it, so a query reads few of them."""
     for name in TABLES:
         table = getattr(index, name)
-        out = f"{path}/{name}"
         if name == "postings":
-            bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-            table = table.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", "term")
-            table.write.mode("overwrite").partitionBy("bucket").parquet(out)
+            table = table.withColumn("bucket", bucket_of(F.col("term"), buckets)).repartition("bucket").sortWithinPartitions("bucket", "term")
+            table.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
         else:
-            table.write.mode("overwrite").parquet(out)
+            table = table.orderBy(ORDERS[name]) if name in ORDERS else table
+            table.write.mode("overwrite").parquet(f"{path}/{name}")
+    index.postings.sparkSession.createDataFrame([(buckets,)], "buckets int").write.mode("overwrite").parquet(f"{path}/layout")
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
+    """The tables of a written index; a path without one is an error."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/layout/_SUCCESS")
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        raise ValueError(f"no index at {path}")
     tables = {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}
-    return Index(**tables)
+    return Index(**tables, buckets=spark.read.parquet(f"{path}/layout").first()[0])
+
+
+def posting_rows(index: Index, query: DataFrame) -> DataFrame:
+    """term, doc_id, tf of the postings that a query's terms can have. Of a written index only these terms' parts are
+    read: their numbers, of which there are no more than buckets, come to the driver and prune the scan."""
+    rows = index.postings
+    if index.buckets:
+        wanted = [r[0] for r in query.select(bucket_of(F.col("term"), index.buckets)).distinct().collect()]
+        rows = rows.filter(F.col("bucket").isin(wanted)) if len(wanted) < index.buckets else rows
+    return rows.select("term", "doc_id", "tf")
 
 
-def posting_rows(index: Index, terms: list[str], buckets: int = 64) -> DataFrame:
-    """Postings of some terms; of a written index only their partitions are read."""
-    rows = index.postings.filter(F.col("term").isin(terms))
-    if "bucket" in rows.columns:
-        wanted = index.postings.sparkSession.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).distinct()
-        rows = rows.filter(F.col("bucket").isin([r[0] for r in wanted.collect()])).drop("bucket")
-    return rows
+def probe(query: DataFrame, terms: DataFrame) -> DataFrame:
+    """The query's rows whose term the dictionary has; rare terms, which it drops, find nothing."""
+    return query.join(terms.select("term"), "term", "left_semi")
 
 
 def drop_index(spark: SparkSession, path: str, confirm: bool = False) -> None:
@@ -164,6 +192,6 @@ def drop_index(spark: SparkSession, path: str, confirm: bool = False) -> None:
     fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not confirm:
         raise ValueError("pass confirm=True to delete the index")
-    if not fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/corpus_stats")):
+    if not fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/layout")):
         raise ValueError(f"no index at {path}")
     fs.delete(fs_path, True)

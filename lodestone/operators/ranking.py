@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators.index import Index, occurrences
+from lodestone.operators.index import Index, occurrences, posting_rows, probe
 from lodestone.operators.stop_words import STOP_WORDS
 
 # Fixed values of the ranking formula.
@@ -139,7 +139,8 @@ def search(
     keys = ["query_id", "term", "is_upper"]
     query = everything.distinct().join(original.withColumn("in_title", F.lit(True)), keys, "left").join(distinct_terms(desc).withColumn("in_desc", F.lit(True)), keys, "left").na.fill(False)
     allowed = None if not cities else index.city_docs.filter(F.col("city").isin([c.upper() for c in cities]))
-    rows = term_weights(candidates(query, index.postings, index.doc_stats, allowed), index.corpus_stats)
+    found = probe(query, index.terms)
+    rows = term_weights(candidates(found, posting_rows(index, found), index.doc_stats, allowed), index.corpus_stats)
     scores = bm25(rows).join(headline_scores(query, distinct_terms(desc), index.headers), ["query_id", "doc_id"], "left")
     score = F.lit(TITLE) * F.col("s1") + F.lit(DESCRIPTION) * F.col("s2") + F.lit(HEADLINE) * F.coalesce("h", F.lit(0.0))
     return ranked(scores.select("query_id", "doc_id", score.alias("score")), limit, reference_cutoff)

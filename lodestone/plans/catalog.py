@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.functions.stemming import porter_stem
-from lodestone.functions.terms import with_terms
 from lodestone.operators import index as ix
 from lodestone.operators import ranking as rk
 from lodestone.operators import reports
 from lodestone.operators.stop_words import STOP_WORDS
-from lodestone.operators.storage import materialize
+from lodestone.operators.storage import materialize, shared_dir
 from lodestone.plans import sql as S
 from lodestone.sources import corpus as src
 
@@ -21,10 +22,6 @@ ORACLES: dict[str, str] = {}
 SINGLE = "apache license version"
 CITIES = ("apache", "gnu", "mit", "china")
 RELATED = (("apache", "mit", 1), ("apache", "gnu", 2), ("apache", "rights", 3), ("license", "licensed", 1), ("license", "zzz", 2), ("license", "mit", 3), ("license", "general", 4))
-NUMBERS = ("10,123", "1010.56", "10,123,000,000", "5", "999", "999.5", "-55", "1.2.3", "55000", "1500000", "2,000,000,000")
-PRICES = ("$450,000", "450,000", "$450,000,000", "1,000,000", "1.7320", "abc", "$999999.5")
-DATES = (("May", "1994", "4"), ("JUNE", "1990", "16"), ("september", "2001", "09"), ("xyz", "1999", "1"))
-POPULATIONS = (8715494, 950000, 1000001, 12345678)
 
 
 def query(sql: str | None = None):
@@ -56,6 +53,21 @@ def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(_post(spark, sf_dir), "postings")
 
 
+#: Indexes of this session by application, folder, source and analysis: a table is indexed once and then searched.
+INDEXES: dict[tuple, ix.Index] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str, source: str = "documents", analyzer: str = "simple") -> ix.Index:
+    """The written index of a driver table, which doesn't change while a session lasts."""
+    key = spark.sparkContext.applicationId, sf_dir, source, analyzer
+    if key not in INDEXES:
+        docs = _docs(spark, sf_dir) if source == "documents" else src.from_pages(spark, sf_dir)
+        path = f"{shared_dir(spark)}/lodestone/index-{uuid.uuid4().hex}"
+        ix.write(ix.build(docs, analyzer=analyzer, cities=spark.createDataFrame([(c,) for c in CITIES], "city string")), path)
+        INDEXES[key] = ix.open_index(spark, path)
+    return INDEXES[key]
+
+
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ix.term_dictionary(_post(spark, sf_dir), 0)
 
@@ -165,9 +177,8 @@ def language_list(spark, sf_dir):
 def rare_term_filter(spark, sf_dir):
     """As if the corpus had a thousand times its documents, so that the filter bites."""
     terms = _terms(spark, sf_dir)
-    n = _docs(spark, sf_dir).agg(F.count("*") * 1000).scalar()
-    rare = (F.col("df") < F.floor(n / 100_000) + 1) & (F.col("total_tf") <= 3)
-    return terms.filter(~rare).select("term", "df", "total_tf")
+    n = _docs(spark, sf_dir).count() * 1000
+    return terms.filter(ix.common(n)).select("term", "df", "total_tf")
 
 
 @query(f"WITH {IDX} SELECT term, total_tf FROM terms ORDER BY total_tf, term LIMIT 10")
@@ -192,10 +203,10 @@ def run_summary(spark, sf_dir):
 
 
 def _scored(spark: SparkSession, sf_dir: str, topics: DataFrame) -> DataFrame:
-    post = _kept(spark, sf_dir)
-    stats = post.groupBy("doc_id").agg(F.sum("tf").alias("doc_len"))
+    index = _index(spark, sf_dir)
     terms = rk.distinct_terms(rk.query_terms(topics, "title")).withColumns({"in_title": F.lit(True), "in_desc": F.lit(False)})
-    rows = rk.term_weights(rk.candidates(terms, post, stats), ix.corpus_stats(stats))
+    found = ix.probe(terms, index.terms)
+    rows = rk.term_weights(rk.candidates(found, ix.posting_rows(index, found), index.doc_stats), index.corpus_stats)
     return rk.bm25(rows).select("query_id", "doc_id", F.round("s1", 6).alias("score"))
 
 
@@ -294,14 +305,13 @@ def desc_expansion(spark, sf_dir):
 
 
 RELATED_SQL = "syn(origin, related, rank) AS (VALUES " + ", ".join(f"({S.quoted(a)}, {S.quoted(b)}, {k})" for a, b, k in RELATED) + ")"
+SYNONYM_SQL = """f AS (SELECT q.doc_id AS query_id, q.term AS origin, min(q.pos) AS begin_at, s.related AS term, s.rank FROM qo q JOIN syn s ON s.origin = q.term WHERE s.related IN (SELECT term FROM terms) GROUP BY ALL),
+o_ AS (SELECT *, row_number() OVER (PARTITION BY query_id, term ORDER BY begin_at, rank) AS n FROM f),
+k AS (SELECT query_id, term, false AS is_upper, origin, (row_number() OVER (PARTITION BY query_id, origin ORDER BY rank, term))::INTEGER AS rank FROM o_ WHERE n = 1)"""
 
 
 @query(
-    f"""WITH {IDX}, {S.occurrences("qo", f"SELECT 'q' AS doc_id, {S.quoted(SINGLE)} AS text")}, {RELATED_SQL},
-f AS (SELECT q.doc_id AS query_id, q.term AS origin, min(q.pos) AS begin_at, s.related AS term, s.rank FROM qo q JOIN syn s ON s.origin = q.term WHERE s.related IN (SELECT term FROM terms) GROUP BY ALL),
-o AS (SELECT *, row_number() OVER (PARTITION BY query_id, term ORDER BY begin_at, rank) AS n FROM f),
-k AS (SELECT query_id, term, false AS is_upper, origin, (row_number() OVER (PARTITION BY query_id, origin ORDER BY rank, term))::INTEGER AS rank FROM o WHERE n = 1)
-SELECT * FROM k WHERE rank <= 2"""
+    f"""WITH {IDX}, {S.occurrences("qo", f"SELECT 'q' AS doc_id, {S.quoted(SINGLE)} AS text")}, {RELATED_SQL}, {SYNONYM_SQL} SELECT * FROM k WHERE rank <= 2"""
 )
 def synonym_expansion(spark, sf_dir):
     topics = spark.createDataFrame([("q", SINGLE)], "query_id string, title string")
@@ -339,41 +349,99 @@ two AS (SELECT query_id, doc_id, sum(w * CASE WHEN in_title THEN 2 ELSE 1 END) A
 SELECT query_id, doc_id, round(1.281 * s1 + 0.05 * s2 + 8.55 * coalesce(h, 0), 6) AS score FROM two LEFT JOIN hh USING (query_id, doc_id)"""
 )
 def full_score(spark, sf_dir):
-    pages = src.from_pages(spark, sf_dir)
-    return rk.search(ix.build(pages), _topics(spark, sf_dir), limit=None).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    return rk.search(_index(spark, sf_dir, "pages"), _topics(spark, sf_dir), limit=None).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+#: Amounts from a hundredth of an order's price to millions of it, some with commas.
+ORDERED = "o AS (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, o_orderdate AS dated FROM orders), am AS (SELECT *, CASE o_orderkey % 4 WHEN 0 THEN cents // 100000 WHEN 1 THEN cents // 100 WHEN 2 THEN cents ELSE cents * 1000 END AS n FROM o), shown AS (SELECT *, CASE WHEN o_orderkey % 2 = 0 THEN format('{:,}', n) ELSE n::VARCHAR END AS token FROM am)"
+
+
+def _ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"), F.col("o_orderdate").alias("at"))
+    kind, cents = F.col("o_orderkey") % 4, F.col("cents")
+    n = F.when(kind == 0, F.floor(cents / 100000)).when(kind == 1, F.floor(cents / 100)).when(kind == 2, cents).otherwise(cents * 1000).cast("long")
+    rows = rows.withColumn("n", n)
+    return rows.withColumn("token", F.when(F.col("o_orderkey") % 2 == 0, F.format_number("n", 0)).otherwise(F.col("n").cast("string")))
 
 
 @query(
-    f"""SELECT v AS token, CASE WHEN x BETWEEN 0 AND 999 THEN x WHEN x BETWEEN 1000 AND 999999 THEN x / 1000 WHEN x BETWEEN 1000000 AND 999999999 THEN x / 1000000 WHEN x >= 1e9 THEN x / 1e9 END AS value,
-CASE WHEN x BETWEEN 0 AND 999 THEN '' WHEN x BETWEEN 1000 AND 999999 THEN 'K' WHEN x BETWEEN 1000000 AND 999999999 THEN 'M' WHEN x >= 1e9 THEN 'B' END AS unit
-FROM (SELECT v, coalesce(TRY_CAST(replace(v, ',', '') AS DOUBLE), 0) AS x FROM (VALUES {", ".join(f"({S.quoted(n)})" for n in NUMBERS)}) t(v))"""
+    f"""WITH {ORDERED} SELECT o_orderkey, token, CASE WHEN n <= 999 THEN n::DOUBLE WHEN n <= 999999 THEN n / 1000 WHEN n <= 999999999 THEN n / 1000000 ELSE n / 1e9 END AS value,
+CASE WHEN n <= 999 THEN '' WHEN n <= 999999 THEN 'K' WHEN n <= 999999999 THEN 'M' ELSE 'B' END AS unit FROM shown"""
 )
 def number_normalise(spark, sf_dir):
-    rows = spark.createDataFrame([(n,) for n in NUMBERS], "token string").withColumn("term", X.number_term(F.col("token")))
-    unit = F.regexp_extract("term", "([KMB]?)$", 1)
-    return rows.select("token", F.regexp_replace("term", "[KMB]$", "").cast("double").alias("value"), unit.alias("unit"))
+    rows = _ordered(spark, sf_dir).withColumn("term", X.number_term(F.col("token")))
+    return rows.select("o_orderkey", "token", F.regexp_replace("term", "[KMB]$", "").cast("double").alias("value"), F.regexp_extract("term", "([KMB]?)$", 1).alias("unit"))
 
 
 @query(
-    f"""SELECT v AS amount, CASE WHEN x BETWEEN 0 AND 999999 THEN p || ' Dollars' WHEN x >= 1000000 AND x / 1000000 = floor(x / 1000000) THEN (x / 1000000)::BIGINT || ' M Dollars' WHEN x >= 1000000 THEN (x / 1000000)::VARCHAR || ' M Dollars' END AS term
-FROM (SELECT v, replace(v, '$', '') AS p, TRY_CAST(replace(replace(v, '$', ''), ',', '') AS DOUBLE) AS x FROM (VALUES {", ".join(f"({S.quoted(n)})" for n in PRICES)}) t(v))"""
+    f"""WITH {ORDERED} SELECT o_orderkey, '$' || token AS amount, CASE WHEN n <= 999999 THEN token || ' Dollars' WHEN n % 1000000 = 0 THEN (n // 1000000) || ' M Dollars' ELSE (n / 1000000)::VARCHAR || ' M Dollars' END AS term FROM shown"""
 )
 def price_normalise(spark, sf_dir):
-    return spark.createDataFrame([(n,) for n in PRICES], "amount string").withColumn("term", X.price_term(F.col("amount")))
+    return _ordered(spark, sf_dir).select("o_orderkey", F.concat(F.lit("$"), "token").alias("amount")).withColumn("term", X.price_term(F.col("amount")))
 
 
 @query(
-    f"""SELECT m AS month, y AS year, d AS day, n || '-' || lpad(d, 2, '0') AS day_term, y || '-' || n AS year_term
-FROM (SELECT m, y, d, CASE substr(lower(m), 1, 3) {" ".join(f"WHEN '{x[:3]}' THEN '{k:02d}'" for k, x in enumerate(X.MONTHS, 1))} END AS n FROM (VALUES {", ".join(f"({S.quoted(a)}, {S.quoted(b)}, {S.quoted(c)})" for a, b, c in DATES)}) t(m, y, d))"""
+    f"WITH {ORDERED} SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN upper(strftime(dated, '%B')) ELSE strftime(dated, '%B') END AS month, strftime(dated, '%m-%d') AS day_term, strftime(dated, '%Y-%m') AS year_term FROM o"
 )
 def date_normalise(spark, sf_dir):
-    rows = spark.createDataFrame(list(DATES), "month string, year string, day string")
-    return rows.withColumn("day_term", X.day_term(F.col("month"), F.col("day"))).withColumn("year_term", X.year_term(F.col("month"), F.col("year")))
+    name = F.date_format("at", "MMMM")
+    rows = _ordered(spark, sf_dir).withColumn("month", F.when(F.col("o_orderkey") % 3 == 0, F.upper(name)).otherwise(name))
+    day, year = F.dayofmonth("at").cast("string"), F.year("at").cast("string")
+    return rows.select("o_orderkey", "month", X.day_term(F.col("month"), day).alias("day_term"), X.year_term(F.col("month"), year).alias("year_term"))
 
 
-@query(f"SELECT v::BIGINT AS people, CASE WHEN v > 1000000 THEN 'M' || round(v / 1e6, 2)::DOUBLE::VARCHAR ELSE v::VARCHAR END AS shown FROM (VALUES {', '.join(f'({n})' for n in POPULATIONS)}) t(v)")
+@query(f"WITH {ORDERED} SELECT o_orderkey, n AS people, CASE WHEN n > 1000000 THEN 'M' || (((n + 5000) // 10000) / 100)::VARCHAR ELSE n::VARCHAR END AS shown FROM shown")
 def population_format(spark, sf_dir):
-    return spark.createDataFrame([(n,) for n in POPULATIONS], "people long").withColumn("shown", X.population_text(F.col("people")))
+    return _ordered(spark, sf_dir).select("o_orderkey", F.col("n").alias("people"), X.population_text(F.col("n")).alias("shown"))
+
+
+# Texts for the full rules are put together from columns, as no text table has prices or dates.
+
+
+def _parsed(rows: DataFrame) -> DataFrame:
+    """doc_id, pos, term, is_upper of rows (doc_id, text) by the full rules; pos counts a document's terms."""
+    return ix.occurrences(rows, analyzer="full").select("doc_id", "pos", "spelling", "is_upper")
+
+
+def _as_rows(terms: str, source: str) -> str:
+    """SQL for doc_id, pos, spelling, is_upper from a list of structs (t, u), empty terms left out."""
+    return f"SELECT doc_id, (generate_subscripts(ts, 1) - 1)::INTEGER AS pos, unnest(ts).t AS spelling, unnest(ts).u AS is_upper FROM (SELECT doc_id, list_filter({terms}, lambda x: x.t IS NOT NULL) AS ts FROM ({source}))"
+
+
+def _terms_sql(*pairs: tuple[str, bool]) -> str:
+    return "[" + ", ".join(f"{{'t': {t}, 'u': {str(u).lower()}}}" for t, u in pairs) + "]"
+
+
+@query(
+    f"WITH {ORDERED} "
+    + _as_rows(
+        _terms_sql(
+            ("md", False), ("'grain'", False), ("CASE WHEN n <= 999999 THEN token || ' Dollars' WHEN n % 1000000 = 0 THEN (n // 1000000) || ' M Dollars' ELSE (n / 1000000)::VARCHAR || ' M Dollars' END", False), ("'sold'", False),
+            ("ym", False), ("dd || 'K'", False), ("'ships'", False), ("md", False), ("dd || ' M Dollars'", False), ("dd || '000 M Dollars'", False), ("'left'", False), ("dd || ' M Dollars'", False), ("'rye'", False), ("dd || ' 3/4 Dollars'", False), ("dd || ' 3/4'", False), ("dd || ',000 Dollars'", False), ("dd || '000B'", False), ("'oats'", False), ("'corn'", False),
+        ),
+        "SELECT o_orderkey AS doc_id, n, token, strftime(dated, '%m-%d') AS md, strftime(dated, '%Y-%m') AS ym, (o_orderkey % 89 + 10)::VARCHAR AS dd FROM shown",
+    )
+)
+def amounts_and_dates(spark, sf_dir):
+    """The full rules of numbers, prices and dates over a sentence for each order."""
+    d, month, nn = F.dayofmonth("at").cast("string"), F.date_format("at", "MMMM"), (F.col("o_orderkey") % 89 + 10).cast("string")
+    parts = [month, d, "grain", F.concat(F.lit("$"), "token"), "sold", month, F.year("at").cast("string"), nn, "Thousand", "ships", d, F.lower(month), F.concat(F.lit("$"), nn), "million", nn, "billion", "left", F.concat(nn, F.lit("m")), "Dollars", "rye", nn, "3/4", "Dollars", nn, "3/4", F.concat(nn, F.lit(",000")), "Dollars", nn, "Trillion", "oats", nn, "percent", F.concat(nn, F.lit("%")), "corn"]
+    text = F.concat_ws(" ", *[F.lit(x) if isinstance(x, str) else x for x in parts])
+    return _parsed(_ordered(spark, sf_dir).select(F.col("o_orderkey").alias("doc_id"), text.alias("text")))
+
+
+@query(
+    _as_rows(
+        "list_concat(" + _terms_sql(("p_name", False)) + ", " + _terms_sql(("a", False), ("b", False), ("'near'", False), ("a", True), ("p_name", True), ("b", True), ("p_name", True), ("'made'", False), ("a || '-' || b", False), ("a", False), ("b", False), ("'u.s.a'", True)) + ")",
+        "SELECT p_partkey AS doc_id, p_name, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[2] AS b FROM part",
+    )
+)
+def phrases(spark, sf_dir):
+    """Quoted phrases, runs of capitalised words, hyphenated and joint words of the full rules over a sentence for each part."""
+    a, b = F.split("p_name", " ")[0], F.split("p_name", " ")[1]
+    quoted, capital = F.concat(F.lit('"'), "p_name", F.lit('"')), F.initcap("p_name")
+    text = F.concat_ws(" ", quoted, F.lit("near"), capital, F.lit("made"), F.concat(a, F.lit("-"), b), F.concat(a, F.lit("."), b), F.lit("U.S.A."))
+    return _parsed(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("doc_id"), text.alias("text")))
 
 
 @query("SELECT '1' AS query_id, d.doc_id, d.source AS parent_file FROM labels l JOIN documents d USING (doc_id) WHERE l.quality = 1")
@@ -401,13 +469,6 @@ def capital_runs(spark, sf_dir):
     return occ.groupBy("term").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("df"))
 
 
-@query()
-def quoted_phrases(spark, sf_dir):
-    docs = _docs(spark, sf_dir).filter(F.col("text").contains('"'))
-    made = with_terms(docs.select("doc_id", "text"), "text", STOP_WORDS)
-    return made.select("doc_id", F.explode("terms").alias("t")).filter("NOT t.is_upper AND t.term LIKE '% %'").select("doc_id", F.col("t.term").alias("term"))
-
-
 @query()
 def stems(spark, sf_dir):
     """Each distinct term is stemmed once."""
@@ -424,7 +485,7 @@ def stemmed_index(spark, sf_dir):
 @query()
 def full_search(spark, sf_dir):
     """All rules, headlines, expansion, top 50 of each benchmark topic over the pages."""
-    index = ix.build(src.from_pages(spark, sf_dir), analyzer="full")
+    index = _index(spark, sf_dir, "pages", "full")
     return rk.search(index, _topics(spark, sf_dir), analyzer="full").withColumn("score", F.round("score", 6))
 
 
@@ -447,27 +508,55 @@ def header_dictionary(spark, sf_dir):
     return rows.select("term", F.size("ids").cast("long").alias("df"), shown.alias("docs"))
 
 
-COUNTRIES = (("Portugal", "Lisbon", 10300000, "EUR"), ("Panama", "Panama City", 950000, "PAB"), ("Peru", "Lima", 33000001, "PEN"))
-PLACES = ("LISBON", "PANAMA", "LIMA", "NOWHERE")
-
-
 @query(
-    f"""WITH c(name, capital, people, money) AS (VALUES {", ".join(f"({S.quoted(a)}, {S.quoted(b)}, {n}, {S.quoted(m)})" for a, b, n, m in COUNTRIES)}), p(city) AS (VALUES {", ".join(f"({S.quoted(x)})" for x in PLACES)}),
-d AS (SELECT *, CASE WHEN people > 1000000 THEN 'M' || round(people / 1e6, 2)::DOUBLE::VARCHAR ELSE people::VARCHAR END AS shown FROM c)
+    """WITH c AS (SELECT n_name AS name, n_name || CASE WHEN n_nationkey % 2 = 0 THEN '' ELSE ' City' END AS capital, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) * 12345 AS people, substr(r_name, 1, 3) AS money FROM nation JOIN region ON r_regionkey = n_regionkey),
+d AS (SELECT *, CASE WHEN people > 1000000 THEN 'M' || (((people + 5000) // 10000) / 100)::VARCHAR ELSE people::VARCHAR END AS shown FROM c),
+p AS (SELECT DISTINCT CASE WHEN s_suppkey % 10 = 9 THEN s_name ELSE n_name END AS city FROM supplier JOIN nation ON n_nationkey = s_nationkey)
 SELECT city, coalesce(a.name, b.name) AS country, coalesce(a.money, b.money) AS currency, coalesce(a.shown, b.shown) AS population
 FROM p LEFT JOIN d a ON lower(city) = lower(a.capital) LEFT JOIN d b ON lower(city) = lower(string_split(b.capital, ' ')[1])"""
 )
 def city_enrichment(spark, sf_dir):
-    cities = spark.createDataFrame([(c,) for c in PLACES], "city string")
-    return src.city_info(cities, spark.createDataFrame(list(COUNTRIES), "name string, capital string, population long, currency_code string"))
+    """Cities of suppliers with the country whose capital they are; countries come as a JSON feed, made from nations."""
+    nation, region, customer, supplier = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "region", "customer", "supplier"))
+    people = customer.groupBy("c_nationkey").agg((F.count("*") * 12345).alias("population"))
+    rows = nation.join(region, F.col("r_regionkey") == F.col("n_regionkey")).join(people, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    capital = F.concat("n_name", F.when(F.col("n_nationkey") % 2 == 0, "").otherwise(" City")).alias("capital")
+    money = F.array(F.struct(F.substring("r_name", 1, 3).alias("code"))).alias("currencies")
+    feed = rows.select(F.to_json(F.array(F.struct(F.col("n_name").alias("name"), capital, F.coalesce("population", F.lit(0)).alias("population"), money))).alias("json"))
+    places = supplier.join(nation, F.col("n_nationkey") == F.col("s_nationkey"))
+    cities = places.select(F.when(F.col("s_suppkey") % 10 == 9, F.col("s_name")).otherwise(F.col("n_name")).alias("city")).distinct()
+    return src.city_info(cities, src.countries_from_json(feed))
 
 
-@query(f"WITH {IDX}, {TOPICS} SELECT d.doc_id, d.source AS parent_file, s.most_freq_term, s.max_tf, s.n_unique, s.doc_len FROM stats s JOIN documents d USING (doc_id) WHERE s.doc_len >= (SELECT avl FROM corpus)")
+@query("WITH t AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS token FROM documents) SELECT token, NOT regexp_matches(token, '[a-z]') AS all_upper, token = 'U.S.' AS is_expression FROM t")
+def case_predicates(spark, sf_dir):
+    words = _docs(spark, sf_dir).select(F.explode(F.split("text", " ", -1)).alias("token")).distinct()
+    return words.select("token", X.all_upper(F.col("token")).alias("all_upper"), X.is_expression(F.col("token")).alias("is_expression"))
+
+
+@query(
+    f"""WITH {IDX}, {S.occurrences("qo", f"SELECT 'q' AS doc_id, {S.quoted(SINGLE)} AS text")}, {RELATED_SQL}, {SYNONYM_SQL}, c AS ({CITY_SQL}),
+qq AS (SELECT DISTINCT doc_id AS query_id, term, is_upper, true AS in_title FROM qo UNION ALL SELECT query_id, term, is_upper, false FROM k WHERE rank <= 2 AND term NOT IN (SELECT term FROM qo WHERE NOT is_upper)),
+cand AS (SELECT q.*, p.doc_id, p.tf, s.doc_len FROM qq q JOIN post p USING (term) JOIN stats s ON s.doc_id = p.doc_id WHERE p.doc_id IN (SELECT doc_id FROM c WHERE city IN ('APACHE', 'MIT'))),
+{S.WEIGHTS},
+scores AS (SELECT query_id, doc_id, round(1.281 * sum(w * CASE WHEN in_title THEN 2 ELSE 1 END), 6) AS score FROM weighed GROUP BY query_id, doc_id),
+{RANKED_SQL}"""
+)
+def city_search(spark, sf_dir):
+    """A search with synonyms in the documents of two cities."""
+    topics = spark.createDataFrame([("q", SINGLE, "")], "query_id string, title string, description string")
+    synonyms = spark.createDataFrame(list(RELATED), "term string, related string, rank int")
+    out = rk.search(_index(spark, sf_dir), topics, cities=["Apache", "mit"], synonyms=synonyms, limit=None)
+    return rk.ranked(out.withColumn("score", F.round("score", 6)).select("query_id", "doc_id", "score"))
+
+
+@query(
+    f"{BATCH_SQL}, {RANKED_SQL.replace('SELECT * FROM r', 'SELECT r.query_id, r.rank, d.doc_id, d.source AS parent_file, s.most_freq_term, s.max_tf, s.n_unique, s.doc_len FROM r JOIN stats s ON s.doc_id = r.doc_id JOIN documents d ON d.doc_id = r.doc_id')}"
+)
 def document_details(spark, sf_dir):
-    """Details of the documents that are no shorter than the mean."""
-    stats = ix.doc_stats(_kept(spark, sf_dir), _docs(spark, sf_dir))
-    avl = ix.corpus_stats(stats).select("avl").scalar()
-    return stats.filter(F.col("doc_len") >= avl).select("doc_id", "parent_file", "most_freq_term", "max_tf", "n_unique", "doc_len")
+    """Details of the documents of a ranked result."""
+    details = _index(spark, sf_dir).doc_stats.select("doc_id", "parent_file", "most_freq_term", "max_tf", "n_unique", "doc_len")
+    return topk_per_query(spark, sf_dir).drop("score").join(details, "doc_id")
 
 
 @query(f"{BATCH_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id DESC) AS rank, count(*) OVER (PARTITION BY query_id) AS n FROM scores) SELECT query_id, rank::INTEGER AS rank, doc_id, score FROM n WHERE rank <= n // 2 + 1 AND rank <= 50")

@@ -24,17 +24,19 @@ class Engine:
         return f"{path}/{'stemmed' if stemming else 'plain'}"
 
     @classmethod
-    def build(cls, spark: SparkSession, docs: DataFrame, path: str, stop_words: Iterable[str] = STOP_WORDS, analyzer: str = "full", stemming: bool = False, cities: DataFrame | None = None) -> Engine:
-        """Indexes a corpus into path and opens the index."""
+    def build(cls, spark: SparkSession, docs: DataFrame, path: str, stop_words: Iterable[str] = STOP_WORDS, analyzer: str = "full", stemming: bool = False, cities: DataFrame | None = None, countries: DataFrame | None = None) -> Engine:
+        """Indexes a corpus into path and opens the index. cities and countries as in index.build()."""
         if not path:
             raise ValueError("an index needs a path")
         if not stop_words:
             raise ValueError("an index needs a stop list")
-        ix.write(ix.build(docs, stop_words, analyzer, stemming, cities), cls._path(path, stemming))
+        ix.write(ix.build(docs, stop_words, analyzer, stemming, cities, countries), cls._path(path, stemming))
         return cls.open(spark, path, stop_words, analyzer, stemming)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, stop_words: Iterable[str] = STOP_WORDS, analyzer: str = "full", stemming: bool = False) -> Engine:
+        if not path:
+            raise ValueError("an index needs a path")
         return cls(spark, ix.open_index(spark, cls._path(path, stemming)), stop_words, analyzer, stemming)
 
     @classmethod
@@ -45,12 +47,16 @@ class Engine:
         return reports.dictionary(self.index.terms)
 
     def search(self, text: str, **options) -> DataFrame:
-        """One free-text query, without a description."""
+        """One free-text query, without a description; an empty one is an error."""
+        if not (text or "").strip():
+            raise ValueError("a query needs a text")
         topics = self.spark.createDataFrame([("single query", text, "")], "query_id string, title string, description string")
         return self.search_topics(topics, **options)
 
     def search_topics(self, topics: DataFrame, **options) -> DataFrame:
-        """All topics in one plan. Options: cities, synonyms, limit, reference_cutoff."""
+        """All topics (query_id, title, description) in one plan. Options: cities, synonyms, limit, reference_cutoff."""
+        if missing := {"query_id", "title", "description"} - set(topics.columns):
+            raise ValueError(f"topics lack {sorted(missing)}")
         return ranking.search(self.index, topics, **self.settings, **options)
 
     def entities(self, doc_id) -> DataFrame:
@@ -60,5 +66,9 @@ class Engine:
     def cities(self) -> DataFrame:
         return self.index.city_docs.select("city").distinct().orderBy("city")
 
+    def city_dictionary(self) -> DataFrame:
+        """city, country, currency, population."""
+        return self.index.cities.orderBy("city")
+
     def to_trec(self, ranked: DataFrame) -> DataFrame:
         return reports.to_trec(ranked)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.terms import clean, is_number
+from lodestone.functions.terms import clean
 
 STOP_FILE = "stop_words.txt"
 DOCUMENT = "doc_id string, parent_file string, city string, lang string, headline string, text string"
@@ -134,6 +134,15 @@ def related_words(spark: SparkSession, json: DataFrame) -> DataFrame:
     return json.select("term", F.posexplode(words).alias("rank", "w")).select("term", F.col("w.word").alias("related"), (F.col("rank") + 1).alias("rank"))
 
 
+COUNTRY = "array<struct<name:string,capital:string,population:bigint,currencies:array<struct<code:string>>>>"
+
+
+def countries_from_json(feed: DataFrame, json_col: str = "json") -> DataFrame:
+    """name, capital, population, currency_code (the first of several) from rows of JSON arrays of countries; unreadable rows give none."""
+    found = feed.select(F.inline(F.from_json(json_col, COUNTRY)))
+    return found.select("name", "capital", "population", F.get("currencies.code", F.lit(0)).alias("currency_code"))
+
+
 def city_info(cities: DataFrame, countries: DataFrame) -> DataFrame:
     """Cities with country, currency and population of the country whose capital they are: by full name, else by its first word."""
     from lodestone.functions.text import population_text
@@ -145,6 +154,3 @@ def city_info(cities: DataFrame, countries: DataFrame) -> DataFrame:
     out = out.join(first, out["_k"] == first["capital"], "left").drop("capital")
     return out.select("city", *[F.coalesce(c, c + "_1").alias(c) for c in ("country", "currency", "population")])
 
-
-def numeric_language(lang: str) -> bool:
-    return is_number(lang)

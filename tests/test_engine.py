@@ -1,4 +1,5 @@
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from lodestone.operators import index as ix
 from lodestone.operators import ranking as rk
 from lodestone.operators import reports
 from lodestone.plans.engine import Engine
+from lodestone.sources import corpus as corpus_source
 from lodestone.streaming.ingest import append_postings, document_stream
 
 SF = "/root/testdata/sf0.001"
@@ -116,8 +118,17 @@ def test_engine_round_trip(spark, tmp_path):
     assert engine.to_trec(found).first()["line"].startswith("single query 0 d")
     assert reports.to_listing(found).first()["line"] == "----QUERY ID: single query----"
     assert [r["entity"] for r in engine.entities("d1").collect()][-1] == "ASHLEY CUMMINS"
-    rows = ix.posting_rows(engine.index, ["grain"])
-    assert {r["doc_id"] for r in rows.collect()} == {"d1", "d2"}
+    query = spark.createDataFrame([("grain",)], "term string")
+    rows = ix.posting_rows(engine.index, query)
+    assert {r["doc_id"] for r in rows.filter("term = 'grain'").collect()} == {"d1", "d2"}
+    assert "bucket#" in rows._jdf.queryExecution().toString().split("PartitionFilters: [")[1].split("]")[0]
+    assert [r["doc_id"] for r in engine.index.doc_stats.collect()] == ["d1", "d2", "d3", "d4", "d5"]
+    with pytest.raises(ValueError, match="text"):
+        engine.search(" ")
+    with pytest.raises(ValueError, match="lack"):
+        engine.search_topics(topics(spark, ("q", "a", "b")).drop("title"))
+    with pytest.raises(ValueError, match="no index"):
+        Engine.open(spark, str(tmp_path / "none"))
     with pytest.raises(ValueError, match="confirm"):
         Engine.drop(spark, path)
     Engine.drop(spark, path, confirm=True)
@@ -125,6 +136,34 @@ def test_engine_round_trip(spark, tmp_path):
         Engine.drop(spark, path, confirm=True)
 
 
+def test_dropped_terms_find_nothing(spark, small):
+    less = ix.Index(**{**vars(small), "terms": small.terms.filter("term <> 'alpha'")})
+    assert {r["doc_id"] for r in rk.search(less, topics(spark, ("q", "alpha", ""))).collect()} == set()
+
+
+def test_city_dictionary(spark, tmp_path):
+    docs = spark.createDataFrame([("d1", "f", "Lisbon", "en", "", "Lisbon alpha"), ("d2", "f", "Nowhere", "en", "", "beta")], SCHEMA)
+    feed = spark.createDataFrame([('[{"name": "Portugal", "capital": "Lisbon", "population": 10300000, "currencies": [{"code": "EUR"}, {"code": "X"}], "more": 1}, {"name": "Peru", "capital": "Lima"}]',), ("broken",), (None,)], "json string")
+    countries = corpus_source.countries_from_json(feed)
+    assert sorted(tuple(r) for r in countries.collect()) == [("Peru", "Lima", None, None), ("Portugal", "Lisbon", 10300000, "EUR")]
+    engine = Engine.build(spark, docs, str(tmp_path / "index"), countries=countries)
+    assert [tuple(r) for r in engine.city_dictionary().collect()] == [("LISBON", "Portugal", "EUR", "M10.3"), ("NOWHERE", None, None, None)]
+
+
+def test_without_training_part(tmp_path):
+    """In a copy without the training-data subpackage (and with or without the pipeline) the queries are still there."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for gone in ((), ("corpus_pipeline.py",)):
+        copy = tmp_path / f"copy{len(gone)}"
+        shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", *gone))
+        said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(*e.queries()); e.oracle_sql()"], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, capture_output=True, text=True)
+        assert "bm25_single_query" in said.stdout and "op1_" not in said.stdout and "pipeline" not in said.stdout, said.stderr
+
+
 def test_stemmed_index(spark):
     index = ix.build(corpus(spark, [("d1", "", "trading ships"), ("d2", "", "trade ship")]), analyzer="full", stemming=True)
     assert {r["term"]: r["df"] for r in index.terms.collect()} == {"trade": 2, "ship": 2}
