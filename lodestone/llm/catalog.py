@@ -19,5 +19,6 @@ ORACLES = {
     "op3_line_dedup": line_dedup.ORACLE,
     "op5_url_rules": url_rules.ORACLE,
     "op8_embedding_dedup": hnsw_dedup.ORACLE,
+    "op9_minhash_dedup": minhash_dedup.ORACLE,
     "op10_source_mixing": mixing.ORACLE,
 }

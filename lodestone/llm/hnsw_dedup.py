@@ -11,19 +11,21 @@ a spanning forest of them, so what leaves it is linear in its size, however dens
 from __future__ import annotations
 
 import heapq
-import pickle
+import io
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.base import read, written
+from lodestone.llm.base import hot_join, read, written
 from lodestone.llm.components import components
 
 THRESHOLD = 0.98
 SHARD = 16_384
 BLOCK = 8_192
+#: Blocks that one copy of a graph serves, so that the queries it meets are more bytes than it is.
+LANE = 4
 RECALL = 0.995
 #: Queries of a block that are audited: one in AUDIT, 16 at least; and more until ENOUGH with at most SPARSE links are among them.
 AUDIT = 32
@@ -124,71 +126,120 @@ class Graph:
                 return [j for s, j in found if s >= threshold]
             beam *= 2
 
+    def dump(self) -> dict[str, np.ndarray]:
+        """Links as flat 32-bit arrays; the vectors go apart."""
+        out = {"entry": np.array([self.entry])}
+        for k, layer in enumerate(self.layers):
+            ids = np.fromiter(layer, np.int32, len(layer))
+            out |= {f"ids{k}": ids, f"size{k}": np.array([len(layer[i]) for i in ids.tolist()], np.int32)}
+            out[f"to{k}"] = np.concatenate([np.zeros(0, np.int32), *[layer[i].astype(np.int32) for i in ids.tolist()]])
+        return out
+
+    @classmethod
+    def load(cls, vectors: np.ndarray, state) -> Graph:
+        out = cls.__new__(cls)
+        out.x, out.entry, out.layers = vectors.astype(np.float32), int(state["entry"][0]), []
+        while f"ids{len(out.layers)}" in state:
+            k = len(out.layers)
+            parts = np.split(state[f"to{k}"].astype(np.int64), np.cumsum(state[f"size{k}"])[:-1])
+            out.layers.append(dict(zip(state[f"ids{k}"].tolist(), parts, strict=True)))
+        return out
+
 
 def _unit(rows) -> np.ndarray:
     x = np.array([np.asarray(r, np.float64) for r in rows])
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def packed(ids: np.ndarray, sizes: np.ndarray, x: np.ndarray, graph: Graph) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, ids=ids, sizes=sizes, x=x, **graph.dump())
+    return out.getvalue()
+
+
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("cid")
-    state = (pdf["cid"].to_numpy(), pdf["n"].to_numpy(), _unit(pdf["embedding"]), Graph(_unit(pdf["embedding"])))
-    return pd.DataFrame({"bin": pdf["bin"][:1], "shard": pdf["shard"][:1], "state": [pickle.dumps(state)]})
+    x = _unit(pdf["embedding"])
+    return pd.DataFrame({"bin": pdf["bin"][:1], "shard": pdf["shard"][:1], "state": [packed(pdf["cid"].to_numpy(), pdf["n"].to_numpy(), x, Graph(x))]})
+
+
+class _Links:
+    """What a shard's queries were found to link with: their numbers, and a spanning forest of the links."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.ids, self.sizes = ids, sizes
+        self.root = np.arange(len(ids))
+        self.u: list[int] = []
+        self.v: list[int | None] = []
+        self.n: list[int] = []
+
+    def add(self, own: int, hits: np.ndarray) -> None:
+        """Links own with all hits. A hit for each tree that own doesn't touch yet is enough, and joins these trees to one."""
+        if not len(hits):
+            return
+        self.u.append(own)
+        self.v.append(None)
+        self.n.append(int(self.sizes[hits].sum()))
+        roots, first = np.unique(self.root[hits], return_index=True)
+        at = int(np.searchsorted(self.ids, own))
+        mine = self.root[at] if at < len(self.ids) and self.ids[at] == own else -1
+        for root, k in zip(roots.tolist(), first.tolist(), strict=True):
+            if root != mine:
+                self.u.append(own)
+                self.v.append(int(self.ids[hits[k]]))
+                self.n.append(0)
+        if len(roots) > 1 or mine not in (-1, roots[0]):
+            every = np.append(roots, mine) if mine >= 0 else roots
+            self.root[np.isin(self.root, every)] = every.min()
 
+    def rows(self) -> pd.DataFrame:
+        return pd.DataFrame({"u": pd.array(self.u, "Int64"), "v": pd.array(self.v, "Int64"), "n": pd.array(self.n, "Int64")})
 
-def _query(threshold: float):
+
+def _audited(q: np.ndarray, exact, near, x: np.ndarray, loose: float) -> tuple[dict[int, np.ndarray], int]:
+    """(true links of the audited queries, the beam with which the graph finds RECALL of them)."""
+    step = max(1, min(AUDIT, len(q) // 16))
+    first = range(0, len(q), step)
+    more = np.random.default_rng(len(q)).permutation(np.setdiff1d(np.arange(len(q)), first)).tolist()
+    truth, sparse = {}, 0
+    for k in [*first, *more]:
+        if len(truth) >= len(first) and sparse >= ENOUGH:
+            break
+        truth[k] = exact(k, np.flatnonzero(x @ q[k] >= loose))
+        sparse += 0 < len(truth[k]) <= SPARSE
+    # Each query counts alike, and those of dense groups apart from the others.
+    audits = [[k for k, t in truth.items() if 0 < len(t) <= SPARSE], [k for k, t in truth.items() if len(t) > SPARSE]]
+    beam = BEAM
+    while beam < len(x) and len(truth) < len(q):
+        recalls = [np.mean([len(np.intersect1d(exact(k, near(k, beam)), truth[k])) / len(truth[k]) for k in a]) for a in audits if a]
+        if min(recalls, default=1.0) >= RECALL:
+            break
+        beam *= 2
+    return truth, beam
+
+
+def _query(threshold: float, load=Graph.load):
     def run(queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-        out = {"u": [], "v": [], "n": []}
         if not len(queries) or not len(index):
-            return pd.DataFrame(out)
-        ids, sizes, x, graph = pickle.loads(index["state"].iloc[0])
-        queries = queries.sort_values("cid")
-        q, own = _unit(queries["embedding"]), queries["cid"].to_numpy()
+            return pd.DataFrame({"u": [], "v": [], "n": []})
+        state = np.load(io.BytesIO(index["state"].iloc[0]))
+        ids, x = state["ids"], state["x"]
+        graph, links = load(x, state), _Links(ids, state["sizes"])
         loose = threshold - 1e-4  # single precision proposes, double decides
+        for _, block in queries.sort_values(["block", "cid"]).groupby("block"):
+            q, own = _unit(block["embedding"]), block["cid"].to_numpy()
 
-        def exact(k: int, found) -> np.ndarray:
-            found = np.asarray(found, np.int64)
-            return found[(x[found] @ q[k] >= threshold) & (ids[found] != own[k])]
+            def exact(k: int, found) -> np.ndarray:
+                found = np.asarray(found, np.int64)
+                return found[(x[found] @ q[k] >= threshold) & (ids[found] != own[k])]  # noqa: B023
 
-        step = max(1, min(AUDIT, len(q) // 16))
-        first = range(0, len(q), step)
-        more = np.random.default_rng(len(q)).permutation(np.setdiff1d(np.arange(len(q)), first)).tolist()
-        truth, sparse = {}, 0
-        for k in [*first, *more]:
-            if len(truth) >= len(first) and sparse >= ENOUGH:
-                break
-            truth[k] = exact(k, np.flatnonzero(x @ q[k] >= loose))
-            sparse += 0 < len(truth[k]) <= SPARSE
-        # Each query counts alike, and those of dense groups apart from the others.
-        audits = [[k for k, t in truth.items() if 0 < len(t) <= SPARSE], [k for k, t in truth.items() if len(t) > SPARSE]]
-        beam = BEAM
-        while beam < len(x):
-            recalls = [np.mean([len(np.intersect1d(exact(k, graph.near(q[k], loose, beam)), truth[k])) / len(truth[k]) for k in a]) for a in audits if a]
-            if len(truth) == len(q) or min(recalls, default=1.0) >= RECALL:
-                break
-            beam *= 2
-        root = {}
-
-        def find(a: int) -> int:
-            while root.setdefault(a, a) != a:
-                root[a] = root[root[a]]
-                a = root[a]
-            return a
-
-        for k in range(len(q)):
-            hits = truth[k] if k in truth else exact(k, graph.near(q[k], loose, beam))
-            if len(hits):
-                out["u"].append(own[k])
-                out["v"].append(None)
-                out["n"].append(int(sizes[hits].sum()))
-                for j in ids[hits].tolist():
-                    a, b = find(own[k]), find(j)
-                    if a != b:
-                        root[max(a, b)] = min(a, b)
-                        out["u"].append(own[k])
-                        out["v"].append(j)
-                        out["n"].append(0)
-        return pd.DataFrame({"u": pd.array(out["u"], "Int64"), "v": pd.array(out["v"], "Int64"), "n": pd.array(out["n"], "Int64")})
+            def near(k: int, beam: int) -> list[int]:
+                return graph.near(q[k], loose, beam)  # noqa: B023
+
+            truth, beam = _audited(q, exact, near, x, loose)
+            for k in range(len(q)):
+                links.add(int(own[k]), truth[k] if k in truth else exact(k, near(k, beam)))
+        return links.rows()
 
     return run
 
@@ -217,18 +268,19 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     index = dealt.withColumn("shard", of).select("bin", "shard", "cid", "n", "embedding").groupBy("bin", "shard").applyInPandas(_build, "bin long, shard int, state binary")
     index = written(index, "hnsw-index")
     block = F.pmod(F.xxhash64("cid", F.lit(2)), F.col("blocks")).cast("int")
-    queries = dealt.select("bin", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), block.alias("block"), "cid", "embedding")
-    served = index.join(sizes.select(F.col("bin").alias("of"), "blocks"), F.col("bin") == F.col("of")).select(F.col("bin").alias("b"), F.col("shard").alias("s"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"), "state")
-    found = queries.groupBy("bin", "shard", "block").cogroup(served.groupBy("b", "s", "k")).applyInPandas(_query(threshold), "u long, v long, n long")
+    queries = dealt.select("bin", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), block.alias("block"), "cid", "embedding").withColumn("lane", F.floor(F.col("block") / LANE).cast("int"))
+    lanes = sizes.select(F.col("bin").alias("of"), F.floor((F.col("blocks") - 1) / LANE).cast("int").alias("lanes"))
+    served = index.join(lanes, F.col("bin") == F.col("of")).select(F.col("bin").alias("b"), F.col("shard").alias("s"), F.explode(F.sequence(F.lit(0), F.col("lanes"))).alias("k"), "state")
+    found = queries.groupBy("bin", "shard", "lane").cogroup(served.groupBy("b", "s", "k")).applyInPandas(_query(threshold), "u long, v long, n long")
     found = written(found, "hnsw-found")
     labels = written(components(found.filter("v IS NOT NULL").select("u", "v"), "hnsw-components"), "hnsw-labels")
     links = found.groupBy(F.col("u").alias("cid")).agg(F.sum("n").alias("links"))
     heads = classes.select("k1", "k2", "cid", "first", "n").join(links, "cid", "left").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
     heads = written(heads.withColumn("label", F.coalesce("label", "cid")), "hnsw-heads")
     least = heads.groupBy("label").agg(F.min("first").alias("component_id"))
-    heads = heads.join(least, "label").select("k1", "k2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
+    heads = heads.join(least, "label").select("k1", "k2", "n", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
     heads = written(heads, "hnsw-classes-out")
-    full = good.join(heads, ["k1", "k2"]).select("vec_id", "n_links", "component_id")
+    full = hot_join(good, heads, ["k1", "k2"], "n").select("vec_id", "n_links", "component_id")
     alone = rows.filter("NOT sane").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return full.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 

@@ -301,7 +301,7 @@ def candidate_clusters(classes: DataFrame, leaf: int = LEAF) -> DataFrame:
         hashed = F.xxhash64("key", "node")
         many = nodes.groupBy("node").agg(F.count("*").alias("n"), F.array(F.min("key"), F.max("key"), F.min_by("key", hashed)).alias("pivots")).filter("n > 1")
         many = written(many, "near-sizes")
-        placed = nodes.join(many.select("node", "n"), "node")
+        placed = hot_join(nodes, many.select("node", "n"), "node", "n")
         small = placed.filter(F.col("n") <= leaf).select("node", "key", F.lit(None).cast("int").alias("side"))
         large = placed.filter(F.col("n") > leaf)
         if level == DEEPEST:  # block by block: each pair of blocks of a node is a leaf of its own
@@ -316,7 +316,8 @@ def candidate_clusters(classes: DataFrame, leaf: int = LEAF) -> DataFrame:
         hot = many.filter(F.col("n") > leaf)
         any_hot = level < DEEPEST and not hot.isEmpty()
         if any_hot:
-            star = large.select("node", "key").join(hot.select("node", F.explode(F.array_distinct("pivots")).alias("pivot")), "node")
+            star = hot_join(large.select("node", "key"), hot.select("node", "n", F.array_distinct("pivots").alias("pivots")), "node", "n")
+            star = star.select("key", F.explode("pivots").alias("pivot"))
             star = star.filter("key <> pivot").select(F.col("pivot").alias("u"), F.col("key").alias("v")).distinct()
             sigs = classes.select("key", "sig")
             star = star.join(sigs.select(F.col("key").alias("u"), F.col("sig").alias("a")), "u").join(sigs.select(F.col("key").alias("v"), F.col("sig").alias("b")), "v")
@@ -354,7 +355,7 @@ def confirmed(docs: DataFrame, clusters: DataFrame, classes: DataFrame, n: int,
 
 def _heavy_links(sets: DataFrame, heavy: DataFrame, percent: int) -> DataFrame:
     """Links of large clusters: of all members with a few pivots; then of what isn't in the largest component so found, block by block."""
-    sets = sets.join(heavy, "cluster")
+    sets = sets.join(F.broadcast(heavy), "cluster")  # no more than all shingles over CLUSTER_SHINGLES
     rank = F.xxhash64("key", F.lit(11))
     firsts = sets.groupBy("cluster").agg(F.min_by("key", rank).alias("a"), F.max_by("key", rank).alias("b"), F.min("key").alias("c"))
     pivots = firsts.select("cluster", F.explode(F.array_distinct(F.array("a", "b", "c"))).alias("key")).join(sets.select("key", "set"), "key")
@@ -391,15 +392,31 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = written(classes, "near-classes")
     labels = confirmed(rows, candidate_clusters(classes, leaf), classes, shingle, percent, broadcast_ids, cluster_shingles)
     narrow = signed.select("doc_id", "n_shingles", "key")
-    firsts = narrow.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first"))
-    firsts = firsts.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").select("key", "first", F.coalesce("label", "key").alias("label"))
+    firsts = narrow.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    firsts = firsts.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").select("key", "first", "copies", F.coalesce("label", "key").alias("label"))
     firsts = written(firsts, "near-firsts")
     heads = firsts.groupBy("label").agg(F.min("first").alias("component_id"))
-    heads = written(firsts.join(heads, "label").select("key", "component_id"), "near-heads")
-    full = narrow.filter("key IS NOT NULL").join(heads, "key").select("doc_id", "n_shingles", "component_id")
+    heads = written(firsts.join(heads, "label").select("key", "component_id", "copies"), "near-heads")
+    full = hot_join(narrow.filter("key IS NOT NULL"), heads, "key", "copies").select("doc_id", "n_shingles", "component_id")
     empty = narrow.filter("key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(read(spark, sf_dir, "documents"), shingle=2)
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT rid, unnest(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS s FROM d),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+p AS (
+  SELECT a.rid AS u, b.rid AS v, count(*) AS c FROM (SELECT * FROM s JOIN n USING (rid)) a JOIN (SELECT * FROM s JOIN n USING (rid)) b
+  ON a.s = b.s AND a.rid <> b.rid AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.rid, b.rid),
+l AS (SELECT u, v FROM p JOIN n x ON x.rid = u JOIN n y ON y.rid = v WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r(u, v) AS (SELECT u, v FROM l UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u),
+m AS (SELECT r.u, min(o.doc_id) AS m FROM r JOIN d o ON o.rid = r.v GROUP BY r.u)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id, doc_id <= coalesce(m, doc_id) AS kept
+FROM d LEFT JOIN n USING (rid) LEFT JOIN m ON m.u = d.rid
+"""

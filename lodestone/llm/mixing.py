@@ -62,12 +62,16 @@ def mix(
 
     Returns doc_id, size (words; null text: 0), source_size, target, copies, taken (size * copies) and
     the columns in carry. Sources weigh ``weights`` in turn by code point, null last. A source whose
-    size is 0 has target 0 and its documents no copies. Rows with equal id, source and size are
-    told apart only by their place, so which of them is taken doesn't show. Further columns are ignored.
+    size is 0 has target 0 and its documents no copies. Rows with equal id, source and size stand in the order
+    of two hashes of their texts, so reruns take the same text; rows equal in all of these are the same document. A text of any
+    length counts whole. Further columns are ignored, whatever their names.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("_source"), size.alias("size"), *carry)
-    order = [F.col("_source").asc_nulls_last(), F.col("size").asc(), F.col("doc_id").asc_nulls_first()]
+    same = F.xxhash64(F.col(text_col)), F.hash(F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("_source"), size.alias("size"), same[0].alias("_h"), same[1].alias("_h2"), *carry)
+    if not carry:  # narrow rows: written once, so that words aren't counted again where ranges are sampled
+        rows = written(rows, "mix-narrow")
+    order = [F.col("_source").asc_nulls_last(), F.col("size").asc(), F.col("doc_id").asc_nulls_first(), F.col("_h"), F.col("_h2")]
     ranked = global_rank(rows, order, "_rank", "mix-rows")
     by_source = ranked.groupBy("_source").agg(F.sum("size").alias("source_size"), F.min("_rank").alias("_first"))
     by_source = global_rank(by_source, [F.col("_source").asc_nulls_last()], "_place", "mix-sources")

@@ -175,8 +175,10 @@ def test_near_odd_rows(spark):
 def test_components(spark):
     rng = random.Random(1)
     links = [(k, k + 1) for k in range(40)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(50)]
-    rows = components(spark.createDataFrame(links, "u long, v long")).collect()
     expected = unite(200, links)
+    hot = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "u long, v long"), hot_rows=3).collect()}
+    rows = components(spark.createDataFrame(links, "u long, v long")).collect()
+    assert hot == {r["node"]: r["label"] for r in rows}
     assert {r["node"]: r["label"] for r in rows} == {x: expected[x] for pair in links for x in pair if pair[0] != pair[1] or expected[x] != x or any(x in p and p[0] != p[1] for p in links)}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
@@ -238,22 +240,28 @@ class Shy:
 
 
 def test_audit_sees_isolated_pairs():
-    import pickle
-
     import numpy as np
     import pandas as pd
 
-    from lodestone.llm.hnsw_dedup import Graph, _query
+    from lodestone.llm.hnsw_dedup import Graph, _query, packed
 
     rng = np.random.default_rng(6)
     x = rng.normal(size=(700, 24))
     x[:300] = x[0] + rng.normal(size=(300, 24)) * 0.005
     x[500:] = x[300:500] + rng.normal(size=(200, 24)) * 0.005
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    queries = pd.DataFrame({"cid": np.arange(700), "embedding": list(x)})
-    index = pd.DataFrame({"state": [pickle.dumps((np.arange(700), np.ones(700, int), x, Shy(x)))]})
-    out = _query(0.98)(queries, index)
-    assert set(out["u"]) == set(range(700))
+    queries = pd.DataFrame({"cid": np.arange(700), "embedding": list(x), "block": np.arange(700) % 2})
+    index = pd.DataFrame({"state": [packed(np.arange(700), np.ones(700, int), x, Graph(x[:5]))]})
+    truth = x @ x.T >= 0.98
+    for load in (lambda v, _: Shy(v), lambda v, _: Graph(v)):
+        out = _query(0.98, load)(queries, index)
+        assert set(out["u"]) == set(range(700))
+        assert out.groupby("u")["n"].sum().tolist() == (truth.sum(axis=1) - 1).tolist()
+        tree = out[out["v"].notna()]
+        assert len(tree) < 700 and unite(700, zip(tree["u"].astype(int), tree["v"].astype(int))) == unite(700, np.argwhere(truth).tolist())
+    one = Graph(x[:200])
+    again = Graph.load(one.x, np.load(__import__("io").BytesIO(packed(np.arange(200), np.ones(200, int), one.x, one))))
+    assert all(again.near(v, 0.98, 12) == one.near(v, 0.98, 12) for v in x[:50])
     graph = Graph(x[:40])
     graph.layers = [{k: np.zeros(0, np.int64) for k in range(40)}]  # nothing can be reached from the entry
     assert sorted(graph.near(x[3], 0.98, 12)) == list(range(40))
