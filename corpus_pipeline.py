@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import line_dedup as lines
 from lodestone.llm import minhash_dedup as near
 from lodestone.llm import mixing, pieces, toxicity
-from lodestone.llm.base import read, written
+from lodestone.llm.base import drop, read, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 REJECT = 0.5
@@ -25,14 +25,18 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity is under REJECT; the model learns from the labelled ones."""
+    """Documents whose toxicity is under REJECT; the model learns from the labelled ones.
+
+    Null and empty texts are scored as empty ones. Rows that repeat an id or a text are judged alike; null
+    ids have no label and are scored. Without labels none goes. Further columns are left out.
+    """
     model = toxicity.fit(docs, read(spark, sf_dir, "labels").select("doc_id", "toxic"))
     scored = toxicity.score_toxicity(docs.select(*COLUMNS), model, score_col="_toxicity")
     return scored.filter(F.col("_toxicity") < REJECT).select(*COLUMNS)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without boilerplate lines; a document all of whose lines go, goes."""
+    """Texts without boilerplate lines; a document all of whose lines go, goes. Null and empty texts stay as they are."""
     out = lines.line_dedup(docs.select(*COLUMNS))
     left = (F.col("lines_removed") == 0) | (F.col("lines_removed") < F.col("lines_total"))
     return _documents(out.filter(left))
@@ -41,23 +45,29 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component (five words, similarity 0.8): that of the least id, once where rows repeat it.
 
-    Rows that share a kept id but not its text stay.
+    Rows that share a kept id but not its text stay, null ids among them. Texts without words link with nothing and stay.
+    Where decisions don't fit a broadcast the texts are dealt by id once, and repeated rows are found where they then lie, by
+    two hashes of the text.
     """
     judged = near.near_dedup(docs)
     kept = judged.filter("kept").select("doc_id").distinct()
-    kept = kept.withColumnRenamed("doc_id", "_kept")
-    out = docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept"))).select(*COLUMNS)
-    return out.dropDuplicates(["doc_id", "text"])
+    mine = docs.select(*COLUMNS, F.xxhash64("text").alias("_h"), F.hash("text").alias("_h2"))
+    out = mine.join(kept.filter("doc_id IS NOT NULL"), "doc_id")
+    if not docs.filter("doc_id IS NULL").isEmpty() and not kept.filter("doc_id IS NULL").isEmpty():
+        out = out.unionByName(mine.filter("doc_id IS NULL"))
+    if not docs.select("doc_id").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id", "_h", "_h2"])
+    return out.select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them; one without words has no weight and isn't counted, but taken like its neighbours in size."""
     mixed = mixing.mix(docs, carry=("text", "lang", "source", "n_chars"))
     return mixed.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, the piece ids of each text, their number, and whether they decode to the text."""
+    """doc_id, source, the piece ids of each text, their number, and whether they decode to the text. A null text has null ids and number 0."""
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
@@ -80,5 +90,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{k}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"pipeline-{k}")
+        drop(before)
     return docs
