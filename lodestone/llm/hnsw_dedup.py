@@ -4,7 +4,7 @@ Vectors that are the same are one class. The classes of a label are dealt into s
 size; each shard builds a graph, and every class queries the graphs of all shards of its label. A
 query widens its beam until the beam reaches below the threshold, and a block of queries widens all
 its beams until an audit against exhaustive search meets the wanted recall a query, in dense groups and
-outside of them (in the end the beam is the shard). Hits are verified by cosine in double precision. Each block counts each query's links and keeps
+outside of them; where a beam would cost as much as its shard, the shard is searched. Hits are verified by cosine in double precision. Each block counts each query's links and keeps
 a spanning forest of them, so what leaves it is linear in its size, however dense a group is.
 """
 
@@ -34,6 +34,8 @@ SPARSE = 12
 LINKS = 8
 BUILD_BEAM = 40
 BEAM = 12
+#: A search with a beam costs about as much as SCAN times so many inner products; where that is the whole shard, the shard is looked at instead.
+SCAN = 64
 
 
 class Graph:
@@ -117,7 +119,7 @@ class Graph:
         for k in range(len(self.layers) - 1, 0, -1):
             starts = [self._search(q, starts, 1, self.layers[k])[0][1]]
         while True:
-            if beam >= len(self.x):
+            if beam * SCAN >= len(self.x):
                 return np.flatnonzero(self.x @ q >= threshold).tolist()
             found = self._search(q, starts, beam, self.layers[0])
             if len(found) < beam:  # what can be reached is less than the beam; the rest is looked at too

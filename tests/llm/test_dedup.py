@@ -220,8 +220,8 @@ def test_graph_recall():
     from lodestone.llm.hnsw_dedup import Graph
 
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(600, 24))
-    x[300:] = x[:300] + rng.normal(size=(300, 24)) * 0.02
+    x = rng.normal(size=(2400, 24))
+    x[1200:] = x[:1200] + rng.normal(size=(1200, 24)) * 0.02
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     graph = Graph(x)
     truth = (x @ x.T >= 0.98).sum()
