@@ -235,7 +235,10 @@ def encoding(model_path: str, most_chunks: int = MOST_CHUNKS):
 
 
 def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "piece_ids") -> DataFrame:
-    """Adds the ids of each whole text; null stays null, an empty text has none. A column ids_col is replaced."""
+    """Adds the ids of each whole text; null stays null, an empty text has none. A column ids_col is replaced.
+
+    Of paths of equal score that end at the same place, the one whose last piece is longest stays.
+    """
     return with_arrow(docs, [text_col], f"`{ids_col}` array<int>", encoding(model_path))
 
 

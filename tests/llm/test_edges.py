@@ -16,7 +16,7 @@ from lodestone.llm import toxicity as tox
 from lodestone.llm.line_dedup import line_dedup
 from lodestone.llm.minhash_dedup import near_dedup
 from lodestone.llm.mixing import mix
-from lodestone.llm.pieces import Encoder
+from lodestone.llm.pieces import Encoder, Pieces
 from lodestone.llm.url_rules import RULES, filter_urls
 from tests.llm.test_dedup import shingle_sets, unite
 from tests.llm.test_text import BPE, SF, SP, judged, toxic_rows
@@ -141,7 +141,11 @@ def test_op6(spark, folder):
 
 
 def test_pieces_ties():
-    """Of paths of equal score the one met first stays: that of the longest last piece. Reruns and cut texts agree."""
+    """Of paths of equal score the one with the longest last piece stays. Reruns and cut texts agree."""
+    equal = Pieces(SP)
+    equal.table = [("a", -1.0, 0), ("aa", -2.0, 1), ("aaa", -3.0, 2)]
+    equal.build()
+    assert [equal.viterbi("a" * n) for n in (1, 2, 3, 4, 6)] == [[0], [1], [2], [0, 2], [2, 2]]
     encoder = Encoder(SP)
     runs = [c * n for c in "aeo-=.x0" for n in range(1, 40)] + ["abab" * k for k in range(1, 20)]
     ids, at = encoder.encode(runs)
