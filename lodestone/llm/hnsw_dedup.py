@@ -2,10 +2,12 @@
 
 Vectors that are the same are one class. The classes of a label are dealt into shards of bounded
 size; each shard builds a graph, and every class queries the graphs of all shards of its label. A
-query widens its beam until the beam reaches below the threshold, and a block of queries widens all
-its beams until an audit against exhaustive search meets the wanted recall a query, in dense groups and
-outside of them; where a beam would cost as much as its shard, the shard is searched. Hits are verified by cosine in double precision. Each block counts each query's links and keeps
-a spanning forest of them, so what leaves it is linear in its size, however dense a group is.
+query widens its beam by all hits it meets, so that the beam reaches below the threshold, and a block of
+queries widens all its beams until an audit against exhaustive search meets the wanted recall a query, in
+dense groups and outside of them. The audit asks for a sample of the block and for planted vectors that
+lie just above the threshold of some node, so it has true links in every block; it only measures, and all
+links come from the graph. Hits are verified by cosine in double precision. Each block counts each query's
+links and keeps a spanning forest of them, so what leaves it is linear in its size, however dense a group is.
 """
 
 from __future__ import annotations
@@ -27,19 +29,22 @@ BLOCK = 8_192
 #: Blocks that one copy of a graph serves, so that the queries it meets are more bytes than it is.
 LANE = 4
 RECALL = 0.995
-#: Queries of a block that are audited: one in AUDIT, 16 at least; and more until ENOUGH with at most SPARSE links are among them.
+#: Queries of a block that are audited: one in AUDIT, 16 at least; beside them PLANTED vectors made from the shard's own.
 AUDIT = 32
-ENOUGH = 16
+PLANTED = 64
+#: Queries with more links than this are of a dense group.
 SPARSE = 12
 LINKS = 8
 BUILD_BEAM = 40
 BEAM = 12
-#: A search with a beam costs about as much as SCAN times so many inner products; where that is the whole shard, the shard is looked at instead.
-SCAN = 64
 
 
 class Graph:
-    """A hierarchical navigable small-world graph over unit vectors; similarity is the inner product."""
+    """A hierarchical navigable small-world graph over unit vectors; similarity is the inner product.
+
+    A node keeps its link to and from the nearest node that it met when it came (`up`), whatever else is pruned. So
+    pruning cuts no islands out of dense groups.
+    """
 
     def __init__(self, vectors: np.ndarray, seed: int = 1) -> None:
         self.x = vectors.astype(np.float32)
@@ -47,6 +52,8 @@ class Graph:
         levels = np.floor(-np.log(np.random.default_rng(seed).random(n)) / np.log(LINKS)).astype(int)
         self.layers: list[dict[int, np.ndarray]] = []
         self.entry = -1
+        self.up = np.arange(n)
+        self._flat: np.ndarray | None = None
         for i in range(n):
             self._insert(i, int(levels[i]))
 
@@ -108,29 +115,56 @@ class Graph:
                     own = self._choose([(float(s[o]), int(own[o])) for o in order], most)
                 links[j] = own
             starts = [j for _, j in found]
+        if i:
+            self.up[i] = starts[0]
         for _ in range(top + 1, level + 1):
             self.layers.append({i: np.zeros(0, np.int64)})
             self.entry = i
 
+    def _widened(self, q: np.ndarray, threshold: float, beam: int, found: list[int]) -> list[int]:
+        """The hits of a beam that holds all hits it meets and the best `beam` other nodes; many nodes are opened at a time."""
+        if self._flat is None:
+            size = np.array([len(self.layers[0][i]) for i in range(len(self.x))])
+            self._flat = np.full((len(self.x), int(size.max(initial=1))), len(self.x), np.int64)
+            for i, n in enumerate(size.tolist()):
+                self._flat[i, :n] = self.layers[0][i]
+        score = np.full(len(self.x), -np.inf, np.float32)
+        opened, now = np.zeros((2, len(self.x)), bool)
+        met = np.array(found, np.int64)
+        score[met] = self.x[met] @ q
+        while True:
+            hit = score[met] >= threshold
+            todo = met[hit & ~opened[met]]
+            if not len(todo):
+                others = met[~hit]
+                best = others[np.argsort(-score[others])[:beam]]
+                todo = best[~opened[best]]
+            if not len(todo):
+                return met[hit].tolist()
+            opened[todo] = now[todo] = True
+            linked = np.append(now[self.up], False)
+            now[todo] = False
+            linked[self._flat[todo]] = linked[self.up[todo]] = True
+            fresh = np.flatnonzero(linked[:-1] & (score == -np.inf))
+            score[fresh] = self.x[fresh] @ q
+            met = np.concatenate([met, fresh])
+
     def near(self, q: np.ndarray, threshold: float, beam: int) -> list[int]:
-        """Nodes that seem to be at the threshold or above; the beam doubles until it reaches below."""
+        """Nodes that seem to be at the threshold or above; a beam that doesn't reach below grows by the hits it meets."""
         q = q.astype(np.float32)
         starts = [self.entry]
         for k in range(len(self.layers) - 1, 0, -1):
             starts = [self._search(q, starts, 1, self.layers[k])[0][1]]
-        while True:
-            if beam * SCAN >= len(self.x):
-                return np.flatnonzero(self.x @ q >= threshold).tolist()
-            found = self._search(q, starts, beam, self.layers[0])
-            if len(found) < beam:  # what can be reached is less than the beam; the rest is looked at too
-                return np.flatnonzero(self.x @ q >= threshold).tolist()
-            if found[-1][0] < threshold:
-                return [j for s, j in found if s >= threshold]
-            beam *= 2
+        found = self._search(q, starts, min(beam, BEAM), self.layers[0])
+        if len(found) < min(beam, BEAM):  # what can be reached is less than the beam; the rest is looked at too
+            return np.flatnonzero(self.x @ q >= threshold).tolist()
+        if found[-1][0] < threshold and beam <= BEAM:
+            return [j for s, j in found if s >= threshold]
+        return self._widened(q, threshold, beam, [j for _, j in found])
 
     def dump(self) -> dict[str, np.ndarray]:
         """Links as flat 32-bit arrays; the vectors go apart."""
-        out = {"entry": np.array([self.entry])}
+        out = {"entry": np.array([self.entry]), "up": self.up.astype(np.int32)}
         for k, layer in enumerate(self.layers):
             ids = np.fromiter(layer, np.int32, len(layer))
             out |= {f"ids{k}": ids, f"size{k}": np.array([len(layer[i]) for i in ids.tolist()], np.int32)}
@@ -140,7 +174,8 @@ class Graph:
     @classmethod
     def load(cls, vectors: np.ndarray, state) -> Graph:
         out = cls.__new__(cls)
-        out.x, out.entry, out.layers = vectors.astype(np.float32), int(state["entry"][0]), []
+        out.x, out.entry, out.layers, out._flat = vectors.astype(np.float32), int(state["entry"][0]), [], None
+        out.up = state["up"].astype(np.int64)
         while f"ids{len(out.layers)}" in state:
             k = len(out.layers)
             parts = np.split(state[f"to{k}"].astype(np.int64), np.cumsum(state[f"size{k}"])[:-1])
@@ -198,26 +233,33 @@ class _Links:
         return pd.DataFrame({"u": pd.array(self.u, "Int64"), "v": pd.array(self.v, "Int64"), "n": pd.array(self.n, "Int64")})
 
 
-def _audited(q: np.ndarray, exact, near, x: np.ndarray, loose: float) -> tuple[dict[int, np.ndarray], int]:
-    """(true links of the audited queries, the beam with which the graph finds RECALL of them)."""
+def _planted(x: np.ndarray, threshold: float) -> np.ndarray:
+    """Unit vectors whose cosine with a node each is a quarter of the way from the threshold to 1."""
+    rng = np.random.default_rng(len(x))
+    at = x[rng.permutation(len(x))[:PLANTED]].astype(np.float64)
+    side = rng.normal(size=at.shape)
+    side -= (side * at).sum(axis=1, keepdims=True) * at
+    norm = np.sqrt((side * side).sum(axis=1, keepdims=True))
+    side = np.divide(side, norm, out=np.zeros_like(side), where=norm > 1e-9)
+    c = threshold + (1 - threshold) / 4
+    out = c * at + np.sqrt(1 - c * c) * side
+    return out / np.sqrt((out * out).sum(axis=1, keepdims=True))
+
+
+def _beam(q: np.ndarray, graph: Graph, x: np.ndarray, threshold: float, loose: float) -> int:
+    """The beam with which the graph finds RECALL of the true links of the audited queries."""
     step = max(1, min(AUDIT, len(q) // 16))
-    first = range(0, len(q), step)
-    more = np.random.default_rng(len(q)).permutation(np.setdiff1d(np.arange(len(q)), first)).tolist()
-    truth, sparse = {}, 0
-    for k in [*first, *more]:
-        if len(truth) >= len(first) and sparse >= ENOUGH:
-            break
-        truth[k] = exact(k, np.flatnonzero(x @ q[k] >= loose))
-        sparse += 0 < len(truth[k]) <= SPARSE
+    asked = np.concatenate([q[::step], _planted(x, threshold)])
+    truth = [set(np.flatnonzero(x @ a >= threshold).tolist()) for a in asked]
     # Each query counts alike, and those of dense groups apart from the others.
-    audits = [[k for k, t in truth.items() if 0 < len(t) <= SPARSE], [k for k, t in truth.items() if len(t) > SPARSE]]
+    audits = [[k for k, t in enumerate(truth) if 0 < len(t) <= SPARSE], [k for k, t in enumerate(truth) if len(t) > SPARSE]]
     beam = BEAM
-    while beam < len(x) and len(truth) < len(q):
-        recalls = [np.mean([len(np.intersect1d(exact(k, near(k, beam)), truth[k])) / len(truth[k]) for k in a]) for a in audits if a]
+    while beam < len(x):
+        recalls = [np.mean([len(truth[k].intersection(graph.near(asked[k], loose, beam))) / len(truth[k]) for k in a]) for a in audits if a]
         if min(recalls, default=1.0) >= RECALL:
             break
         beam *= 2
-    return truth, beam
+    return beam
 
 
 def _query(threshold: float, load=Graph.load):
@@ -235,12 +277,9 @@ def _query(threshold: float, load=Graph.load):
                 found = np.asarray(found, np.int64)
                 return found[(x[found] @ q[k] >= threshold) & (ids[found] != own[k])]  # noqa: B023
 
-            def near(k: int, beam: int) -> list[int]:
-                return graph.near(q[k], loose, beam)  # noqa: B023
-
-            truth, beam = _audited(q, exact, near, x, loose)
+            beam = _beam(q, graph, x, threshold, loose)
             for k in range(len(q)):
-                links.add(int(own[k]), truth[k] if k in truth else exact(k, near(k, beam)))
+                links.add(int(own[k]), exact(k, graph.near(q[k], loose, beam)))
         return links.rows()
 
     return run

@@ -220,12 +220,44 @@ def test_graph_recall():
     from lodestone.llm.hnsw_dedup import Graph
 
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(2400, 24))
-    x[1200:] = x[:1200] + rng.normal(size=(1200, 24)) * 0.02
+    for n in (60, 600):
+        x = rng.normal(size=(n, 24))
+        x[n // 2 :] = x[: n // 2] + rng.normal(size=(n // 2, 24)) * 0.02
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        graph = Graph(x)
+        truth = (x @ x.T >= 0.98).sum()
+        assert sum(len(graph.near(q, 0.98, 12)) for q in x) >= 0.98 * truth
+
+
+def test_dense_group_is_walked(monkeypatch):
+    """A beam full of hits grows along the graph's links; the shard isn't looked at as a whole."""
+    import numpy as np
+
+    from lodestone.llm.hnsw_dedup import Graph
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 24))
+    x[:700] = x[0] + rng.normal(size=(700, 24)) * 0.02
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    graph = Graph(x)
-    truth = (x @ x.T >= 0.98).sum()
-    assert sum(len(graph.near(q, 0.98, 12)) for q in x) >= 0.98 * truth
+    graph, most = Graph(x), []
+
+    class Counted(np.ndarray):
+        def __getitem__(self, key):
+            if isinstance(key, list | np.ndarray):
+                most[-1] += len(key)
+            return np.asarray(self)[key]
+
+        def __matmul__(self, q):
+            raise AssertionError("the whole shard was looked at")
+
+    truth = [set(np.flatnonzero(x @ q >= 0.98).tolist()) for q in x]
+    graph.x = graph.x.view(Counted)
+    got = []
+    for q in x:
+        most.append(0)
+        got.append(set(graph.near(q, 0.98 - 1e-4, 12)))
+    assert np.mean([len(t & g) / len(t) for t, g in zip(truth, got, strict=True)]) >= 0.995
+    assert max(len(t) for t in truth) > 300 and np.mean(most) < 1200
 
 
 class Shy:
